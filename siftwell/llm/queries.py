@@ -17,13 +17,33 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import read_token_table, write_token_table
+
+    shards = write_token_table(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), leading_space=True, end_id=2)
+    return read_token_table(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_sequences
+
+    out = pack_sequences(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), leading_space=False, end_id=1)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_token_files, op5_exact_dedup, op8_packing)}
 
 _WORDS = r"""
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)"""
