@@ -30,6 +30,24 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_table(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit_language, predict_language
+    from .quality import held_out
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language(docs.where(~held_out("doc_id")))
+    return predict_language(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, held_out, score_quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"))
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_sequences
 
@@ -43,7 +61,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_token_files, op5_exact_dedup, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op4_token_files, op5_exact_dedup, op6_quality, op8_packing)}
 
 _WORDS = r"""
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)"""
