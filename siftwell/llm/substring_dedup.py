@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-BLOCK_BYTES = 4 << 20
-BUCKET_HASHES = 2 << 20
+BLOCK_BYTES = 8 << 20
+BUCKET_HASHES = 4 << 20
 _SPANS = T.ArrayType(T.StructType().add("first", "long").add("last", "long"))
 
 
@@ -116,8 +116,8 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = 35) -
     docs = C.without(docs, "n_words", "n_removed", "removed_spans", "kept_text", "__block")
     _, size = C.text_bytes(docs, text_col)
     parts = C.shuffle_partitions(spark)
-    n_blocks = max(4 * parts, size // BLOCK_BYTES + 1)
-    n_buckets = C.pow2(max(2 * parts, size / 6 / BUCKET_HASHES))
+    n_blocks = max(parts, size // BLOCK_BYTES + 1)
+    n_buckets = C.pow2(max(parts, size / 6 / BUCKET_HASHES))
     names = docs.columns
     blocks = docs.withColumn("__block", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if t in ("bigint", "int", "string")]), F.lit(n_blocks)))
     sent = blocks.groupBy("__block").applyInArrow(_block_sender(text_col, window, n_buckets), "bucket long, block long, hashes binary")
