@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 900_000
+CACHE_WORDS = 1_200_000
 CACHE_CHARS = 16_000_000
 STEP_BYTES = 8 << 20
 _SPACED = " [\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]"
@@ -32,6 +32,9 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.leading = leading_space
+        tokens = self.tok.get_vocab()
+        self.edge = np.zeros(max(tokens.values()) + 1, bool)
+        self.edge[[i for t, i in tokens.items() if (t.startswith("\u0120") if leading_space else t.endswith("</w>"))]] = True
         self.marks = dict(zip(".,", self.whole([".", ","])))
         self.known: dict[str, bytes] = {}
         self.chars = 0
@@ -39,6 +42,26 @@ class WordEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, ws: list[str], put: str) -> list[bytes]:
+        """ids of words, many to a call: where a vocabulary marks a word's first or last token, ids tell words apart."""
+        joint = [bool(w) for w in ws] if self.leading else [w.isalpha() and w.isascii() for w in ws]
+        out = [b""] * len(ws)
+        alone = [k for k, j in enumerate(joint) if not j]
+        for k, ids in zip(alone, self.whole([put + ws[k] for k in alone])):
+            out[k] = ids
+        many = [k for k, j in enumerate(joint) if j]
+        for lo in range(0, len(many), 256):
+            part = many[lo : lo + 256]
+            ids = np.frombuffer(self.whole([put + " ".join([ws[k] for k in part])])[0], np.uint32)
+            edge = np.flatnonzero(self.edge[ids])
+            cut = [*(4 * edge).tolist(), 4 * len(ids)] if self.leading else [0, *(4 * (edge + 1)).tolist()]
+            if len(cut) != len(part) + 1:
+                raise ValueError("the vocabulary does not mark words as expected")
+            raw = ids.tobytes()
+            for k, a, b in zip(part, cut[:-1], cut[1:]):
+                out[k] = raw[a:b]
+        return out
+
     def _lookup(self, ws: list[str]) -> list[bytes]:
         """ids of distinct words; a full stop or comma after a letter is a token of its own in either vocabulary."""
         if len(self.known) > CACHE_WORDS or self.chars > CACHE_CHARS:
@@ -49,7 +72,7 @@ class WordEncoder:
         new = [w for w in ws if w not in known]
         core = {w[:-1] if w[-1:] in self.marks and w[-2:-1].isalpha() else w for w in new}
         core = [w for w in core if w not in known]
-        known.update(zip(core, self.whole([put + w for w in core])))
+        known.update(zip(core, self._words(core, put)))
         self.chars += sum(map(len, core))
         return [known[w] if w in known else known[w[:-1]] + self.marks[w[-1]] for w in ws]
 
@@ -66,7 +89,7 @@ class WordEncoder:
         at -= at[0]
         coded = lists.flatten().dictionary_encode()
         code = coded.indices.to_numpy().copy()
-        table = self._lookup(coded.dictionary.to_pylist())
+        table = self._lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         if self.leading:  # the first word of a text has no space before it
             first = coded.take(pa.array(at[:-1])).cast(col.type).dictionary_encode()
             ws = first.dictionary.to_pylist()
@@ -75,12 +98,8 @@ class WordEncoder:
         table += aside
         code[at[odd]] = len(table) - len(aside) + np.arange(len(odd))
         size = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        flat = np.frombuffer(b"".join(table), np.uint32)
-        begin = np.cumsum(size) - size
-        n = size[code]
-        end = np.cumsum(n)
-        ids = flat[np.repeat(begin[code] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
-        return ids, np.concatenate(([0], end))[at]
+        ids = np.frombuffer(b"".join(map(table.__getitem__, code.tolist())), np.uint32)
+        return ids, np.concatenate(([0], np.cumsum(size[code])))[at]
 
     def encode(self, col) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an Arrow string column, one text after the other, and the n + 1 bounds; null is empty."""

@@ -122,9 +122,9 @@ def _packer(id_col: str, text_col: str, vocabulary: str, leading_space: bool, en
         doc = 0
         for batch in batches:
             ids_col, col = batch.column(batch.schema.get_field_index(id_col)), batch.column(batch.schema.get_field_index(text_col))
-            for lo in range(0, batch.num_rows, 512):
-                ids, bounds = enc.encode(col.slice(lo, 512))
-                names += ids_col.slice(lo, 512).to_pylist()
+            for lo in range(0, batch.num_rows, 4096):
+                ids, bounds = enc.encode(col.slice(lo, 4096))
+                names += ids_col.slice(lo, 4096).to_pylist()
                 for k in range(len(bounds) - 1):
                     held.append(np.concatenate((ids[bounds[k] : bounds[k + 1]], end)))
                     packer.add(doc, len(held[-1]))
