@@ -17,7 +17,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -26,7 +26,7 @@ def _vocabulary(name: str) -> str:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_table, write_token_table
 
-    shards = write_token_table(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), leading_space=True, end_id=2)
+    shards = write_token_table(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), leading_space=True, end_id=2)
     return read_token_table(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -51,7 +51,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_sequences
 
-    out = pack_sequences(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), leading_space=False, end_id=1)
+    out = pack_sequences(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), leading_space=False, end_id=1)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
