@@ -1,13 +1,13 @@
 """N-gram Jaccard join with signature trees.
 
 Two sets of similarity t or more differ in few shingles: in at most (|x| + |y|) (1 - t) / (1 + t). So if the
-shingles are dealt by hash to one class more than that, the two sets agree on all shingles of some class. The
-top level of the search is this fan-out, which prunes exactly and needs no pairs: sets that agree on a class
-(of the same size range) are candidates of each other, found as links to the smallest id that has the class.
-Their connected groups are searched by signature trees: leaves are documents, nodes hold the OR of their
-documents' token bitmaps and their size range, and a dual traversal descends only into pairs of nodes whose
-largest possible overlap reaches the threshold. Leaves are compared exactly. Large groups are cut into blocks
-of about BLOCK documents, joined block by block; pairs of blocks inside one component need no second look.
+shingles are dealt by hash to classes and a set has more classes that are not empty than that, it agrees with
+each set it links to on one of these classes in full. The top level of the search is this fan-out over (size
+range, class, its shingles), which prunes exactly and lists no pairs. Sets that meet there are searched with
+signature trees: leaves are documents, nodes hold the OR of their documents' token bitmaps and their size
+range, and a dual traversal descends only into pairs of nodes whose largest possible overlap reaches the
+threshold. Leaves are compared exactly. Two passes: first every document against the smallest id of each of
+its classes; then, in classes whose documents are not all connected by then, everything that is not.
 
 Sets are of 64-bit shingle hashes; equal sets (128-bit sums of mixed hashes, and the size) are one node.
 """
@@ -26,6 +26,7 @@ BLOCK = 96
 KEYS_PER_BLOCK = 1 << 20
 KEYS_PER_BUCKET = 2 << 20
 FAN_OUT = 4
+BATCH_ROWS = 2000
 
 
 class Ranges:
@@ -42,11 +43,21 @@ class Ranges:
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, n, "right") - 1
 
-    def classes(self, space: np.ndarray) -> np.ndarray:
-        """Hash classes in the space shared by range `space` and the next: one more than sets there may differ by."""
+    def differ(self, space: np.ndarray) -> np.ndarray:
+        """Most shingles in which sets that link can differ, one of them in range `space`, one there or in the next."""
         at = np.clip(space, 0, len(self.low) - 3)
-        both = self.low[at + 1] - 1 + self.low[at + 2] - 1
-        return both * (100 - self.num) // (100 + self.num) + 1
+        return (self.low[at + 1] - 1 + self.low[at + 2] - 1) * (100 - self.num) // (100 + self.num)
+
+    def classes(self, space: np.ndarray) -> np.ndarray:
+        """Hash classes in that space: enough for nearly all of its sets to fill more than they may differ in."""
+        many, which = np.unique(np.clip(space, 0, len(self.low) - 3), return_inverse=True)
+        out = []
+        for s, d in zip(many.tolist(), self.differ(many).tolist()):
+            n, k = int(self.low[s]), d + 1
+            while d and k < 4 * d and k * (1 - (empty := np.exp(-n / k))) - 2 * np.sqrt(k * empty) < d + 1:
+                k += max(1, d // 64)
+            out.append(k)
+        return np.array(out, np.int64)[which] if out else np.zeros(0, np.int64)
 
 
 def shingle_sets(col, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,14 +100,17 @@ def _signer(k: int, num: int):
                 for space in (own, own - 1):
                     count = np.where((space >= 0) & (n > 0), ranges.classes(space), 0)
                     base = np.cumsum(count) - count
+                    of = np.repeat(np.arange(len(n)), count)
+                    acc = C.mix(C.mix(space.astype(np.uint64) + np.uint64(1))[of] + (np.arange(len(of)) - base[of]).astype(np.uint64))
                     use = count[doc] > 0
-                    acc = np.repeat(C.mix(space.astype(np.uint64) + np.uint64(1)), count) + np.arange(count.sum()).astype(np.uint64) - np.repeat(base, count).astype(np.uint64)
                     place = base[doc[use]] + ((s[use] >> np.uint64(32)) % np.maximum(count[doc[use]], 1).astype(np.uint64)).astype(np.int64)
-                    acc = C.mix(acc)
                     np.add.at(acc, place, m[use])
-                    acc = C.mix(acc)
-                    keys.append((acc, base, count))
-                blobs = [b"".join(a[i : i + c].tobytes() for a, i, c in ((a, base[j], count[j]) for a, base, count in keys)) for j in range(len(n))]
+                    full = np.zeros(len(of), bool)
+                    full[place] = True
+                    # a set with too few full classes also says which of its classes are empty
+                    full |= (np.bincount(of[full], minlength=len(n)) <= ranges.differ(space))[of]
+                    keys.append((C.mix(acc[full]), np.searchsorted(of[full], np.arange(len(n) + 1))))
+                blobs = [b"".join(k[i[j] : i[j + 1]].tobytes() for k, i in keys) for j in range(len(n))]
                 yield pa.record_batch({
                     "id": part.column(0), "n": pa.array(n, pa.int64()), "lo": pa.array(sums[0].view(np.int64)), "hi": pa.array(sums[1].view(np.int64)), "keys": pa.array(blobs, pa.binary()),
                 })
@@ -105,15 +119,16 @@ def _signer(k: int, num: int):
 
 
 def _unique_keys(table: pa.Table):
-    """Distinct keys of a block, the least node of each, and for every key of every node its place among them."""
+    """Distinct keys of a block, the least and greatest node of each, and for every key of every node its place among them."""
     nodes = table.column("node").to_numpy()
     blobs = [x.as_py() for x in table.column("keys")]
     every = np.frombuffer(b"".join(blobs), np.uint64)
     owner = np.repeat(nodes, [len(x) // 8 for x in blobs])
     u, inverse = np.unique(every, return_inverse=True)
-    least = np.full(len(u), np.iinfo(np.int64).max)
+    least, most = np.full(len(u), np.iinfo(np.int64).max), np.full(len(u), np.iinfo(np.int64).min)
     np.minimum.at(least, inverse, owner)
-    return u, least, inverse, owner
+    np.maximum.at(most, inverse, owner)
+    return u, least, most, inverse, owner
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -131,50 +146,68 @@ def _slices(u: np.ndarray, n_buckets: int) -> np.ndarray:
 
 def _key_sender(n_buckets: int):
     def send(key, table):
-        u, least, _, _ = _unique_keys(table)
+        u, least, most, _, _ = _unique_keys(table)
         at = _slices(u, n_buckets)
         full = np.flatnonzero(np.diff(at))
         return pa.table({
             "bucket": pa.array(full, pa.int64()), "block": pa.array(np.full(len(full), key[0].as_py()), pa.int64()),
             "keys": pa.array([C.pack_sorted(u[at[b] : at[b + 1]]) for b in full], pa.binary()),
             "least": pa.array([_planes(least[at[b] : at[b + 1]]) for b in full], pa.binary()),
+            "span": pa.array([_planes((most - least)[at[b] : at[b + 1]]) for b in full], pa.binary()),
         })
 
     return send
 
 
 def _key_meeting(key, table):
-    """Tells each block the least node anywhere for those of its keys for which that is another block's."""
+    """Tells each block the least and greatest node anywhere for those of its keys for which another block's differ."""
     keys = [C.unpack_sorted(x.as_py()) for x in table.column("keys")]
     least = np.concatenate([_from_planes(x.as_py()) for x in table.column("least")])
+    most = least + np.concatenate([_from_planes(x.as_py()) for x in table.column("span")])
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
     first = np.ones(len(every), bool)
     first[1:] = every[order][1:] != every[order][:-1]
-    best = np.empty(len(every), np.int64)
-    best[order] = np.minimum.reduceat(least[order], np.flatnonzero(first))[np.cumsum(first) - 1] if len(every) else 0
-    at = np.cumsum([0, *map(len, keys)])
-    lower = best < least
-    spans = [(i, j) for i, j in zip(at[:-1], at[1:])]
-    some = [r for r, (i, j) in enumerate(spans) if lower[i:j].any()]
+    at, group = np.flatnonzero(first), np.cumsum(first) - 1
+    low, high = np.empty(len(every), np.int64), np.empty(len(every), np.int64)
+    low[order] = np.minimum.reduceat(least[order], at)[group]
+    high[order] = np.maximum.reduceat(most[order], at)[group]
+    news = (low < least) | (high > most)
+    edge = np.cumsum([0, *map(len, keys)])
+    spans = [(i, j) for i, j in zip(edge[:-1], edge[1:])]
+    some = [r for r, (i, j) in enumerate(spans) if news[i:j].any()]
+    told = [(i, j, news[i:j]) for i, j in (spans[r] for r in some)]
     return pa.table({
         "block": pa.array(table.column("block").to_numpy()[some], pa.int64()), "bucket": pa.array(np.full(len(some), key[0].as_py()), pa.int64()),
-        "bits": pa.array([np.packbits(lower[spans[r][0] : spans[r][1]]).tobytes() for r in some], pa.binary()),
-        "best": pa.array([_planes(best[spans[r][0] : spans[r][1]][lower[spans[r][0] : spans[r][1]]]) for r in some], pa.binary()),
+        "bits": pa.array([np.packbits(n).tobytes() for _, _, n in told], pa.binary()),
+        "low": pa.array([_planes(low[i:j][n]) for i, j, n in told], pa.binary()),
+        "high": pa.array([_planes(high[i:j][n]) for i, j, n in told], pa.binary()),
     })
 
 
 def _linker(n_buckets: int):
+    """For each node with a key that another has: the least nodes of such keys, and the keys."""
+
     def link(key, table, answers):
-        u, least, inverse, owner = _unique_keys(table)
+        u, least, most, inverse, owner = _unique_keys(table)
         at = _slices(u, n_buckets)
-        for b, bits, best in zip(*(answers.column(c).to_pylist() for c in ("bucket", "bits", "best"))):
+        for b, bits, low, high in zip(*(answers.column(c).to_pylist() for c in ("bucket", "bits", "low", "high"))):
             lo, hi = at[b], at[b + 1]
-            least[lo:hi][np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)] = _from_planes(best)
-        pivot = least[inverse]
-        use = pivot < owner
-        e = np.unique(np.stack([owner[use], pivot[use]]), axis=1)
-        return pa.table({"a": pa.array(e[0], pa.int64()), "b": pa.array(e[1], pa.int64())})
+            told = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)
+            least[lo:hi][told], most[lo:hi][told] = _from_planes(low), _from_planes(high)
+        shared = (least < most)[inverse]
+        node, k = owner[shared], inverse[shared]
+        order = np.lexsort((k, node))
+        node, k = node[order], k[order]
+        edge = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
+        ends = np.append(edge[1:], len(node))
+        pivots = [np.unique(least[k[i:j]]) for i, j in zip(edge, ends)]
+        longs = pa.list_(pa.int64())
+        return pa.table({
+            "node": pa.array(node[edge], pa.int64()),
+            "pivots": pa.array([p[p < n] for p, n in zip(pivots, node[edge])], longs),
+            "keys": pa.array([np.unique(u[k[i:j]]).view(np.int64) for i, j in zip(edge, ends)], longs),
+        })
 
     return link
 
@@ -233,9 +266,8 @@ def tree_join(a: SignatureTree, b: SignatureTree, num: int, same: bool, linked,
 
 
 class _Union:
-    def __init__(self, labels: list):
-        first: dict = {}
-        self.up = [first.setdefault(x, i) for i, x in enumerate(labels)]
+    def __init__(self, n: int):
+        self.up = list(range(n))
 
     def find(self, i: int) -> int:
         while self.up[i] != i:
@@ -248,36 +280,39 @@ class _Union:
         return i != j
 
 
-def _searcher(num: int, inside: bool):
-    """Links inside a block alone (side 0), or between two, enough to connect what links connect.
+def _searcher(num: int):
+    """Links inside the tasks of a batch, enough to connect what links connect.
 
-    inside: the second block (side 1) is searched by itself as well.
+    A task holds documents of side 0 alone, to be searched among themselves, or of sides 0 and 1, to be
+    searched against each other. Documents of one label are known to be connected.
     """
 
     def search(key, table):
-        nodes, side = table.column("node").to_pylist(), np.array(table.column("side").to_pylist())
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
-        union, out = _Union(table.column("label").to_pylist()), []
-        width = 256
-        while width < 4 * max(map(len, sets)) and width < 1 << 15:
-            width *= 2
-        groups = [np.flatnonzero(side == s).tolist() for s in (0, 1)]
-        trees = [SignatureTree([sets[i] for i in g], width) if g else None for g in groups]
-
-        def run(s, t):
+        task, side, nodes = (table.column(c).to_numpy() for c in ("task", "side", "node"))
+        blobs = table.column("shingles")
+        labels, label = np.unique(table.column("label").to_numpy(), return_inverse=True)
+        union, out = _Union(len(labels)), []
+        order = np.lexsort((side, task))
+        for rows in np.split(order, np.flatnonzero(np.diff(task[order])) + 1):
+            if len({union.find(x) for x in label[rows].tolist()}) < 2:
+                continue
+            sets = {i: np.frombuffer(blobs[i].as_py(), np.uint64) for i in rows.tolist()}
+            width = 256
+            while width < 4 * max(map(len, sets.values())) and width < 1 << 15:
+                width *= 2
+            groups = [[i for i in rows.tolist() if side[i] == s] for s in (0, 1)]
+            trees = [SignatureTree([sets[i] for i in g], width) if g else None for g in groups]
+            a, b = (0, 1) if trees[0] and trees[1] else (0, 0) if trees[0] else (1, 1)
+
             def found(x, y):
-                i, j = groups[s][x], groups[t][y]
-                if union.join(i, j):
+                i, j = groups[a][x], groups[b][y]
+                if union.join(label[i], label[j]):
                     out.append((nodes[i], nodes[j]))
 
-            tree_join(trees[s], trees[t], num, s == t, lambda x, y: union.find(groups[s][x]) == union.find(groups[t][y]), found)
+            def linked(x, y):
+                return union.find(label[groups[a][x]]) == union.find(label[groups[b][y]])
 
-        if trees[0] and trees[1]:
-            run(0, 1)
-        if trees[1] is None:
-            run(0, 0)
-        elif trees[0] is None or inside:
-            run(1, 1)
+            tree_join(trees[a], trees[b], num, a == b, linked, found)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return search
@@ -288,13 +323,21 @@ def _shingler(k: int):
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                s, at = shingle_sets(part.column(2), k)
+                s, at = shingle_sets(part.column(1), k)
                 raw = s.tobytes()
-                yield pa.record_batch({"node": part.column(0), "cluster": part.column(1), "shingles": pa.array([raw[8 * i : 8 * j] for i, j in zip(at[:-1], at[1:])], pa.binary())})
+                yield pa.record_batch({"node": part.column(0), "shingles": pa.array([raw[8 * i : 8 * j] for i, j in zip(at[:-1], at[1:])], pa.binary())})
 
     return shingles
 
 
+def _search(tasks: DataFrame, shingled: DataFrame, percent: int, name: str) -> DataFrame:
+    """tasks (task, node, side, label) with the nodes' sets, dealt evenly to batches of whole tasks."""
+    tasks = C.materialize(tasks, name)
+    batches = max(2 * C.shuffle_partitions(tasks.sparkSession), tasks.count() // BATCH_ROWS + 1)
+    rows = tasks.join(shingled, "node").withColumn("batch", F.pmod(F.xxhash64("task"), F.lit(batches)))
+    return C.materialize(rows.groupBy("batch").applyInArrow(_searcher(percent), "a bigint, b bigint"), f"{name}-links")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
     """Link documents whose shingle sets have 100 * intersection >= percent * union; return components.
 
@@ -310,59 +353,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sig = C.materialize(rows.mapInArrow(_signer(shingle, percent), "id bigint, n bigint, lo bigint, hi bigint, keys binary"), "signatures")
     members = sig.where("n > 0 and id is not null")
     sets = C.materialize(members.groupBy("lo", "hi", "n").agg(F.min("id").alias("node")), "sets")
-    # ---- candidates: nodes that agree on a class; equal sets have equal keys
+    # ---- nodes that agree on a class; equal sets have equal keys
     reps = members.groupBy("lo", "hi", "n").agg(F.min("id").alias("node"), F.first("keys").alias("keys"))
     total = int(sig.agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0)
     n_blocks = max(parts, total // KEYS_PER_BLOCK + 1)
     n_buckets = C.pow2(max(parts, total / KEYS_PER_BUCKET))
     blocks = reps.select("node", "keys", F.pmod(F.xxhash64("node"), F.lit(n_blocks)).alias("block"))
-    sent = blocks.groupBy("block").applyInArrow(_key_sender(n_buckets), "bucket bigint, block bigint, keys binary, least binary")
-    answers = sent.groupBy("bucket").applyInArrow(_key_meeting, "block bigint, bucket bigint, bits binary, best binary")
-    candidates = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_linker(n_buckets), "a bigint, b bigint")
-    clusters = C.materialize(components(candidates, "candidates"), "clusters")
-    # ---- exact links inside candidate groups, found by signature trees
-    sizes = C.materialize(clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")), "cluster-sizes")
-    blocked = clusters.join(sizes, "component").select(F.col("id").alias("node"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    blocked = C.materialize(blocked, "blocked")
-    texts = rows.join(blocked.select(F.col("node").alias("id"), "cluster"), "id").select("id", "cluster", "text")
-    shingled = texts.mapInArrow(_shingler(shingle), "node bigint, cluster bigint, shingles binary").drop("cluster").join(blocked, "node")
+    sent = blocks.groupBy("block").applyInArrow(_key_sender(n_buckets), "bucket bigint, block bigint, keys binary, least binary, span binary")
+    answers = sent.groupBy("bucket").applyInArrow(_key_meeting, "block bigint, bucket bigint, bits binary, low binary, high binary")
+    shared = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_linker(n_buckets), "node bigint, pivots array<bigint>, keys array<bigint>")
+    shared = C.materialize(shared, "shared-classes")
+    shingled = rows.withColumnRenamed("id", "node").join(shared.select("node").distinct(), "node").select("node", "text").mapInArrow(_shingler(shingle), "node bigint, shingles binary")
     shingled = C.materialize(shingled, "shingled")
-    # every block by itself, and with the first block of its group
-    first = shingled.withColumn("task", F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block")))).withColumn("side", F.when(F.col("block") == 0, F.lit(0)).otherwise(F.lit(1))).withColumn("label", F.col("node"))
-    links = C.materialize(first.select("cluster", "task", "node", "side", "label", "shingles").groupBy("cluster", "task").applyInArrow(_searcher(percent, True), "a bigint, b bigint"), "links")
+    # ---- first pass: every node against the least node of each of its classes
+    pairs = C.materialize(shared.select("node", F.explode("pivots").alias("pivot")), "pivots")
+    sizes = C.materialize(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")), "pivot-sizes")
+    task = F.xxhash64("pivot", "block")
+    outer = pairs.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select(task.alias("task"), "node", F.lit(1).alias("side"), F.col("node").alias("label"))
+    pivots = sizes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(task.alias("task"), F.col("pivot").alias("node"), F.lit(0).alias("side"), F.col("pivot").alias("label"))
+    links = _search(outer.unionByName(pivots), shingled, percent, "first-pass")
     labels = C.materialize(components(links, "links"), "labels")
-    rest = shingled.where("blocks > 1")
-    if not rest.isEmpty():
-        more = C.materialize(_remaining(rest, labels, percent, block), "more-links")
+    # ---- second pass: classes whose nodes are not connected yet
+    named = C.materialize(shared.select("node", "keys").join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("label"), F.explode("keys").alias("key")), "class-labels")
+    open_classes = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    open_classes = C.materialize(open_classes.select("key", F.ceil(F.col("size") / F.lit(block)).cast("int").alias("blocks")), "open-classes")
+    if not open_classes.isEmpty():
+        inside = named.join(open_classes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        as_first = inside.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).select(F.xxhash64("key", "block", "other").alias("task"), "node", F.lit(0).alias("side"), "label")
+        as_second = inside.where("block > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block") - 1))).select(F.xxhash64("key", "other", "block").alias("task"), "node", F.lit(1).alias("side"), "label")
+        more = _search(as_first.unionByName(as_second), shingled, percent, "second-pass")
         if not more.isEmpty():
             labels = C.materialize(components(links.unionByName(more), "all-links"), "labels")
-    named = sets.join(labels, sets.node == labels.id, "left").select("lo", "hi", "n", F.coalesce("component", "node").alias("found"))
-    out = sig.drop("keys").join(named, ["lo", "hi", "n"], "left")
+    found = sets.join(labels, sets.node == labels.id, "left").select("lo", "hi", "n", F.coalesce("component", "node").alias("found"))
+    out = sig.drop("keys").join(found, ["lo", "hi", "n"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("found", "id")).alias("component_id"))
-
-
-def _remaining(rest: DataFrame, labels: DataFrame, percent: int, size: int) -> DataFrame:
-    """Links between components of large groups: all that is outside a group's largest component against everything.
-
-    Documents of one component are never compared, so a group that is already connected costs nothing here.
-    """
-    label = rest.select("node", "cluster", "blocks").join(labels.select(F.col("id").alias("node"), F.col("component").alias("label")), "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("label"))
-    label = C.materialize(label, "group-labels")
-    count = C.materialize(label.groupBy("cluster", "label").count(), "label-counts")
-    top = count.groupBy("cluster").agg(F.count(F.lit(1)).alias("labels"), F.sum("count").alias("all"), F.max(F.expr("cast(count as decimal(20,0)) * 18446744073709551616 + (9223372036854775807 - cast(label as decimal(20,0)))")).alias("best"))
-    top = top.where("labels > 1").select(
-        "cluster", F.expr("cast(9223372036854775807 - best % 18446744073709551616 as bigint)").alias("main"),
-        F.expr("cast((best - best % 18446744073709551616) / 18446744073709551616 as bigint)").alias("inner"), F.col("all"),
-    )
-    top = C.materialize(top.select("cluster", "main", F.ceil(F.col("inner") / F.lit(size)).cast("int").alias("in_blocks"), F.ceil((F.col("all") - F.col("inner")) / F.lit(size)).cast("int").alias("out_blocks")), "split-groups")
-    side = label.join(top, "cluster").withColumn("outer", F.col("label") != F.col("main"))
-    block = F.pmod(F.xxhash64("node"), F.when(F.col("outer"), F.col("out_blocks")).otherwise(F.col("in_blocks"))).cast("int")
-    side = C.materialize(side.withColumn("block", block), "sides")
-    rows = rest.select("node", "shingles").join(side, "node")
-    # tasks (i, j): outer block i (side 0) with inner block j (j < in_blocks) or outer block j - in_blocks >= i
-    inner = rows.where("not outer").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1))).withColumn("j", F.col("block")).withColumn("side", F.lit(1))
-    as_first = rows.where("outer").withColumn("i", F.col("block")).withColumn("j", F.explode(F.concat(F.sequence(F.lit(0), F.col("in_blocks") - 1), F.sequence(F.col("in_blocks") + F.col("block"), F.col("in_blocks") + F.col("out_blocks") - 1)))).withColumn("side", F.lit(0))
-    as_second = rows.where("outer and block > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block") - 1))).withColumn("j", F.col("in_blocks") + F.col("block")).withColumn("side", F.lit(1))
-    cols = ["cluster", "i", "j", "node", "side", "label", "shingles"]
-    tasks = inner.select(*cols).unionByName(as_first.select(*cols)).unionByName(as_second.select(*cols))
-    return tasks.groupBy("cluster", "i", "j").applyInArrow(_searcher(percent, False), "a bigint, b bigint")
