@@ -48,6 +48,19 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import conversations_as_records, format_chat, read_chat
+
+    said = "</s>[INST] ok [/INST]"
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    out = read_chat(format_chat(conversations_as_records(turns.unionByName(extra))), ["conv_id"])
+    return out.select(
+        "conv_id", "n_turns", F.sha2("transcript", 256).alias("turns_sha256"), F.char_length("loss_text").cast("bigint").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_sequences
 
@@ -67,7 +80,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op4_token_files, op5_exact_dedup, op6_quality, op8_packing, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op4_token_files, op5_exact_dedup, op6_quality, op7_chat_format, op8_packing, op10_jaccard_join)}
 
 _WORDS = r"""
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)"""
