@@ -31,30 +31,35 @@ _HEAD = struct.Struct("<4sIQQIQ")
 _BLOCK_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("patched", "<u2"), ("n", "<u2")])
 
 
-def _widths(v: np.ndarray) -> np.ndarray:
-    return np.frexp(v.astype(np.float64))[1]
-
-
-def _pack(diffs: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+def _pack(diffs: np.ndarray, low: np.ndarray, n: np.ndarray) -> list[bytes]:
     """Images of blocks; diffs has a row for each block, padded with 0 beyond n."""
-    at = np.maximum(0, np.ceil(n * WIDTH_PERCENTILE / 100).astype(np.int64) - 1)
-    # the padding is smallest, so ranks count from the end of the row
-    rank = diffs.shape[1] - n + at
-    ordered = np.sort(diffs, axis=1)
-    width = _widths(ordered[np.arange(len(diffs)), rank])
+    if not len(diffs):
+        return []
+    at = np.maximum(0, -(-n * WIDTH_PERCENTILE // 100) - 1)
+    rank = diffs.shape[1] - n + at  # padding is smallest, so it comes first in a row's order
+    value = np.partition(diffs[:-1], rank[0], axis=1)[:, rank[0]] if len(diffs) > 1 else np.zeros(0, np.uint32)
+    value = np.append(value, np.sort(diffs[-1])[rank[-1]])
+    width = np.frexp(value.astype(np.float64))[1]
     out: list[bytes] = [b""] * len(diffs)
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
+        wide = np.dtype("<u2") if w <= 16 else np.dtype("<u4")
         for lo in range(0, len(rows), 64):
             part = rows[lo : lo + 64]
             d = diffs[part]
-            bits = ((d[:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8).reshape(len(part), -1)
-            packed = np.packbits(bits, axis=1, bitorder="little")
-            for r, k in enumerate(part):
-                over = np.flatnonzero(_widths(d[r]) > w)
-                head = np.array((low[k], w, len(over), n[k]), _BLOCK_HEAD).tobytes()
-                out[k] = head + packed[r, : (int(n[k]) * int(w) + 7) // 8].tobytes() + over.astype("<u2").tobytes() + d[r][over].astype("<u4").tobytes()
-    return out, width
+            if w == 8 * wide.itemsize:
+                packed = d.astype(wide).view(np.uint8)
+            else:
+                bits = np.unpackbits(d.astype(wide).view(np.uint8).reshape(-1, wide.itemsize), axis=1, bitorder="little", count=w or None)
+                packed = np.packbits(bits.reshape(len(part), -1), axis=1, bitorder="little")
+            r_of, c_of = np.nonzero(d >= (1 << w))
+            at = np.searchsorted(r_of, np.arange(len(part) + 1))
+            c_of, over = c_of.astype("<u2"), d[r_of, c_of].astype("<u4")
+            for r, k in enumerate(part.tolist()):
+                i, j = at[r], at[r + 1]
+                head = np.array((low[k], w, j - i, n[k]), _BLOCK_HEAD).tobytes()
+                out[k] = head + packed[r, : (int(n[k]) * w + 7) // 8].tobytes() + c_of[i:j].tobytes() + over[i:j].tobytes()
+    return out
 
 
 def write_shard(doc_ids: np.ndarray, bounds: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
@@ -71,7 +76,7 @@ def write_shard(doc_ids: np.ndarray, bounds: np.ndarray, ids: np.ndarray, block:
     diffs = rows - low[:, None]
     if n_blocks:
         diffs[-1, n[-1] :] = 0
-    images, _ = _pack(diffs, low, n) if n_blocks else ([], None)
+    images = _pack(diffs, low, n)
     offsets = np.cumsum([0, *map(len, images)])[:-1] if images else np.zeros(0)
     head = _HEAD.pack(b"PFOR", 1, len(doc_ids), len(ids), block, n_blocks)
     return b"".join([head, doc_ids.astype("<i8").tobytes(), bounds[:-1].astype("<u8").tobytes(), offsets.astype("<u8").tobytes(), *images])
@@ -91,27 +96,31 @@ class Shard:
         self.image, self.base = image, at + 16 * docs + 8 * self.n_blocks
 
     def read(self, start: int, stop: int) -> np.ndarray:
-        first = start // self.block
-        parts = [self._block(b) for b in range(first, -(-stop // self.block))]
-        whole = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        return whole[start - first * self.block : stop - first * self.block]
-
-    def _block(self, b: int) -> np.ndarray:
-        at = self.base + int(self.index[b])
-        low, w, patched, n = np.frombuffer(self.image, _BLOCK_HEAD, 1, at)[0].tolist()
+        """ids from start to stop, through the block index; blocks of one width are unpacked together."""
+        first, last = start // self.block, -(-stop // self.block)
+        if stop <= start:
+            return np.zeros(0, np.uint32)
+        at = self.base + self.index[first:last].astype(np.int64)
+        heads = np.array([self.image[i : i + _BLOCK_HEAD.itemsize] for i in at.tolist()]).view(_BLOCK_HEAD)
+        out = np.zeros((last - first, self.block), np.uint32)
+        size = (heads["n"].astype(np.int64) * heads["width"] + 7) // 8
         at += _BLOCK_HEAD.itemsize
-        size = (n * w + 7) // 8
-        raw = np.frombuffer(self.image, np.uint8, size, at)
-        if w:
-            bits = np.unpackbits(raw, count=n * w, bitorder="little").reshape(n, w)
-            full = np.zeros((n, 32), np.uint8)
-            full[:, :w] = bits
-            out = np.packbits(full, axis=1, bitorder="little").view("<u4").ravel()
-        else:
-            out = np.zeros(n, np.uint32)
-        over = np.frombuffer(self.image, "<u2", patched, at + size)
-        out[over] = np.frombuffer(self.image, "<u4", patched, at + size + 2 * patched)
-        return out + np.uint32(low)
+        for w, n in set(zip(heads["width"].tolist(), heads["n"].tolist())):
+            rows = np.flatnonzero((heads["width"] == w) & (heads["n"] == n))
+            step = (n * w + 7) // 8
+            raw = np.frombuffer(b"".join([self.image[i : i + step] for i in at[rows].tolist()]), np.uint8).reshape(len(rows), step)
+            wide = np.dtype("<u2") if w <= 16 else np.dtype("<u4")
+            if w == 8 * wide.itemsize:
+                out[rows, :n] = raw.view(wide)
+            elif w:
+                full = np.zeros((len(rows) * n, 8 * wide.itemsize), np.uint8)
+                full[:, :w] = np.unpackbits(raw, axis=1, count=n * w, bitorder="little").reshape(-1, w)
+                out[rows, :n] = np.packbits(full, axis=1, bitorder="little").view(wide).reshape(len(rows), n)
+        for r in np.flatnonzero(heads["patched"]).tolist():
+            p, i = int(heads["patched"][r]), int(at[r] + size[r])
+            out[r, np.frombuffer(self.image, "<u2", p, i)] = np.frombuffer(self.image, "<u4", p, i + 2 * p)
+        out += heads["low"][:, None]
+        return out.ravel()[start - first * self.block : stop - first * self.block]
 
 
 def _writer(id_col: str, text_col: str, vocabulary: str, leading_space: bool, end_id: int):
@@ -137,8 +146,8 @@ def _writer(id_col: str, text_col: str, vocabulary: str, leading_space: bool, en
         for batch in batches:
             names = batch.column(batch.schema.get_field_index(id_col)).fill_null(-(2**63)).to_pylist()
             col = batch.column(batch.schema.get_field_index(text_col))
-            for lo in range(0, len(names), 512):
-                ids, bounds = enc.encode(col.slice(lo, 512))
+            for lo in range(0, len(names), 4096):
+                ids, bounds = enc.encode(col.slice(lo, 4096))
                 for k in range(len(bounds) - 1):
                     docs.append(names[lo + k])
                     texts_ids.append(np.concatenate((ids[bounds[k] : bounds[k + 1]], end)))
