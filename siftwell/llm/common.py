@@ -32,6 +32,12 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts cross to Python in batches of so many rows: what the JVM and the worker hold at once is a few MB."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns that the operator will itself produce (compared without case)."""
     taken = {n.lower() for n in names}

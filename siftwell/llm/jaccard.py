@@ -6,8 +6,9 @@ each set it links to on one of these classes in full. The top level of the searc
 range, class, its shingles), which prunes exactly and lists no pairs. Sets that meet there are searched with
 signature trees: leaves are documents, nodes hold the OR of their documents' token bitmaps and their size
 range, and a dual traversal descends only into pairs of nodes whose largest possible overlap reaches the
-threshold. Leaves are compared exactly. Two passes: first every document against the smallest id of each of
-its classes; then, in classes whose documents are not all connected by then, everything that is not.
+threshold. Leaves are compared exactly. What meets directly or through others is a cluster. Clusters of up to
+BLOCK documents are searched at once; in larger ones each document is first compared with the smallest id that
+it meets, then what is not connected by that with everything else, by blocks or by class.
 
 Sets are of 64-bit shingle hashes; equal sets (128-bit sums of mixed hashes, and the size) are one node.
 """
@@ -23,10 +24,10 @@ from . import common as C
 from .graph import components
 
 BLOCK = 96
-KEYS_PER_BLOCK = 1 << 20
-KEYS_PER_BUCKET = 2 << 20
+KEYS_PER_BLOCK = 1 << 19
+KEYS_PER_BUCKET = 1 << 20
 FAN_OUT = 4
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 class Ranges:
@@ -338,6 +339,47 @@ def _search(tasks: DataFrame, shingled: DataFrame, percent: int, name: str) -> D
     return C.materialize(rows.groupBy("batch").applyInArrow(_searcher(percent), "a bigint, b bigint"), f"{name}-links")
 
 
+def _rest(named: DataFrame, size: int) -> DataFrame:
+    """Tasks that search large clusters (node, cluster, keys, label) for links between different labels.
+
+    A cluster is searched in the cheaper of two exact ways: by blocks, all that is outside its largest label
+    against everything, or by class, within each class that has several labels.
+    """
+    up = lambda n: F.ceil(n / F.lit(size)).cast("int")
+    count = C.materialize(named.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n")), "label-counts")
+    one = "18446744073709551616"
+    best = F.expr(f"cast(n as decimal(18,0)) * {one} + (9223372036854775807 - cast(label as decimal(20,0)))").cast("decimal(38,0)")
+    top = count.groupBy("cluster").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.max(best).alias("best")).where("labels > 1")
+    top = top.select("cluster", F.expr(f"cast(9223372036854775807 - best % {one} as bigint)").alias("main"), F.expr(f"cast((best - best % {one}) / {one} as bigint)").alias("inner"), "n")
+    top = top.withColumns({"outer": F.col("n") - F.col("inner"), "ins": up(F.col("inner")), "outs": up(F.col("n") - F.col("inner"))})
+    top = top.withColumn("by_block", F.col("inner") * F.col("outs") + F.col("outer") * (F.col("ins") + F.col("outs")))
+    keyed = C.materialize(named.select("node", "cluster", "label", F.explode("keys").alias("key")), "class-labels")
+    several = keyed.groupBy("cluster", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    several = C.materialize(several.select("cluster", "key", "n", up(F.col("n")).alias("blocks")), "open-classes")
+    by_class = several.groupBy("cluster").agg(F.sum(F.col("n") * F.col("blocks")).alias("by_class"))
+    plan = C.materialize(top.join(by_class, "cluster").select("cluster", "main", "ins", "outs", (F.col("by_block") <= F.col("by_class")).alias("blockwise")), "cluster-plans")
+    cols = ["task", "node", "side", "label"]
+
+    at = named.drop("keys").join(plan.where("blockwise"), "cluster").withColumn("out", F.col("label") != F.col("main"))
+    at = at.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins"))).cast("int"))
+    # task (i, j): outer block i against inner block j, or against outer block j - ins, itself included
+    upto = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    task = F.xxhash64("cluster", "i", "j").alias("task")
+    inner = at.where("not out").withColumn("i", upto(F.lit(0), F.col("outs") - 1)).withColumn("j", F.col("block")).withColumn("side", F.lit(1))
+    first = at.where("out").withColumn("i", F.col("block")).withColumn("j", F.explode(F.concat(F.sequence(F.lit(0), F.col("ins") - 1), F.sequence(F.col("ins") + F.col("block"), F.col("ins") + F.col("outs") - 1)))).withColumn("side", F.lit(0))
+    second = at.where("out and block > 0").withColumn("i", upto(F.lit(0), F.col("block") - 1)).withColumn("j", F.col("ins") + F.col("block")).withColumn("side", F.lit(1))
+    tasks = [x.withColumn("task", task).select(*cols) for x in (inner, first, second)]
+
+    inside = keyed.join(several.join(plan.where("not blockwise").select("cluster"), "cluster", "left_semi").select("key", "blocks"), "key")
+    inside = inside.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    tasks.append(inside.withColumn("other", upto(F.col("block"), F.col("blocks") - 1)).select(F.xxhash64("key", "block", "other").alias("task"), "node", F.lit(0).alias("side"), "label"))
+    tasks.append(inside.where("block > 0").withColumn("other", upto(F.lit(0), F.col("block") - 1)).select(F.xxhash64("key", "other", "block").alias("task"), "node", F.lit(1).alias("side"), "label"))
+    out = tasks[0]
+    for t in tasks[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
     """Link documents whose shingle sets have 100 * intersection >= percent * union; return components.
 
@@ -350,6 +392,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     parts = C.shuffle_partitions(spark)
+    C.small_batches(spark)
     sig = C.materialize(rows.mapInArrow(_signer(shingle, percent), "id bigint, n bigint, lo bigint, hi bigint, keys binary"), "signatures")
     members = sig.where("n > 0 and id is not null")
     sets = C.materialize(members.groupBy("lo", "hi", "n").agg(F.min("id").alias("node")), "sets")
@@ -365,23 +408,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = C.materialize(shared, "shared-classes")
     shingled = rows.withColumnRenamed("id", "node").join(shared.select("node").distinct(), "node").select("node", "text").mapInArrow(_shingler(shingle), "node bigint, shingles binary")
     shingled = C.materialize(shingled, "shingled")
-    # ---- first pass: every node against the least node of each of its classes
-    pairs = C.materialize(shared.select("node", F.explode("pivots").alias("pivot")), "pivots")
-    sizes = C.materialize(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")), "pivot-sizes")
-    task = F.xxhash64("pivot", "block")
-    outer = pairs.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select(task.alias("task"), "node", F.lit(1).alias("side"), F.col("node").alias("label"))
-    pivots = sizes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(task.alias("task"), F.col("pivot").alias("node"), F.lit(0).alias("side"), F.col("pivot").alias("label"))
-    links = _search(outer.unionByName(pivots), shingled, percent, "first-pass")
+    edges = shared.select(F.col("node").alias("a"), F.explode("pivots").alias("b"))
+    cluster = components(edges, "meeting").withColumnRenamed("id", "node").withColumnRenamed("component", "cluster")
+    cluster = C.materialize(cluster, "clusters")
+    size = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    cluster = C.materialize(cluster.join(C.materialize(size, "cluster-sizes"), "cluster"), "sized-clusters")
+    # ---- first pass: small clusters as they are; in large ones every node against its least pivot
+    tasks = cluster.where(F.col("size") <= block).select(F.xxhash64("cluster").alias("task"), "node", F.lit(0).alias("side"), F.col("node").alias("label"))
+    large = shared.join(cluster.where(F.col("size") > block), "node")
+    any_large = not large.isEmpty()
+    if any_large:
+        large = C.materialize(large, "large-clusters")
+        pairs = C.materialize(large.where(F.size("pivots") > 0).select("node", F.array_min("pivots").alias("pivot")), "pivots")
+        stars = C.materialize(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")), "pivot-sizes")
+        task = F.xxhash64("pivot", "block")
+        outer = pairs.join(stars, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select(task.alias("task"), "node", F.lit(1).alias("side"), F.col("node").alias("label"))
+        pivots = stars.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(task.alias("task"), F.col("pivot").alias("node"), F.lit(0).alias("side"), F.col("pivot").alias("label"))
+        tasks = tasks.unionByName(outer).unionByName(pivots)
+    links = _search(tasks, shingled, percent, "first-pass")
     labels = C.materialize(components(links, "links"), "labels")
-    # ---- second pass: classes whose nodes are not connected yet
-    named = C.materialize(shared.select("node", "keys").join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("label"), F.explode("keys").alias("key")), "class-labels")
-    open_classes = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-    open_classes = C.materialize(open_classes.select("key", F.ceil(F.col("size") / F.lit(block)).cast("int").alias("blocks")), "open-classes")
-    if not open_classes.isEmpty():
-        inside = named.join(open_classes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        as_first = inside.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).select(F.xxhash64("key", "block", "other").alias("task"), "node", F.lit(0).alias("side"), "label")
-        as_second = inside.where("block > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block") - 1))).select(F.xxhash64("key", "other", "block").alias("task"), "node", F.lit(1).alias("side"), "label")
-        more = _search(as_first.unionByName(as_second), shingled, percent, "second-pass")
+    # ---- second pass: what is not connected yet in large clusters
+    if any_large:
+        named = large.join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "cluster", "keys", F.coalesce("component", "node").alias("label"))
+        more = _search(_rest(C.materialize(named, "large-labels"), block), shingled, percent, "second-pass")
         if not more.isEmpty():
             labels = C.materialize(components(links.unionByName(more), "all-links"), "labels")
     found = sets.join(labels, sets.node == labels.id, "left").select("lo", "hi", "n", F.coalesce("component", "node").alias("found"))
