@@ -263,6 +263,7 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "emb
     found together: each node knows its k + 1 smallest ids. Rows that repeat an id count once. Fewer rows than
     k give fewer ranks; an empty table gives none.
     """
+    C.small_batches(df.sparkSession)
     rows = C.materialize(usable(df, id_col, vec_col).dropDuplicates(["id"]), "vectors")
     by_length = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
     empty = "query_id bigint, rank int, id bigint, score double"
