@@ -61,7 +61,7 @@ def resumable(embedded: DataFrame, current: DataFrame) -> DataFrame:
 
 
 class Generations:
-    """Versions of an index under one folder; _CURRENT names the one that readers use.
+    """Versions of an index under one folder; CURRENT names the one that readers use.
 
     Works on any file system of Spark's. A version is written whole, then published by renaming the pointer.
     """
@@ -73,10 +73,10 @@ class Generations:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def current(self) -> str | None:
-        pointer = self._path(f"{self.root}/_CURRENT")
+        pointer = self._path(f"{self.root}/CURRENT")
         if not self._fs.exists(pointer):
             return None
-        name = self.spark.read.text(f"{self.root}/_CURRENT").first()
+        name = self.spark.read.text(f"{self.root}/CURRENT").first()
         return name[0] if name else None
 
     def read(self, table: str) -> DataFrame | None:
@@ -95,7 +95,7 @@ class Generations:
 
     def publish(self, generation: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        temp, final = self._path(f"{self.root}/_CURRENT.{generation}"), self._path(f"{self.root}/_CURRENT")
+        temp, final = self._path(f"{self.root}/CURRENT.{generation}"), self._path(f"{self.root}/CURRENT")
         out = self._fs.create(temp, True)
         out.write(bytearray(f"{generation}\n".encode()))
         out.close()
