@@ -23,6 +23,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes every text and decodes it again; decoded_sha256 is of what came back."""
+    from .pieces import decode_pieces, encode_pieces
+
+    path, docs = vocabulary("piece_bpe_32k.model"), _table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = encode_pieces(docs, path).withColumnRenamed("doc_id", "of")
+    back = decode_pieces(encoded.select(F.struct("of", "n_tokens", F.crc32("ids").alias("crc")).alias("row"), "ids"), path, "row")
+    return back.select(F.col("row.of").alias("doc_id"), F.col("row.n_tokens").alias("n_tokens"), F.col("row.crc").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_table, write_token_table
 
@@ -89,7 +99,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op4_token_files, op5_exact_dedup, op6_quality, op7_chat_format, op8_packing, op9_nearest_neighbours, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_sentencepiece, op4_token_files, op5_exact_dedup, op6_quality, op7_chat_format, op8_packing, op9_nearest_neighbours, op10_jaccard_join)}
 
 _WORDS = r"""
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)"""
