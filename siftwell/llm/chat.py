@@ -88,8 +88,8 @@ class Layouts:
         found = paths(record)
         f = fingerprint(found)
         if f not in self.known:
-            empty = {m for m in self.mappings if m.turns is not None and m.turns + "[]" in found}
-            fit = [m for m in self.mappings if m.needs <= found] or list(empty)
+            empty = [m for m in self.mappings if m.turns is not None and m.turns + "[]" in found]
+            fit = [m for m in self.mappings if m.needs <= found] or empty
             if len(self.known) > 10_000:  # layouts come from data: forget rather than grow
                 self.known = {}
             self.known[f] = max(fit, key=lambda m: len(m.needs), default=None)
