@@ -83,7 +83,20 @@ def shingle_sets(col, k: int) -> tuple[np.ndarray, np.ndarray]:
     return every[new], np.searchsorted(doc[new], np.arange(len(size) + 1))
 
 
-def _signer(k: int, num: int):
+def _narrow(keys: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each key."""
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _widen(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view(np.uint64).ravel()
+
+
+def _signer(k: int, num: int, width: int = 0):
+    """Set sizes and digests of texts, and with a width their keys, one for each class that a set fills."""
+
     def sign(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 512):
@@ -95,6 +108,10 @@ def _signer(k: int, num: int):
                 sums = [np.zeros(len(n), np.uint64) for _ in range(2)]
                 np.add.at(sums[0], doc, m)
                 np.add.at(sums[1], doc, C.mix(s ^ np.uint64(0x5851F42D4C957F2D)))
+                cols = {"id": part.column(0), "n": pa.array(n, pa.int64()), "lo": pa.array(sums[0].view(np.int64)), "hi": pa.array(sums[1].view(np.int64))}
+                if not width:
+                    yield pa.record_batch(cols)
+                    continue
                 ranges = Ranges(num, int(n.max(initial=1)))
                 own = ranges.of(np.maximum(n, 1))
                 keys = []
@@ -111,20 +128,18 @@ def _signer(k: int, num: int):
                     # a set with too few full classes also says which of its classes are empty
                     full |= (np.bincount(of[full], minlength=len(n)) <= ranges.differ(space))[of]
                     keys.append((C.mix(acc[full]), np.searchsorted(of[full], np.arange(len(n) + 1))))
-                blobs = [b"".join(k[i[j] : i[j + 1]].tobytes() for k, i in keys) for j in range(len(n))]
-                yield pa.record_batch({
-                    "id": part.column(0), "n": pa.array(n, pa.int64()), "lo": pa.array(sums[0].view(np.int64)), "hi": pa.array(sums[1].view(np.int64)), "keys": pa.array(blobs, pa.binary()),
-                })
+                blobs = [b"".join(_narrow(k[i[j] : i[j + 1]], width) for k, i in keys) for j in range(len(n))]
+                yield pa.record_batch(cols | {"keys": pa.array(blobs, pa.binary())})
 
     return sign
 
 
-def _unique_keys(table: pa.Table):
+def _unique_keys(table: pa.Table, width: int):
     """Distinct keys of a block, the least and greatest node of each, and for every key of every node its place among them."""
     nodes = table.column("node").to_numpy()
     blobs = [x.as_py() for x in table.column("keys")]
-    every = np.frombuffer(b"".join(blobs), np.uint64)
-    owner = np.repeat(nodes, [len(x) // 8 for x in blobs])
+    every = _widen(b"".join(blobs), width)
+    owner = np.repeat(nodes, [len(x) // width for x in blobs])
     u, inverse = np.unique(every, return_inverse=True)
     least, most = np.full(len(u), np.iinfo(np.int64).max), np.full(len(u), np.iinfo(np.int64).min)
     np.minimum.at(least, inverse, owner)
@@ -140,15 +155,15 @@ def _from_planes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
-def _slices(u: np.ndarray, n_buckets: int) -> np.ndarray:
-    of = (u >> np.uint64(64 - (n_buckets.bit_length() - 1))).astype(np.int64) if n_buckets > 1 else np.zeros(len(u), np.int64)
+def _slices(u: np.ndarray, n_buckets: int, width: int) -> np.ndarray:
+    of = (u >> np.uint64(8 * width - (n_buckets.bit_length() - 1))).astype(np.int64) if n_buckets > 1 else np.zeros(len(u), np.int64)
     return np.searchsorted(of, np.arange(n_buckets + 1))
 
 
-def _key_sender(n_buckets: int):
+def _key_sender(n_buckets: int, width: int):
     def send(key, table):
-        u, least, most, _, _ = _unique_keys(table)
-        at = _slices(u, n_buckets)
+        u, least, most, _, _ = _unique_keys(table, width)
+        at = _slices(u, n_buckets, width)
         full = np.flatnonzero(np.diff(at))
         return pa.table({
             "bucket": pa.array(full, pa.int64()), "block": pa.array(np.full(len(full), key[0].as_py()), pa.int64()),
@@ -186,12 +201,12 @@ def _key_meeting(key, table):
     })
 
 
-def _linker(n_buckets: int):
+def _linker(n_buckets: int, width: int):
     """For each node with a key that another has: the least nodes of such keys, and the keys."""
 
     def link(key, table, answers):
-        u, least, most, inverse, owner = _unique_keys(table)
-        at = _slices(u, n_buckets)
+        u, least, most, inverse, owner = _unique_keys(table, width)
+        at = _slices(u, n_buckets, width)
         for b, bits, low, high in zip(*(answers.column(c).to_pylist() for c in ("bucket", "bits", "low", "high"))):
             lo, hi = at[b], at[b + 1]
             told = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)
@@ -393,18 +408,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     parts = C.shuffle_partitions(spark)
     C.small_batches(spark)
-    sig = C.materialize(rows.mapInArrow(_signer(shingle, percent), "id bigint, n bigint, lo bigint, hi bigint, keys binary"), "signatures")
-    members = sig.where("n > 0 and id is not null")
-    sets = C.materialize(members.groupBy("lo", "hi", "n").agg(F.min("id").alias("node")), "sets")
+    sig = C.materialize(rows.mapInArrow(_signer(shingle, percent), "id bigint, n bigint, lo bigint, hi bigint"), "signatures")
+    sets = C.materialize(sig.where("n > 0 and id is not null").groupBy("lo", "hi", "n").agg(F.min("id").alias("node")), "sets")
     # ---- nodes that agree on a class; equal sets have equal keys
-    reps = members.groupBy("lo", "hi", "n").agg(F.min("id").alias("node"), F.first("keys").alias("keys"))
-    total = int(sig.agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0)
-    n_blocks = max(parts, total // KEYS_PER_BLOCK + 1)
-    n_buckets = C.pow2(max(parts, total / KEYS_PER_BUCKET))
+    total = int(sets.agg(F.sum("n")).first()[0] or 0) * 2.6 * (100 - percent) / (100 + percent)
+    # so many bytes that a few thousand pairs of different keys at most look alike, which costs a look and no more
+    width = min(8, max(4, int(-(-(2 * np.log2(max(total, 2)) - 12) // 8))))
+    keyed = rows.mapInArrow(_signer(shingle, percent, width), "id bigint, n bigint, lo bigint, hi bigint, keys binary").where("n > 0 and id is not null")
+    reps = keyed.groupBy("lo", "hi", "n").agg(F.min("id").alias("node"), F.first("keys").alias("keys"))
+    n_blocks = max(parts, int(total) // KEYS_PER_BLOCK + 1)
+    n_buckets = min(C.pow2(max(parts, total / KEYS_PER_BUCKET)), 1 << (8 * width - 8))
     blocks = reps.select("node", "keys", F.pmod(F.xxhash64("node"), F.lit(n_blocks)).alias("block"))
-    sent = blocks.groupBy("block").applyInArrow(_key_sender(n_buckets), "bucket bigint, block bigint, keys binary, least binary, span binary")
+    sent = blocks.groupBy("block").applyInArrow(_key_sender(n_buckets, width), "bucket bigint, block bigint, keys binary, least binary, span binary")
     answers = sent.groupBy("bucket").applyInArrow(_key_meeting, "block bigint, bucket bigint, bits binary, low binary, high binary")
-    shared = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_linker(n_buckets), "node bigint, pivots array<bigint>, keys array<bigint>")
+    shared = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_linker(n_buckets, width), "node bigint, pivots array<bigint>, keys array<bigint>")
     shared = C.materialize(shared, "shared-classes")
     shingled = rows.withColumnRenamed("id", "node").join(shared.select("node").distinct(), "node").select("node", "text").mapInArrow(_shingler(shingle), "node bigint, shingles binary")
     shingled = C.materialize(shingled, "shingled")
@@ -434,5 +451,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not more.isEmpty():
             labels = C.materialize(components(links.unionByName(more), "all-links"), "labels")
     found = sets.join(labels, sets.node == labels.id, "left").select("lo", "hi", "n", F.coalesce("component", "node").alias("found"))
-    out = sig.drop("keys").join(found, ["lo", "hi", "n"], "left")
+    out = sig.join(found, ["lo", "hi", "n"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("found", "id")).alias("component_id"))
