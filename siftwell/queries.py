@@ -291,10 +291,38 @@ def _(spark, d):
     return rows.select("item", ck.declared_symbol(F.col("text")).alias("symbol"))
 
 
-@query("split_oversized")
+_SPLIT = f"""WITH RECURSIVE f AS {_lines(_DOCS)},
+t AS (SELECT filepath, ls, array_to_string(ls, chr(10)) AS x FROM f),
+b AS (SELECT filepath, ls, regexp_replace(x, '^\\n+|\\n+$', '', 'g') AS y, CAST(greatest(200, floor(440 * greatest(1.0, length(x) / (floor(length(x) / 1.6) + 1)) * 0.95)) AS BIGINT) AS budget FROM t),
+big AS (SELECT * FROM b WHERE {_TOKENS.format("y")} > 440),
+w AS (SELECT filepath, budget, n, i, substr(line, i * budget + 1, budget) AS piece FROM (SELECT filepath, budget, n, line, unnest(range(0, greatest(1, (length(line) + budget - 1) // budget))) AS i
+      FROM (SELECT filepath, budget, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM big))),
+g AS (SELECT filepath, budget, CAST(floor(budget * 0.12) AS BIGINT) AS carry, list(length(piece) ORDER BY n, i) AS len, list(n ORDER BY n, i) AS num FROM w GROUP BY filepath, budget),
+r AS (SELECT filepath, CAST(0 AS BIGINT) AS k, CAST(1 AS BIGINT) AS s, CAST(0 AS BIGINT) AS size, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS z FROM g
+  UNION ALL
+  SELECT filepath, k + 1, CASE WHEN cut THEN k + 1 - keep ELSE s END, (CASE WHEN cut THEN CASE keep WHEN 0 THEN 0 WHEN 1 THEN len[k] + 1 WHEN 2 THEN len[k] + len[k-1] + 2 ELSE len[k] + len[k-1] + len[k-2] + 3 END ELSE size END) + len[k+1] + 1,
+         CASE WHEN cut THEN s END, CASE WHEN cut THEN k END
+  FROM (SELECT *, CASE WHEN k < s OR len[k] > carry THEN 0 WHEN k - 1 < s OR len[k] + 1 + len[k-1] > carry THEN 1 WHEN k - 2 < s OR len[k] + len[k-1] + 2 + len[k-2] > carry THEN 2 ELSE 3 END AS keep
+        FROM (SELECT r.filepath, k, s, size, len, carry, k >= s AND size + len[k+1] + 1 > budget AS cut FROM r JOIN g USING (filepath) WHERE k < len(len)))),
+p AS (SELECT filepath, a, z FROM r WHERE a IS NOT NULL UNION ALL SELECT r.filepath, s, k FROM r JOIN g USING (filepath) WHERE k = len(g.len)),
+q AS (SELECT p.filepath, a, z, len[a:z] AS len, num[a:z] AS num, list_sum(len[a:z]) + z - a AS n_chars, greatest(200, CAST(floor(budget * 0.6) AS BIGINT)) AS finer FROM p JOIN g USING (filepath)),
+v AS (SELECT * FROM q WHERE floor(n_chars / 1.6) + 1 > 440 AND z > a),
+r2 AS (SELECT filepath, a, CAST(0 AS BIGINT) AS k, CAST(1 AS BIGINT) AS s, CAST(0 AS BIGINT) AS size, CAST(NULL AS BIGINT) AS f, CAST(NULL AS BIGINT) AS t FROM v
+  UNION ALL SELECT filepath, a, k + 1, CASE WHEN cut THEN k + 1 ELSE s END, CASE WHEN cut THEN 0 ELSE size END + len[k+1] + 1, CASE WHEN cut THEN s END, CASE WHEN cut THEN k END
+  FROM (SELECT r2.filepath, r2.a, k, s, size, len, k >= s AND size + len[k+1] + 1 > finer AS cut FROM r2 JOIN v ON v.filepath = r2.filepath AND v.a = r2.a WHERE k < len(len))),
+p2 AS (SELECT filepath, a, f, t FROM r2 WHERE f IS NOT NULL UNION ALL SELECT r2.filepath, r2.a, s, k FROM r2 JOIN v ON v.filepath = r2.filepath AND v.a = r2.a WHERE k = len(v.len)),
+every AS (SELECT filepath, z, CAST(0 AS BIGINT) AS sub, num[1] AS start_line, num[-1] AS end_line, n_chars FROM q WHERE NOT (floor(n_chars / 1.6) + 1 > 440 AND z > a)
+  UNION ALL SELECT p2.filepath, v.z, p2.t, num[f], num[t], list_sum(len[f:t]) + t - f FROM p2 JOIN v ON v.filepath = p2.filepath AND v.a = p2.a),
+o AS (SELECT filepath, start_line, end_line, n_chars, row_number() OVER (PARTITION BY filepath ORDER BY z, sub) AS part, count(*) OVER (PARTITION BY filepath) AS parts FROM every)
+SELECT filepath, part, parts, start_line, end_line, CAST(n_chars AS BIGINT) AS n_chars FROM o
+UNION ALL SELECT filepath, 1, 1, 1, len(ls), length(y) FROM b WHERE {_TOKENS.format("y")} <= 440"""
+
+
+@query("split_oversized", _SPLIT)
 def _(spark, d):
     spans = doc_files(spark, d).select("filepath", F.lit("other").alias("language"), F.lit("documentation").alias("doc_category"), F.lit("block").alias("symbol"), F.lit("").alias("parent_symbol"), F.lit("block").alias("type"), F.lit(1).alias("start_line"), X.lines(F.col("content")).alias("body"))
-    return ck.bounded(spans).select("filepath", "part", "parts", "start_line", "end_line", F.char_length("text").alias("n_chars"))
+    out = ck.bounded(spans)
+    return out.select("filepath", *[F.col(c).cast("bigint").alias(c) for c in ("part", "parts", "start_line", "end_line")], F.char_length("text").cast("bigint").alias("n_chars"))
 
 
 @query("skeleton_signature")
