@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-NEIGHBOURS = 20
-REVERSE = 36
-TREES = 6
+NEIGHBOURS = 28
+REVERSE = 48
+TREES = 8
 LEAF = 128
-ROUNDS = 4
-BEAM = 64
-EXPAND = 12
-STEPS = 16
+ROUNDS = 5
+BEAM = 320
+EXPAND = 32
+STEPS = 20
 TREE_SAMPLE = 8192
 ENTRIES = 256
 BATCH = 400
@@ -164,11 +164,15 @@ def _start(entries: np.ndarray, ids: np.ndarray, dim: int):
         for b in batches:
             x = _matrix(b.column(1), dim)
             s = x @ entries.T
-            m = min(EXPAND, len(ids))
-            best = np.argsort(-s, axis=1, kind="stable")[:, :m]
+            rows = []
+            for own, sims in zip(b.column(2).to_pylist(), s):
+                best = np.argsort(-sims, kind="stable")[:EXPAND]
+                best = best[ids[best] != own] if own is not None else best
+                mine = [own] if own is not None else []
+                rows.append((np.concatenate((np.array(mine, np.int64), ids[best])), np.concatenate((np.ones(len(mine)), sims[best])).astype(_F4)))
             yield pa.record_batch({
-                "query": b.column(0), "qv": b.column(1), "ids": pa.array([ids[r].tobytes() for r in best], pa.binary()),
-                "sims": pa.array([s[i, r].astype(_F4).tobytes() for i, r in enumerate(best)], pa.binary()), "done": pa.array([b""] * len(x), pa.binary()), "todo": pa.array([ids[r].tolist() for r in best], pa.list_(pa.int64())),
+                "query": b.column(0), "qv": b.column(1), "ids": pa.array([i.tobytes() for i, _ in rows], pa.binary()), "sims": pa.array([t.tobytes() for _, t in rows], pa.binary()),
+                "done": pa.array([b""] * len(x), pa.binary()), "todo": pa.array([i.tolist() for i, _ in rows], pa.list_(pa.int64())),
             })
 
     return start
@@ -215,7 +219,10 @@ def _found(batches):
 
 
 def graph_search(queries: DataFrame, graph: DataFrame, units: DataFrame, dim: int, n: int) -> DataFrame:
-    """(query, v) to (query, node): the nodes in each query's final beam."""
+    """(query, v, own) to (query, node): the nodes in each query's final beam.
+
+    own is the node with the query's vector, null if there is none; walks start there and at the entries.
+    """
     spark = units.sparkSession
     some = units.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, ENTRIES / max(n, 1)) * (1 << 30))).collect()
     if not some:
@@ -279,7 +286,10 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "emb
     asked = df.where(is_query).select(F.col(f"`{id_col}`").cast("bigint").alias("query")).distinct()
     asked = C.materialize(rows.join(asked, rows.id == asked.query).select("query", "x"), "queries")
     graph = neighbour_graph(units, dim, n)
-    found = graph_search(asked.select(F.col("query").alias("node"), "x").mapInArrow(_unit, "node bigint, v binary").withColumnRenamed("node", "query"), graph, units, dim, n)
+    vectors = asked.select(F.col("query").alias("node"), "x").mapInArrow(_unit, "node bigint, v binary").withColumnRenamed("node", "query")
+    owns = asked.join(nodes.select("x", "node"), "x", "left").select("query", F.col("node").alias("own"))
+    starts = vectors.join(owns, "query")
+    found = graph_search(starts, graph, units, dim, n)
     pairs = found.join(nodes.select("node", "x"), "node").join(asked.withColumnRenamed("x", "qx"), "query")
     scored = C.materialize(pairs.select("query", "node", "qx", "x").mapInArrow(_cosines, "query bigint, node bigint, score double"), "scores")
     each = scored.join(nodes.select("node", "members"), "node").select("query", "score", F.explode("members").alias("id")).where("id <> query")
