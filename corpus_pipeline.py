@@ -37,8 +37,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group that near copies connect; 5-word shingles, similarity 0.8."""
     found = jaccard_components(docs, shingle=5, percent=80)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = common.materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
+    return common.semi_join(docs, gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
