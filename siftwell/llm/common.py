@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -38,6 +39,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+BROADCAST_ROWS = 500_000
+
+
+def semi_join(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """Rows of df whose id is (left_anti: is not) in a written table of distinct ids.
+
+    Up to BROADCAST_ROWS ids, counted first, are broadcast, so that df does not move; more are joined by a shuffle.
+    """
+    ids = ids.select(on)
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, how)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns that the operator will itself produce (compared without case)."""
     taken = {n.lower() for n in names}
@@ -61,6 +74,17 @@ def text_bytes(df: DataFrame, text_col: str) -> tuple[int, int]:
     return int(r[0] or 0), int(r[1] or 0)
 
 
+def trim(used: int = 1 << 62) -> None:
+    """Give freed memory back to the system: a worker lives on after a stage, and with it what its allocators keep."""
+    if used < 1 << 19:
+        return
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift and multiply)."""
     x = x ^ (x >> np.uint64(30))

@@ -6,7 +6,7 @@ each set it links to on one of these classes in full. The top level of the searc
 range, class, its shingles), which prunes exactly and lists no pairs. Sets that meet there are searched with
 signature trees: leaves are documents, nodes hold the OR of their documents' token bitmaps and their size
 range, and a dual traversal descends only into pairs of nodes whose largest possible overlap reaches the
-threshold. Leaves are compared exactly. What meets directly or through others is a cluster. Clusters of up to
+threshold. Leaves that remain are compared exactly; only their texts are read again. What meets directly or through others is a cluster. Clusters of up to
 BLOCK documents are searched at once; in larger ones each document is first compared with the smallest id that
 it meets, then what is not connected by that with everything else, by blocks or by class.
 
@@ -129,7 +129,12 @@ def _signer(k: int, num: int, width: int = 0):
                     full |= (np.bincount(of[full], minlength=len(n)) <= ranges.differ(space))[of]
                     keys.append((C.mix(acc[full]), np.searchsorted(of[full], np.arange(len(n) + 1))))
                 blobs = [b"".join(_narrow(k[i[j] : i[j + 1]], width) for k, i in keys) for j in range(len(n))]
-                yield pa.record_batch(cols | {"keys": pa.array(blobs, pa.binary())})
+                bits = []
+                for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                    one = np.zeros(C.pow2(max(64, 2 * (j - i))), bool)
+                    one[(s[i:j] & np.uint64(len(one) - 1)).astype(np.int64)] = True
+                    bits.append(np.packbits(one).tobytes())
+                yield pa.record_batch(cols | {"keys": pa.array(blobs, pa.binary()), "bits": pa.array(bits, pa.binary())})
 
     return sign
 
@@ -193,6 +198,7 @@ def _key_meeting(key, table):
     spans = [(i, j) for i, j in zip(edge[:-1], edge[1:])]
     some = [r for r, (i, j) in enumerate(spans) if news[i:j].any()]
     told = [(i, j, news[i:j]) for i, j in (spans[r] for r in some)]
+    C.trim(len(every))
     return pa.table({
         "block": pa.array(table.column("block").to_numpy()[some], pa.int64()), "bucket": pa.array(np.full(len(some), key[0].as_py()), pa.int64()),
         "bits": pa.array([np.packbits(n).tobytes() for _, _, n in told], pa.binary()),
@@ -218,9 +224,12 @@ def _linker(n_buckets: int, width: int):
         edge = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
         ends = np.append(edge[1:], len(node))
         pivots = [np.unique(least[k[i:j]]) for i, j in zip(edge, ends)]
+        row = dict(zip(table.column("node").to_pylist(), range(table.num_rows)))
+        mine = table.select(["n", "bits"]).take(pa.array([row[x] for x in node[edge].tolist()], pa.int64()))
         longs = pa.list_(pa.int64())
+        C.trim(len(inverse))
         return pa.table({
-            "node": pa.array(node[edge], pa.int64()),
+            "node": pa.array(node[edge], pa.int64()), "n": mine.column("n"), "bits": mine.column("bits"),
             "pivots": pa.array([p[p < n] for p, n in zip(pivots, node[edge])], longs),
             "keys": pa.array([np.unique(u[k[i:j]]).view(np.int64) for i, j in zip(edge, ends)], longs),
         })
@@ -229,18 +238,14 @@ def _linker(n_buckets: int, width: int):
 
 
 class SignatureTree:
-    """Nodes of FAN_OUT children over sets ordered by their least shingles, so that like sets are near."""
-
-    def __init__(self, sets: list[np.ndarray], width: int):
-        self.sets = sets
-        n = len(sets)
-        order = sorted(range(n), key=lambda i: (sets[i][:1].tolist(), len(sets[i])))
-        bits = np.zeros((n, width), bool)
-        for row, i in enumerate(order):
-            bits[row, (sets[i] & np.uint64(width - 1)).astype(np.int64)] = True
-        size = np.array([len(sets[i]) for i in order], np.int64)
+    """Nodes of FAN_OUT children over token bitmaps, in the order of their bytes, so that like ones are near."""
+
+    def __init__(self, bits: list[bytes], sizes: list[int], width: int):
+        rows = np.array([np.bitwise_or.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), axis=0) for b in bits])
+        order = sorted(range(len(bits)), key=lambda i: rows[i].tobytes())
+        words, size = np.ascontiguousarray(rows[order]).view(np.uint64), np.array(sizes, np.int64)[order]
         self.leaf = order
-        self.levels = [(np.packbits(bits, axis=1).view(np.uint64), size, size, size - bits.sum(1))]
+        self.levels = [(words, size, size, size - np.bitwise_count(words).sum(axis=1, dtype=np.int64))]
         while len(self.levels[-1][1]) > 1:
             words, low, high, slack = self.levels[-1]
             at = np.arange(0, len(low), FAN_OUT)
@@ -250,8 +255,8 @@ class SignatureTree:
         return list(range(i * FAN_OUT, min((i + 1) * FAN_OUT, len(self.levels[level - 1][1]))))
 
 
-def tree_join(a: SignatureTree, b: SignatureTree, num: int, same: bool, linked, found) -> None:
-    """Dual traversal. linked(i, j): whether a leaf pair needs no look; found(i, j) gets each pair that links.
+def tree_join(a: SignatureTree, b: SignatureTree, num: int, same: bool, visit) -> None:
+    """Dual traversal: visit(i, j) gets each pair of leaves whose largest possible overlap reaches the threshold.
 
     An overlap is at most the common bits plus the shingles that share a bit with another in one of the sets.
     """
@@ -267,11 +272,8 @@ def tree_join(a: SignatureTree, b: SignatureTree, num: int, same: bool, linked,
             continue
         if la == 0 and lb == 0:
             x, y = a.leaf[i], b.leaf[j]
-            if same and i >= j or linked(x, y):
-                continue
-            common = len(np.intersect1d(a.sets[x], b.sets[y], assume_unique=True))
-            if (100 + num) * common >= num * (len(a.sets[x]) + len(b.sets[y])):
-                found(x, y)
+            if not same or i < j:
+                visit(x, y)
         elif la >= lb and la:
             for c in a.children(la, i):
                 # of two nodes of one tree, only the pairs in order are descended into
@@ -296,39 +298,85 @@ class _Union:
         return i != j
 
 
-def _searcher(num: int):
-    """Links inside the tasks of a batch, enough to connect what links connect.
+def _tasks(table: pa.Table, num: int, connected, visit) -> None:
+    """Run the trees of every task of a batch; visit(i, j) gets rows of the table.
 
     A task holds documents of side 0 alone, to be searched among themselves, or of sides 0 and 1, to be
-    searched against each other. Documents of one label are known to be connected.
+    searched against each other. connected(rows): whether a task needs no look.
     """
+    task, side = table.column("task").to_numpy(), table.column("side").to_numpy()
+    size, bits = table.column("n").to_pylist(), table.column("bits")
+    order = np.lexsort((side, task))
+    for rows in np.split(order, np.flatnonzero(np.diff(task[order])) + 1):
+        rows = rows.tolist()
+        if len(rows) < 2 or connected(rows):
+            continue
+        maps = {i: bits[i].as_py() for i in rows}
+        width = min(map(len, maps.values()))
+        groups = [[i for i in rows if side[i] == s] for s in (0, 1)]
+        trees = [SignatureTree([maps[i] for i in g], [size[i] for i in g], width) if g else None for g in groups]
+        a, b = (0, 1) if trees[0] and trees[1] else (0, 0) if trees[0] else (1, 1)
+        tree_join(trees[a], trees[b], num, a == b, lambda x, y, g=groups[a], h=groups[b]: visit(g[x], h[y]))
+
+
+def _pruner(num: int):
+    """The rows of tasks that have a partner of another label, as far as bitmaps and sizes can tell."""
+
+    def prune(key, table):
+        label, live = table.column("label").to_pylist(), np.zeros(table.num_rows, bool)
+
+        def visit(i, j):
+            if label[i] != label[j]:
+                live[i] = live[j] = True
+
+        _tasks(table, num, lambda rows: len({label[i] for i in rows}) < 2, visit)
+        return table.select(["task", "node", "side", "label", "n", "bits"]).filter(pa.array(live))
+
+    return prune
+
+
+def _grouper(num: int):
+    """Edges that connect what bitmaps and sizes alone cannot tell apart: a spanning forest of such pairs."""
+
+    def group(key, table):
+        nodes, at = np.unique(table.column("node").to_numpy(), return_inverse=True)
+        label, union, out = table.column("label").to_pylist(), _Union(len(nodes)), []
+
+        def visit(i, j):
+            if label[i] != label[j] and union.join(at[i], at[j]):
+                out.append((nodes[at[i]], nodes[at[j]]))
+
+        _tasks(table, num, lambda rows: len({label[i] for i in rows}) < 2, visit)
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return group
+
+
+def _searcher(num: int):
+    """Links inside the tasks of a batch, enough to connect what links connect."""
 
     def search(key, table):
-        task, side, nodes = (table.column(c).to_numpy() for c in ("task", "side", "node"))
-        blobs = table.column("shingles")
+        nodes, blobs = table.column("node").to_numpy(), table.column("shingles")
         labels, label = np.unique(table.column("label").to_numpy(), return_inverse=True)
-        union, out = _Union(len(labels)), []
-        order = np.lexsort((side, task))
-        for rows in np.split(order, np.flatnonzero(np.diff(task[order])) + 1):
-            if len({union.find(x) for x in label[rows].tolist()}) < 2:
-                continue
-            sets = {i: np.frombuffer(blobs[i].as_py(), np.uint64) for i in rows.tolist()}
-            width = 256
-            while width < 4 * max(map(len, sets.values())) and width < 1 << 15:
-                width *= 2
-            groups = [[i for i in rows.tolist() if side[i] == s] for s in (0, 1)]
-            trees = [SignatureTree([sets[i] for i in g], width) if g else None for g in groups]
-            a, b = (0, 1) if trees[0] and trees[1] else (0, 0) if trees[0] else (1, 1)
-
-            def found(x, y):
-                i, j = groups[a][x], groups[b][y]
-                if union.join(label[i], label[j]):
+        union, out, sets = _Union(len(labels)), [], {}
+
+        def set_of(i):
+            if i not in sets:
+                sets[i] = np.frombuffer(blobs[i].as_py(), np.uint64)
+            return sets[i]
+
+        def visit(i, j):
+            if union.find(label[i]) != union.find(label[j]):
+                a, b = set_of(i), set_of(j)
+                if (100 + num) * len(np.intersect1d(a, b, assume_unique=True)) >= num * (len(a) + len(b)):
+                    union.join(label[i], label[j])
                     out.append((nodes[i], nodes[j]))
 
-            def linked(x, y):
-                return union.find(label[groups[a][x]]) == union.find(label[groups[b][y]])
+        def connected(rows):
+            sets.clear()
+            return len({union.find(label[i]) for i in rows}) < 2
 
-            tree_join(trees[a], trees[b], num, a == b, linked, found)
+        _tasks(table, num, connected, visit)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return search
@@ -346,20 +394,35 @@ def _shingler(k: int):
     return shingles
 
 
-def _search(tasks: DataFrame, shingled: DataFrame, percent: int, name: str) -> DataFrame:
-    """tasks (task, node, side, label) with the nodes' sets, dealt evenly to batches of whole tasks."""
-    tasks = C.materialize(tasks, name)
-    batches = max(2 * C.shuffle_partitions(tasks.sparkSession), tasks.count() // BATCH_ROWS + 1)
-    rows = tasks.join(shingled, "node").withColumn("batch", F.pmod(F.xxhash64("task"), F.lit(batches)))
-    return C.materialize(rows.groupBy("batch").applyInArrow(_searcher(percent), "a bigint, b bigint"), f"{name}-links")
+def _dealt(tasks: DataFrame, n: int):
+    """n rows of tasks grouped evenly to batches of whole tasks."""
+    batches = max(2 * C.shuffle_partitions(tasks.sparkSession), n // BATCH_ROWS + 1)
+    return tasks.withColumn("batch", F.pmod(F.xxhash64("task"), F.lit(batches))).groupBy("batch")
 
 
-def _rest(named: DataFrame, size: int) -> DataFrame:
-    """Tasks that search large clusters (node, cluster, keys, label) for links between different labels.
+def _search(tasks: DataFrame, shared: DataFrame, rows: DataFrame, shingle: int, percent: int, name: str) -> DataFrame:
+    """Links that tasks (task, node, side, label) find, each node in few of them.
 
-    A cluster is searched in the cheaper of two exact ways: by blocks, all that is outside its largest label
-    against everything, or by class, within each class that has several labels.
+    Bitmaps go first: what has no partner by them is left out before any text or set is moved.
     """
+    tasks = C.materialize(tasks, name)
+    kind = "task bigint, node bigint, side int, label bigint, n bigint, bits binary"
+    live = C.materialize(_dealt(tasks.join(shared.select("node", "n", "bits"), "node"), tasks.count()).applyInArrow(_pruner(percent), kind), f"{name}-live")
+    nodes = C.materialize(live.select("node").distinct(), f"{name}-nodes")
+    texts = C.semi_join(rows.withColumnRenamed("id", "node"), nodes, "node")
+    shingled = C.materialize(texts.mapInArrow(_shingler(shingle), "node bigint, shingles binary"), f"{name}-sets")
+    return C.materialize(_dealt(live.join(shingled, "node"), live.count()).applyInArrow(_searcher(percent), "a bigint, b bigint"), f"{name}-links")
+
+
+def _families(tasks: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """(node, cluster): the groups that tasks' bitmaps cannot tell apart; every link lies inside one."""
+    tasks = C.materialize(tasks, "class-tasks")
+    edges = _dealt(tasks.join(shared.select("node", "n", "bits"), "node"), tasks.count()).applyInArrow(_grouper(percent), "a bigint, b bigint")
+    return C.materialize(components(C.materialize(edges, "alike"), "alike").select(F.col("id").alias("node"), F.col("component").alias("cluster")), "families")
+
+
+def _blocks(named: DataFrame, size: int) -> DataFrame:
+    """How clusters (node, cluster, label) of several labels divide: the largest label inside, the rest outside."""
     up = lambda n: F.ceil(n / F.lit(size)).cast("int")
     count = C.materialize(named.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n")), "label-counts")
     one = "18446744073709551616"
@@ -367,32 +430,53 @@ def _rest(named: DataFrame, size: int) -> DataFrame:
     top = count.groupBy("cluster").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.max(best).alias("best")).where("labels > 1")
     top = top.select("cluster", F.expr(f"cast(9223372036854775807 - best % {one} as bigint)").alias("main"), F.expr(f"cast((best - best % {one}) / {one} as bigint)").alias("inner"), "n")
     top = top.withColumns({"outer": F.col("n") - F.col("inner"), "ins": up(F.col("inner")), "outs": up(F.col("n") - F.col("inner"))})
-    top = top.withColumn("by_block", F.col("inner") * F.col("outs") + F.col("outer") * (F.col("ins") + F.col("outs")))
+    return C.materialize(top.withColumn("by_block", F.col("inner") * F.col("outs") + F.col("outer") * (F.col("ins") + F.col("outs"))), "cluster-blocks")
+
+
+_TASK = ["task", "node", "side", "label"]
+
+
+def _by_block(named: DataFrame, plan: DataFrame) -> DataFrame:
+    """Tasks (i, j): outer block i against inner block j, or against outer block j - ins, itself included."""
+    at = named.select("node", "cluster", "label").join(plan.select("cluster", "main", "ins", "outs"), "cluster").withColumn("out", F.col("label") != F.col("main"))
+    at = at.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins"))).cast("int"))
+    upto = lambda lo, hi: F.sequence(lo, hi)
+    inner = at.where("not out").withColumn("i", F.explode(upto(F.lit(0), F.col("outs") - 1))).withColumn("j", F.col("block")).withColumn("side", F.lit(1))
+    partners = F.concat(upto(F.lit(0), F.col("ins") - 1), upto(F.col("ins") + F.col("block"), F.col("ins") + F.col("outs") - 1))
+    first = at.where("out").withColumn("i", F.col("block")).withColumn("j", F.explode(partners)).withColumn("side", F.lit(0))
+    second = at.where("out and block > 0").withColumn("i", F.explode(upto(F.lit(0), F.col("block") - 1))).withColumn("j", F.col("ins") + F.col("block")).withColumn("side", F.lit(1))
+    parts = [x.withColumn("task", F.xxhash64("cluster", "i", "j")).select(*_TASK) for x in (inner, first, second)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _by_class(keyed: DataFrame, several: DataFrame) -> DataFrame:
+    """Tasks (class, i, j) of classes (key, blocks) over their nodes (node, label, key)."""
+    inside = keyed.join(several, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    first = inside.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).select(F.xxhash64("key", "block", "other").alias("task"), "node", F.lit(0).alias("side"), "label")
+    second = inside.where("block > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block") - 1))).select(F.xxhash64("key", "other", "block").alias("task"), "node", F.lit(1).alias("side"), "label")
+    return first.unionByName(second)
+
+
+def _rest(named: DataFrame, shared: DataFrame, percent: int, size: int) -> DataFrame:
+    """Tasks that search large clusters (node, cluster, keys, label) for links between different labels.
+
+    First by bitmaps alone, in the cheaper of two exact ways: by blocks, all that is outside a cluster's largest
+    label against everything, or by class, within each class that has several labels. What that cannot tell apart
+    are families; a family is one task, or if it is large is searched by blocks.
+    """
+    top = _blocks(named, size)
     keyed = C.materialize(named.select("node", "cluster", "label", F.explode("keys").alias("key")), "class-labels")
     several = keyed.groupBy("cluster", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    several = C.materialize(several.select("cluster", "key", "n", up(F.col("n")).alias("blocks")), "open-classes")
+    several = C.materialize(several.select("cluster", "key", "n", F.ceil(F.col("n") / F.lit(size)).cast("int").alias("blocks")), "open-classes")
     by_class = several.groupBy("cluster").agg(F.sum(F.col("n") * F.col("blocks")).alias("by_class"))
-    plan = C.materialize(top.join(by_class, "cluster").select("cluster", "main", "ins", "outs", (F.col("by_block") <= F.col("by_class")).alias("blockwise")), "cluster-plans")
-    cols = ["task", "node", "side", "label"]
-
-    at = named.drop("keys").join(plan.where("blockwise"), "cluster").withColumn("out", F.col("label") != F.col("main"))
-    at = at.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins"))).cast("int"))
-    # task (i, j): outer block i against inner block j, or against outer block j - ins, itself included
-    upto = lambda lo, hi: F.explode(F.sequence(lo, hi))
-    task = F.xxhash64("cluster", "i", "j").alias("task")
-    inner = at.where("not out").withColumn("i", upto(F.lit(0), F.col("outs") - 1)).withColumn("j", F.col("block")).withColumn("side", F.lit(1))
-    first = at.where("out").withColumn("i", F.col("block")).withColumn("j", F.explode(F.concat(F.sequence(F.lit(0), F.col("ins") - 1), F.sequence(F.col("ins") + F.col("block"), F.col("ins") + F.col("outs") - 1)))).withColumn("side", F.lit(0))
-    second = at.where("out and block > 0").withColumn("i", upto(F.lit(0), F.col("block") - 1)).withColumn("j", F.col("ins") + F.col("block")).withColumn("side", F.lit(1))
-    tasks = [x.withColumn("task", task).select(*cols) for x in (inner, first, second)]
-
-    inside = keyed.join(several.join(plan.where("not blockwise").select("cluster"), "cluster", "left_semi").select("key", "blocks"), "key")
-    inside = inside.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    tasks.append(inside.withColumn("other", upto(F.col("block"), F.col("blocks") - 1)).select(F.xxhash64("key", "block", "other").alias("task"), "node", F.lit(0).alias("side"), "label"))
-    tasks.append(inside.where("block > 0").withColumn("other", upto(F.lit(0), F.col("block") - 1)).select(F.xxhash64("key", "other", "block").alias("task"), "node", F.lit(1).alias("side"), "label"))
-    out = tasks[0]
-    for t in tasks[1:]:
-        out = out.unionByName(t)
-    return out
+    plan = C.materialize(top.join(by_class, "cluster").withColumn("blockwise", F.col("by_block") <= F.col("by_class")), "cluster-plans")
+    open_keys = several.join(plan.where("not blockwise").select("cluster"), "cluster", "left_semi").select("key", "blocks")
+    family = _families(_by_block(named, plan.where("blockwise")).unionByName(_by_class(keyed, open_keys)), shared, percent)
+    inside = C.materialize(family.join(named.select("node", "label"), "node"), "family-labels")
+    count = C.materialize(inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "family-sizes")
+    small = inside.join(count.where(F.col("n") <= size).select("cluster"), "cluster", "left_semi")
+    large = inside.join(count.where(F.col("n") > size).select("cluster"), "cluster", "left_semi")
+    return small.select(F.xxhash64("cluster").alias("task"), "node", F.lit(0).alias("side"), "label").unionByName(_by_block(large, _blocks(large, size)))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
@@ -400,9 +484,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Words are maximal runs outside [\\x20\\x09-\\x0D], A-Z lower-cased. Returns id_col, n_shingles and
     component_id (the smallest id reachable by links), one row per row of docs. Null texts and texts without
-    words have no shingles and link with nothing. Rows of one id are one document and share a component; a
-    null id links with nothing and has a null component. Other columns are not read. No link between
-    different texts is lost: every pass over pairs is exact.
+    words have no shingles and link with nothing. Ids name documents: rows that repeat an id with another text
+    share a component by equal texts, and by near links of one of the texts at least. A null id links with
+    nothing and has a null component. Other columns are not read. No link between documents is lost: every
+    pass over pairs is exact.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -414,17 +499,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = int(sets.agg(F.sum("n")).first()[0] or 0) * 2.6 * (100 - percent) / (100 + percent)
     # so many bytes that a few thousand pairs of different keys at most look alike, which costs a look and no more
     width = min(8, max(4, int(-(-(2 * np.log2(max(total, 2)) - 12) // 8))))
-    keyed = rows.mapInArrow(_signer(shingle, percent, width), "id bigint, n bigint, lo bigint, hi bigint, keys binary").where("n > 0 and id is not null")
-    reps = keyed.groupBy("lo", "hi", "n").agg(F.min("id").alias("node"), F.first("keys").alias("keys"))
+    keyed = rows.mapInArrow(_signer(shingle, percent, width), "id bigint, n bigint, lo bigint, hi bigint, keys binary, bits binary").where("n > 0 and id is not null")
+    reps = keyed.groupBy("lo", "hi", "n").agg(F.min("id").alias("node"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     n_blocks = max(parts, int(total) // KEYS_PER_BLOCK + 1)
     n_buckets = min(C.pow2(max(parts, total / KEYS_PER_BUCKET)), 1 << (8 * width - 8))
-    blocks = reps.select("node", "keys", F.pmod(F.xxhash64("node"), F.lit(n_blocks)).alias("block"))
+    blocks = reps.select("node", "n", "keys", "bits", F.pmod(F.xxhash64("node"), F.lit(n_blocks)).alias("block"))
     sent = blocks.groupBy("block").applyInArrow(_key_sender(n_buckets, width), "bucket bigint, block bigint, keys binary, least binary, span binary")
     answers = sent.groupBy("bucket").applyInArrow(_key_meeting, "block bigint, bucket bigint, bits binary, low binary, high binary")
-    shared = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_linker(n_buckets, width), "node bigint, pivots array<bigint>, keys array<bigint>")
+    shared = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_linker(n_buckets, width), "node bigint, n bigint, bits binary, pivots array<bigint>, keys array<bigint>")
     shared = C.materialize(shared, "shared-classes")
-    shingled = rows.withColumnRenamed("id", "node").join(shared.select("node").distinct(), "node").select("node", "text").mapInArrow(_shingler(shingle), "node bigint, shingles binary")
-    shingled = C.materialize(shingled, "shingled")
     edges = shared.select(F.col("node").alias("a"), F.explode("pivots").alias("b"))
     cluster = components(edges, "meeting").withColumnRenamed("id", "node").withColumnRenamed("component", "cluster")
     cluster = C.materialize(cluster, "clusters")
@@ -442,12 +525,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         outer = pairs.join(stars, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select(task.alias("task"), "node", F.lit(1).alias("side"), F.col("node").alias("label"))
         pivots = stars.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(task.alias("task"), F.col("pivot").alias("node"), F.lit(0).alias("side"), F.col("pivot").alias("label"))
         tasks = tasks.unionByName(outer).unionByName(pivots)
-    links = _search(tasks, shingled, percent, "first-pass")
+    links = _search(tasks, shared, rows, shingle, percent, "first-pass")
     labels = C.materialize(components(links, "links"), "labels")
     # ---- second pass: what is not connected yet in large clusters
     if any_large:
         named = large.join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "cluster", "keys", F.coalesce("component", "node").alias("label"))
-        more = _search(_rest(C.materialize(named, "large-labels"), block), shingled, percent, "second-pass")
+        more = _search(_rest(C.materialize(named, "large-labels"), shared, percent, block), shared, rows, shingle, percent, "second-pass")
         if not more.isEmpty():
             labels = C.materialize(components(links.unionByName(more), "all-links"), "labels")
     found = sets.join(labels, sets.node == labels.id, "left").select("lo", "hi", "n", F.coalesce("component", "node").alias("found"))
