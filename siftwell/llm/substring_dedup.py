@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-BLOCK_BYTES = 8 << 20
-BUCKET_HASHES = 4 << 20
+BLOCK_BYTES = 4 << 20
+BUCKET_HASHES = 2 << 20
 _SPANS = T.ArrayType(T.StructType().add("first", "long").add("last", "long"))
 
 
@@ -34,6 +34,7 @@ def _block_sender(text_col: str, k: int, n_buckets: int):
         of = (u >> shift).astype(np.int64) if n_buckets > 1 else np.zeros(len(u), np.int64)
         at = np.searchsorted(of, np.arange(n_buckets + 1))
         full = np.flatnonzero(np.diff(at))
+        C.trim(len(u))
         return pa.table({
             "bucket": pa.array(full, pa.int64()),
             "block": pa.array(np.full(len(full), key[0].as_py()), pa.int64()),
@@ -55,6 +56,8 @@ def _bucket_counter(key, table):
     bits = [many[i:j] for i, j in zip(at[:-1], at[1:])]
     some = [i for i, b in enumerate(bits) if b.any()]
     blocks = table.column("block").to_numpy()
+    del every, order, same
+    C.trim(len(many))
     return pa.table({
         "block": pa.array(blocks[some], pa.int64()),
         "bucket": pa.array(np.full(len(some), key[0].as_py()), pa.int64()),
@@ -95,6 +98,8 @@ def _block_cutter(text_col: str, k: int, n_buckets: int, names: list[str]):
             else:
                 spans.append([])
             kept.append(b" ".join(ws))
+        del u, inverse, count, win, at, raw
+        C.trim(len(data))
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         return table.select(names).append_column("n_words", pa.array(np.diff(bounds), pa.int64())).append_column(
             "n_removed", pa.array(removed, pa.int64())
@@ -113,6 +118,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = 35) -
     all copies of a passage go, the first one too. An empty table gives an empty table.
     """
     spark = docs.sparkSession
+    C.small_batches(spark)
     docs = C.without(docs, "n_words", "n_removed", "removed_spans", "kept_text", "__block")
     _, size = C.text_bytes(docs, text_col)
     parts = C.shuffle_partitions(spark)
