@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-CACHE_WORDS = 900_000
+CACHE_WORDS = 300_000
 STEP_BYTES = 4 << 20
 _UNKNOWN_PENALTY = 10.0
 _NORMAL, _BYTE = 1, 6

@@ -25,8 +25,10 @@ def vocabulary(name: str) -> str:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every text and decodes it again; decoded_sha256 is of what came back."""
+    from .common import small_batches
     from .pieces import decode_pieces, encode_pieces
 
+    small_batches(spark, 500)
     path, docs = vocabulary("piece_bpe_32k.model"), _table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = encode_pieces(docs, path).withColumnRenamed("doc_id", "of")
     back = decode_pieces(encoded.select(F.struct("of", "n_tokens", F.crc32("ids").alias("crc")).alias("row"), "ids"), path, "row")
