@@ -1,15 +1,17 @@
 """Approximate nearest neighbours by cosine: NN-descent and greedy graph search.
 
-Equal vectors are one node. The first graph comes from random-projection trees, fitted on a bounded sample:
-nodes of a leaf are compared with each other. NN-descent then joins neighbours of neighbours: each node's
-neighbours, either way, meet with their (8-bit) vectors, and pairs that beat a node's worst neighbour become
-edges. A query walks the graph from its nearest entry points, expanding its best unexpanded nodes by a join
-with the graph each step, until its best BEAM nodes are all expanded. Scores are cosines of the original
-vectors in double precision.
+Equal vectors are one node. The first graph comes from random-projection trees, fitted on a sample that grows
+with their depth; a task cuts what reaches a leaf further, at medians, and nodes of a part are compared with each
+other. NN-descent then joins neighbours of neighbours: each node's neighbours, either way, meet with their (8-bit)
+vectors, and pairs that beat a node's worst neighbour become edges, until a round changes few edges. A query walks
+the graph from its nearest entry points, expanding its best unexpanded nodes by a join with the graph each step,
+until its best nodes, a number that grows with the table, are all expanded. Scores are cosines of the original vectors in double precision.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,12 +23,13 @@ NEIGHBOURS = 28
 REVERSE = 48
 TREES = 8
 LEAF = 128
-ROUNDS = 5
-BEAM = 320
+CHANGED = 0.01  # rounds end when no larger share of the edges is new
+BEAM = 320  # or more, see beam()
 EXPAND = 32
-STEPS = 20
-TREE_SAMPLE = 8192
-ENTRIES = 256
+DEPTH = 9  # of the sampled trees, until their leaves hold more than TASK nodes
+TASK = 16384
+TREE_SAMPLE = 16  # a leaf of the sampled trees
+ENTRIES = 256  # or the square root of the nodes
 BATCH = 400
 _F4 = "<f4"
 
@@ -59,33 +62,47 @@ def _grow(sample: np.ndarray, depth: int, rng) -> list[tuple[np.ndarray, np.ndar
     return levels
 
 
-def _leaves(trees, dim: int, spread: int):
+def _leaves(trees, dim: int):
     def leaves(batches):
         for b in batches:
-            x, node = _matrix(b.column(1), dim), b.column(0).to_numpy()
+            x = _matrix(b.column(1), dim)
             for t, levels in enumerate(trees):
                 of = np.zeros(len(x), np.int64)
                 for way, cut in levels:
                     of = 2 * of + (np.einsum("ij,ij->i", x, way[of]) > cut[of])
-                part = C.mix(node.view(np.uint64) + np.uint64(t)) % np.uint64(spread)
-                yield pa.record_batch({"leaf": pa.array((np.int64(t) << 50) + of * spread + part.astype(np.int64)), "node": b.column(0), "v": b.column(1)})
+                yield pa.record_batch({"leaf": pa.array((np.int64(t) << 50) + of), "node": b.column(0), "v": b.column(1)})
 
     return leaves
 
 
+def _parts(x: np.ndarray, most: int, rng) -> list[np.ndarray]:
+    """The rows of x in parts of at most `most`: halves at the median of a random projection, as often as needed."""
+    todo, out = [np.arange(len(x))], []
+    while todo:
+        mine = todo.pop()
+        if len(mine) <= most:
+            out.append(mine)
+            continue
+        a, b = x[rng.choice(mine, 2, replace=False)]
+        order = np.argsort(x[mine] @ (a - b), kind="stable")
+        todo += [mine[order[: len(mine) // 2]], mine[order[len(mine) // 2 :]]]
+    return out
+
+
 def _within(dim: int, k: int):
-    """The k nearest of each node among the nodes of a leaf."""
+    """The k nearest of each node among the nodes of its part of a leaf."""
 
     def within(key, table):
-        node, x = table.column("node").to_numpy(), _matrix(table.column("v"), dim)
+        order = np.argsort(table.column("node").to_numpy())
+        node, x = table.column("node").to_numpy()[order], _matrix(table.column("v"), dim)[order]
         out = []
-        for lo in range(0, len(x), 512):
-            s = x[lo : lo + 512] @ x.T
-            s[np.arange(len(s)), lo + np.arange(len(s))] = -9
-            m = min(k, len(x) - 1)
+        for rows in _parts(x, 4 * LEAF, np.random.default_rng(key[0].as_py())):
+            s = x[rows] @ x[rows].T
+            np.fill_diagonal(s, -9)
+            m = min(k, len(rows) - 1)
             if m > 0:
                 best = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                out.append((np.repeat(node[lo : lo + 512], m), node[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
+                out.append((np.repeat(node[rows], m), node[rows][best].ravel(), np.take_along_axis(s, best, 1).ravel()))
         a, b, s = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
         return pa.table({"node": pa.array(a), "other": pa.array(b), "sim": pa.array(s.astype(np.float32))})
 
@@ -94,7 +111,7 @@ def _within(dim: int, k: int):
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
     """The k best edges of each node; Spark keeps the k best of each task before it moves rows."""
-    edges = edges.groupBy("node", "other").agg(F.max("sim").alias("sim"))
+    edges = edges.groupBy("node", "other").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
     w = Window.partitionBy("node").orderBy(F.desc("sim"), "other")
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
 
@@ -133,30 +150,35 @@ def _quantised(dim: int):
     return quantise
 
 
-def neighbour_graph(units: DataFrame, dim: int, n: int, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS, seed: int = 7) -> DataFrame:
+def tree_depth(n: int) -> int:
+    """Levels of the sampled trees for n nodes: leaves of LEAF nodes, or else of TASK nodes at most."""
+    return max(0, min(math.ceil(math.log2(max(n, 1) / LEAF)), max(DEPTH, math.ceil(math.log2(max(n, 1) / TASK)))))
+
+
+def neighbour_graph(units: DataFrame, dim: int, n: int, neighbours: int = NEIGHBOURS, changed: float = CHANGED, seed: int = 7) -> DataFrame:
     """(node, v) with unit vectors of n nodes to (node, other, sim), `neighbours` edges a node."""
     spark, rng = units.sparkSession, np.random.default_rng(seed)
-    share = min(1.0, TREE_SAMPLE / max(n, 1))
+    depth = tree_depth(n)
+    share = min(1.0, (TREE_SAMPLE << max(depth, DEPTH)) / max(n, 1))
     sample = units.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").collect()
     sample = np.frombuffer(b"".join(sorted(bytes(r[0]) for r in sample)), _F4).reshape(-1, dim)
-    depth = max(0, int(np.ceil(np.log2(max(1, min(n, 32 * max(1, len(sample))) / LEAF)))))
-    trees = [_grow(sample, min(depth, 9), rng) if len(sample) else [] for _ in range(TREES)]
-    spread = max(1, int(n / (1 << min(depth, 9)) / (2 * LEAF)))
-    leaf = units.mapInArrow(_leaves(trees, dim, spread), "leaf bigint, node bigint, v binary")
+    trees = [_grow(sample, depth, rng) if len(sample) else [] for _ in range(TREES)]
+    leaf = units.mapInArrow(_leaves(trees, dim), "leaf bigint, node bigint, v binary")
     first = leaf.groupBy("leaf").applyInArrow(_within(dim, neighbours), "node bigint, other bigint, sim float")
-    graph = C.materialize(_best(first, neighbours), "graph")
+    graph = C.materialize(_best(first.withColumn("new", F.lit(1)), neighbours), "graph")
     q = C.materialize(units.mapInArrow(_quantised(dim), "node bigint, q binary"), "quantised")
     batches = max(C.shuffle_partitions(spark), n // BATCH + 1)
-    for _ in range(rounds):
+    while graph.where("new = 1").count() > changed * n * neighbours:
+        graph = graph.drop("new")
         both = graph.select(F.col("node").alias("at"), F.col("other").alias("node"), "sim").unionByName(graph.select(F.col("other").alias("at"), "node", "sim"))
         w = Window.partitionBy("at").orderBy(F.desc("sim"), "node")
         near = both.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= REVERSE).drop("rank", "sim")
         worst = graph.groupBy("node").agg(F.when(F.count(F.lit(1)) >= neighbours, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
         known = C.materialize(q.join(worst, "node", "left").select("node", "q", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst")), "known")
         meet = near.join(known, "node").withColumn("batch", F.pmod(F.xxhash64("at"), F.lit(batches)))
-        new = meet.groupBy("batch").applyInArrow(_introduce(dim), "node bigint, other bigint, sim float")
-        graph = C.materialize(_best(graph.unionByName(new), neighbours), "graph")
-    return graph
+        found = meet.groupBy("batch").applyInArrow(_introduce(dim), "node bigint, other bigint, sim float")
+        graph = C.materialize(_best(graph.withColumn("new", F.lit(0)).unionByName(found.withColumn("new", F.lit(1))), neighbours), "graph")
+    return graph.drop("new")
 
 
 def _start(entries: np.ndarray, ids: np.ndarray, dim: int):
@@ -181,7 +203,12 @@ def _start(entries: np.ndarray, ids: np.ndarray, dim: int):
 _STATE = "query bigint, qv binary, ids binary, sims binary, done binary, todo array<bigint>"
 
 
-def _step(dim: int):
+def beam(n: int) -> int:
+    """Nodes that a walk holds: with a fixed number, recall falls as the table grows."""
+    return max(BEAM, math.isqrt(2 * n))
+
+
+def _step(dim: int, most: int):
     """Adds scored nodes to each query's list and names the best that are not expanded yet."""
 
     def step(key, state, found):
@@ -199,11 +226,11 @@ def _step(dim: int):
             ids = np.concatenate((ids, node[rows]))
             sims = np.concatenate((sims, v[rows] @ np.frombuffer(qv, _F4)))
             ids, at = np.unique(ids, return_index=True)
-            best = np.lexsort((ids, -sims[at]))[:BEAM]
+            best = np.lexsort((ids, -sims[at]))[:most]
             ids, sims = ids[best], sims[at][best]
             cols["ids"].append(ids.tobytes())
             cols["sims"].append(sims.astype(_F4).tobytes())
-            cols["done"].append(done[np.isin(done, ids)].tobytes())
+            cols["done"].append(done.tobytes())  # each step expands a node that is new here, so walks end
             cols["todo"].append(ids[~np.isin(ids, done)][:EXPAND].tolist())
         kind = {"todo": pa.list_(pa.int64())}
         return pa.table({"query": state.column("query"), "qv": state.column("qv"), **{c: pa.array(x, kind.get(c, pa.binary())) for c, x in cols.items()}})
@@ -224,7 +251,7 @@ def graph_search(queries: DataFrame, graph: DataFrame, units: DataFrame, dim: in
     own is the node with the query's vector, null if there is none; walks start there and at the entries.
     """
     spark = units.sparkSession
-    some = units.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, ENTRIES / max(n, 1)) * (1 << 30))).collect()
+    some = units.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, max(ENTRIES, math.isqrt(n)) / max(n, 1)) * (1 << 30))).collect()
     if not some:
         some = units.limit(1).collect()
     ids = np.array([r[0] for r in some], np.int64)
@@ -233,14 +260,12 @@ def graph_search(queries: DataFrame, graph: DataFrame, units: DataFrame, dim: in
     state = C.materialize(queries.mapInArrow(_start(entries, ids, dim), _STATE), "search")
     batches = max(C.shuffle_partitions(spark), int(state.count()) // BATCH + 1)
     batch = F.pmod(F.xxhash64("query"), F.lit(batches)).alias("batch")
-    for _ in range(STEPS):
+    while not state.where(F.size("todo") > 0).isEmpty():
         ahead = state.select("query", F.explode("todo").alias("node"))
         next_to = ahead.join(links, "node").select("query", F.explode("others").alias("node")).distinct()
         scored = next_to.join(units, "node").select("query", "node", "v", batch).toDF("of", "node", "v", "batch")
-        moved = state.withColumn("batch", batch).groupBy("batch").cogroup(scored.groupBy("batch")).applyInArrow(_step(dim), _STATE)
+        moved = state.withColumn("batch", batch).groupBy("batch").cogroup(scored.groupBy("batch")).applyInArrow(_step(dim, beam(n)), _STATE)
         state = C.materialize(moved, "search")
-        if state.where(F.size("todo") > 0).isEmpty():
-            break
     return state.select("query", "ids").mapInArrow(_found, "query bigint, node bigint")
 
 

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siftwell.llm import ann
 from siftwell.llm.ann import nearest
 from siftwell.llm.queries import QUERIES
 
@@ -57,3 +58,60 @@ def test_edges(spark):
     assert rows == [(50, 1, 7, 1.0), (50, 2, 8, 0.0), (50, 3, 100, -1.0), (100, 1, 8, 0.0), (100, 2, 7, -1.0), (100, 3, 50, -1.0)]
     assert nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert nearest(df.where("vec_id = 50"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def units_of(spark, x):
+    rows = [(i, bytearray((v / np.linalg.norm(v)).astype("<f4").tobytes())) for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, "node bigint, v binary").repartition(4).cache()
+
+
+def test_walks_end_only_when_all_nodes_are_expanded(spark):
+    """A chain of 44 nodes along an arc: one end is 22 steps or more from the only entry."""
+    n = 44
+    at = np.linspace(0, 2.5, n)
+    units = units_of(spark, np.stack((np.cos(at), np.sin(at)), axis=1))
+    graph = spark.createDataFrame([(i, j, 0.0) for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n], "node bigint, other bigint, sim float")
+    ends = units.where(f"node in (0, {n - 1})").select(F.col("node").alias("query"), "v", F.lit(None).cast("bigint").alias("own"))
+    found = {(r.query, r.node) for r in ann.graph_search(ends, graph, units, 2, 1 << 40).collect()}
+    assert (0, 0) in found and (n - 1, n - 1) in found
+
+
+def test_a_large_leaf_is_cut_by_projections(spark):
+    """Nodes that reach one leaf of the sampled trees: near ones are not dealt apart at random, and parts are bounded."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    x = (np.repeat(centres, 50, axis=0) + 0.05 * rng.normal(size=(2000, 16)))[rng.permutation(2000)]
+    # so large an n makes the sample empty, and with it the trees: all nodes reach one leaf each time
+    graph = ann.neighbour_graph(units_of(spark, x), 16, 1 << 40, 10).toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -9)
+    hit = sum(len(set(g.other) & set(np.argsort(-s[i])[:10])) for i, g in graph.groupby("node"))
+    assert hit >= 0.8 * 20_000
+
+
+def test_rounds_go_on_until_few_edges_change(spark):
+    """Two trees of small leaves are a poor start, from which five rounds are too few."""
+    rounds = []
+    put = ann.C.materialize
+
+    def counted(df, name, *rest):
+        rounds.extend([name] * (name == "known"))
+        return put(df, name, *rest)
+
+    x = np.random.default_rng(8).normal(size=(1500, 12))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ann.C, "materialize", counted)
+        m.setattr(ann, "LEAF", 8)
+        m.setattr(ann, "TREES", 2)
+        graph = ann.neighbour_graph(units_of(spark, x), 12, 1500, 10).toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -9)
+    hit = sum(len(set(g.other) & set(np.argsort(-s[i])[:10])) for i, g in graph.groupby("node"))
+    assert len(rounds) > 5 and hit >= 0.9 * 15_000
+
+
+def test_trees_and_walks_grow_with_the_nodes():
+    assert [ann.tree_depth(n) for n in (0, 1, 128, 256, 51_282, 1 << 20, 1 << 24, 1 << 27)] == [0, 0, 0, 1, 9, 9, 10, 13]
+    assert [ann.beam(n) for n in (0, 51_282, 200_000, 1 << 21)] == [320, 320, 632, 2048]
