@@ -6,7 +6,7 @@ of docs, but for the last one. run() applies them to documents, writing Parquet
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm import common
@@ -29,16 +29,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_quality(docs, model, score_col="__score").where(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
 
 
+def ids_name_rows(docs: DataFrame) -> bool:
+    """Whether no id is null or on several rows."""
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty()
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return exact_dedup(docs, with_columns=True).where("kept").select(*docs.columns)
+    kept = exact_dedup(docs, with_columns=True).where("kept")
+    if not ids_name_rows(docs):  # rows that share the kept row's id and length are all marked
+        one = Window.partitionBy("keep_id", "text_sha256").orderBy("text")
+        kept = kept.withColumn("__rank", F.row_number().over(one)).where(F.col("__rank") == 1)
+    return kept.select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group that near copies connect; 5-word shingles, similarity 0.8."""
-    found = jaccard_components(docs, shingle=5, percent=80)
-    gone = common.materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
-    return common.semi_join(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document of smallest id of each group that near copies connect; 5-word shingles, similarity 0.8.
+
+    Where ids are null or repeated, rows are told apart by numbers in the order of ids, null first.
+    """
+    rows, key = docs, "doc_id"
+    if not ids_name_rows(docs):
+        order, key = ["doc_id", F.xxhash64("text")], "__row"
+        sorted_rows = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+        rows = common.materialize(sorted_rows.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    found = jaccard_components(rows, id_col=key, shingle=5, percent=80)
+    gone = common.materialize(found.where(F.col("component_id") != F.col(key)).select(key).distinct(), "near-copies")
+    return common.semi_join(rows, gone, key, "left_anti").select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

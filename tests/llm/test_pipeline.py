@@ -61,3 +61,15 @@ def test_run_against_brute_force(spark):
     for i, text in want.items():
         ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
         assert zlib.crc32(b"".join(b for _, b in sorted(pieces[i]))) == zlib.crc32(ids)
+
+
+def test_repeated_and_null_ids(spark):
+    """A document on several rows stays once; a row that shares a removed near copy's id stays."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(1, a), (1, a), (1, a), (None, b), (None, b), (2, c), (3, c + " more"), (3, d), (None, e), (None, e + " more")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id bigint, text string, n_chars bigint").repartition(3)
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, DATA)
+    got = Counter((r.doc_id, r.text) for r in docs.collect())
+    assert set(got.values()) == {1} and len(got) == 5
+    assert {(1, a), (None, b), (2, c), (3, d)} < set(got) and set(got) & {(None, e), (None, e + " more")}
