@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 CACHE_WORDS = 300_000
 STEP_BYTES = 4 << 20
+SLICE = 4096
 _UNKNOWN_PENALTY = 10.0
 _NORMAL, _BYTE = 1, 6
 
@@ -151,7 +152,9 @@ class PieceModel:
         return out[::-1]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.stream([MARK + text.replace(" ", MARK)] if text else []) for i in ids]
+        """Ids of a text, which goes to stream() in slices, so that its tables cover a slice and what is not committed."""
+        slices = ((MARK if at == 0 else "") + text[at : at + SLICE].replace(" ", MARK) for at in range(0, len(text), SLICE))
+        return [i for ids in self.stream(slices) for i in ids]
 
     def decode(self, ids) -> str:
         """The text; bytes that are not UTF-8 become U+FFFD."""

@@ -66,6 +66,23 @@ def test_commits_before_the_end(model):
     assert len(committed) > 20 and max(map(len, committed)) < 200
 
 
+def test_long_texts_come_in_slices(model, monkeypatch):
+    """encode() hands over bounded slices, also for texts with runs of spaces; the ids are those of the whole text."""
+    sizes, stream = [], model.stream
+
+    def watched(chunks):
+        return stream(sizes.append(len(c)) or c for c in chunks)
+
+    rng = random.Random(4)
+    for n in (4095, 4096, 4097, 8192, 30_001):
+        text = "".join(rng.choice("abcdehlo  é漢\n,.") for _ in range(n))
+        whole = [i for ids in stream([MARK + text.replace(" ", MARK)]) for i in ids]
+        monkeypatch.setattr(model, "stream", watched)
+        assert model.encode(text) == whole
+        monkeypatch.undo()
+    assert max(sizes) <= 4097
+
+
 def test_round_trip(frame):
     texts = [None, "", " ", "  two  spaces ", "a\nb", "▁mark ▁", "漢字 é", "word " * 30_000, "x" * 20_000, "same", "same"]
     docs = frame([*enumerate(texts), (None, "no id")])
