@@ -6,9 +6,14 @@ each set it links to on one of these classes in full. The top level of the searc
 range, class, its shingles), which prunes exactly and lists no pairs. Sets that meet there are searched with
 signature trees: leaves are documents, nodes hold the OR of their documents' token bitmaps and their size
 range, and a dual traversal descends only into pairs of nodes whose largest possible overlap reaches the
-threshold. Leaves that remain are compared exactly; only their texts are read again. What meets directly or through others is a cluster. Clusters of up to
-BLOCK documents are searched at once; in larger ones each document is first compared with the smallest id that
-it meets, then what is not connected by that with everything else, by blocks or by class.
+threshold. Leaves that remain are compared exactly; only their texts are read again. What meets directly or
+through others is a cluster, and clusters of up to BLOCK documents are searched at once.
+
+Documents with a passage in common make large clusters of classes that hold nothing else. There the fan-out is
+refined: shingles are put in one order, rare ones of these documents first, and sets that link share one of
+the first |x| - ceil(t |x|) + 1 of either. A passage is last in that order, so it brings documents together only
+where it is nearly all of them. In clusters that are still large each document is first compared with the
+smallest id that it meets, then what is not connected by that with everything else, by blocks or by shingle.
 
 Sets are of 64-bit shingle hashes; equal sets (128-bit sums of mixed hashes, and the size) are one node.
 """
@@ -237,6 +242,105 @@ def _linker(n_buckets: int, width: int):
     return link
 
 
+def _meet(sets: DataFrame, total: float, width: int, name: str) -> DataFrame:
+    """(node, n, bits, pivots, keys) of the nodes of sets (node, n, keys, bits) that share a key; total: keys in all."""
+    parts = C.shuffle_partitions(sets.sparkSession)
+    n_blocks = max(parts, int(total) // KEYS_PER_BLOCK + 1)
+    n_buckets = min(C.pow2(max(parts, total / KEYS_PER_BUCKET)), 1 << (8 * width - 8))
+    blocks = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(n_blocks)))
+    sent = blocks.groupBy("block").applyInArrow(_key_sender(n_buckets, width), "bucket bigint, block bigint, keys binary, least binary, span binary")
+    answers = sent.groupBy("bucket").applyInArrow(_key_meeting, "block bigint, bucket bigint, bits binary, low binary, high binary")
+    shared = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_linker(n_buckets, width), "node bigint, n bigint, bits binary, pivots array<bigint>, keys array<bigint>")
+    return C.materialize(shared, name)
+
+
+def _clusters(shared: DataFrame, name: str) -> DataFrame:
+    """(cluster, node, size): what meets directly or through others."""
+    edges = shared.select(F.col("node").alias("a"), F.explode("pivots").alias("b"))
+    found = components(edges, name).select(F.col("component").alias("cluster"), F.col("id").alias("node"))
+    found = C.materialize(found, name)
+    size = C.materialize(found.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), f"{name}-sizes")
+    return C.materialize(found.join(size, "cluster"), f"{name}-sized")
+
+
+def _block_shingles(table: pa.Table):
+    """Nodes, set sizes and all shingles of a block; its distinct shingles with counts, and the place of each among them."""
+    every = np.frombuffer(b"".join(x.as_py() for x in table.column("shingles")), np.uint64)
+    return table.column("node").to_numpy(), table.column("n").to_numpy(), every, *np.unique(every, return_inverse=True, return_counts=True)
+
+
+def _count_sender(n_buckets: int):
+    def send(key, table):
+        _, _, _, u, _, count = _block_shingles(table)
+        at = _slices(u, n_buckets, 8)
+        full = np.flatnonzero(np.diff(at))
+        C.trim(len(u))
+        return pa.table({
+            "bucket": pa.array(full, pa.int64()), "block": pa.array(np.full(len(full), key[0].as_py()), pa.int64()),
+            "keys": pa.array([C.pack_sorted(u[at[b] : at[b + 1]]) for b in full], pa.binary()),
+            "counts": pa.array([_planes(count[at[b] : at[b + 1]].astype(np.int64)) for b in full], pa.binary()),
+        })
+
+    return send
+
+
+def _count_meeting(key, table):
+    """Tells each block how many sets have those of its shingles that another block has too."""
+    keys = [C.unpack_sorted(x.as_py()) for x in table.column("keys")]
+    count = np.concatenate([_from_planes(x.as_py()) for x in table.column("counts")])
+    u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(u), np.int64)
+    np.add.at(total, inverse, count)
+    news = total[inverse] > count
+    edge = np.cumsum([0, *map(len, keys)])
+    some = [r for r, (i, j) in enumerate(zip(edge[:-1], edge[1:])) if news[i:j].any()]
+    told = [(slice(edge[r], edge[r + 1]), news[edge[r] : edge[r + 1]]) for r in some]
+    C.trim(len(inverse))
+    return pa.table({
+        "block": pa.array(table.column("block").to_numpy()[some], pa.int64()), "bucket": pa.array(np.full(len(some), key[0].as_py()), pa.int64()),
+        "bits": pa.array([np.packbits(n).tobytes() for _, n in told], pa.binary()),
+        "totals": pa.array([_planes(total[inverse[at]][n]) for at, n in told], pa.binary()),
+    })
+
+
+def _prefixer(n_buckets: int, num: int):
+    """For each set the shingles among its first n - ceil(num n / 100) + 1, rare ones first, that another set has too."""
+
+    def prefix(key, table, answers):
+        node, n, every, u, inverse, count = _block_shingles(table)
+        count = count.astype(np.int64)
+        at = _slices(u, n_buckets, 8)
+        for b, bits, totals in zip(*(answers.column(c).to_pylist() for c in ("bucket", "bits", "totals"))):
+            told = np.unpackbits(np.frombuffer(bits, np.uint8), count=at[b + 1] - at[b]).astype(bool)
+            count[at[b] : at[b + 1]][told] = _from_planes(totals)
+        owner = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((every, count[inverse], owner))
+        rank = np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n)
+        use = (rank < (n + (-num * n) // 100 + 1)[owner]) & (count[inverse][order] > 1)
+        keys, bound = every[order][use], np.searchsorted(owner[use], np.arange(len(n) + 1))
+        full = np.flatnonzero(np.diff(bound))
+        C.trim(len(every))
+        return table.select(["node", "n", "bits"]).take(pa.array(full)).append_column("keys", pa.array([keys[bound[k] : bound[k + 1]].tobytes() for k in full], pa.binary()))
+
+    return prefix
+
+
+def _prefixes(crowd: DataFrame, shared: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, n, bits, keys) of the nodes of crowd whose prefix holds a shingle that another of them has."""
+    texts = C.semi_join(rows.withColumnRenamed("id", "node"), crowd, "node")
+    # an id on several rows with different texts has several sets: the one that stands for it is found by its size
+    sets = texts.mapInArrow(_shingler(shingle), "node bigint, shingles binary").withColumn("n", F.expr("octet_length(shingles) div 8"))
+    sets = C.materialize(sets.join(shared.select("node", "n", "bits"), ["node", "n"]), "crowd-sets")
+    total = int(sets.agg(F.sum("n")).first()[0] or 0)
+    parts = C.shuffle_partitions(rows.sparkSession)
+    n_blocks, n_buckets = max(parts, total // KEYS_PER_BLOCK + 1), C.pow2(max(parts, total / KEYS_PER_BUCKET))
+    blocks = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(n_blocks)))
+    sent = blocks.groupBy("block").applyInArrow(_count_sender(n_buckets), "bucket bigint, block bigint, keys binary, counts binary")
+    answers = sent.groupBy("bucket").applyInArrow(_count_meeting, "block bigint, bucket bigint, bits binary, totals binary")
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_prefixer(n_buckets, percent), "node bigint, n bigint, bits binary, keys binary")
+    return C.materialize(out, "prefixes")
+
+
 class SignatureTree:
     """Nodes of FAN_OUT children over token bitmaps, in the order of their bytes, so that like ones are near."""
 
@@ -489,10 +593,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nothing and has a null component. Other columns are not read. No link between documents is lost: every
     pass over pairs is exact.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    parts = C.shuffle_partitions(spark)
-    C.small_batches(spark)
+    C.small_batches(docs.sparkSession)
     sig = C.materialize(rows.mapInArrow(_signer(shingle, percent), "id bigint, n bigint, lo bigint, hi bigint"), "signatures")
     sets = C.materialize(sig.where("n > 0 and id is not null").groupBy("lo", "hi", "n").agg(F.min("id").alias("node")), "sets")
     # ---- nodes that agree on a class; equal sets have equal keys
@@ -501,23 +603,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     width = min(8, max(4, int(-(-(2 * np.log2(max(total, 2)) - 12) // 8))))
     keyed = rows.mapInArrow(_signer(shingle, percent, width), "id bigint, n bigint, lo bigint, hi bigint, keys binary, bits binary").where("n > 0 and id is not null")
     reps = keyed.groupBy("lo", "hi", "n").agg(F.min("id").alias("node"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
-    n_blocks = max(parts, int(total) // KEYS_PER_BLOCK + 1)
-    n_buckets = min(C.pow2(max(parts, total / KEYS_PER_BUCKET)), 1 << (8 * width - 8))
-    blocks = reps.select("node", "n", "keys", "bits", F.pmod(F.xxhash64("node"), F.lit(n_blocks)).alias("block"))
-    sent = blocks.groupBy("block").applyInArrow(_key_sender(n_buckets, width), "bucket bigint, block bigint, keys binary, least binary, span binary")
-    answers = sent.groupBy("bucket").applyInArrow(_key_meeting, "block bigint, bucket bigint, bits binary, low binary, high binary")
-    shared = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_linker(n_buckets, width), "node bigint, n bigint, bits binary, pivots array<bigint>, keys array<bigint>")
-    shared = C.materialize(shared, "shared-classes")
-    edges = shared.select(F.col("node").alias("a"), F.explode("pivots").alias("b"))
-    cluster = components(edges, "meeting").withColumnRenamed("id", "node").withColumnRenamed("component", "cluster")
-    cluster = C.materialize(cluster, "clusters")
-    size = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    cluster = C.materialize(cluster.join(C.materialize(size, "cluster-sizes"), "cluster"), "sized-clusters")
+    shared = _meet(reps.select("node", "n", "keys", "bits"), total, width, "shared-classes")
+    cluster = _clusters(shared, "clusters")
+    small = cluster.where(F.col("size") <= block).select("node", "cluster")
+    crowd = cluster.where(F.col("size") > block).select("node")
+    refined = not crowd.isEmpty()
+    if refined:
+        crowd = C.materialize(crowd, "crowd")
+        prefixes = _prefixes(crowd, shared, rows, shingle, percent)
+        met = _meet(prefixes, prefixes.agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0, 8, "shared-prefixes")
+        cluster = _clusters(met, "prefix-clusters")
+        small = small.unionByName(cluster.where(F.col("size") <= block).select("node", "cluster"))
     # ---- first pass: small clusters as they are; in large ones every node against its least pivot
-    tasks = cluster.where(F.col("size") <= block).select(F.xxhash64("cluster").alias("task"), "node", F.lit(0).alias("side"), F.col("node").alias("label"))
-    large = shared.join(cluster.where(F.col("size") > block), "node")
-    any_large = not large.isEmpty()
+    tasks = small.select(F.xxhash64("cluster").alias("task"), "node", F.lit(0).alias("side"), F.col("node").alias("label"))
+    any_large = refined and not cluster.where(F.col("size") > block).isEmpty()
     if any_large:
+        large = met.join(cluster.where(F.col("size") > block), "node")
         large = C.materialize(large, "large-clusters")
         pairs = C.materialize(large.where(F.size("pivots") > 0).select("node", F.array_min("pivots").alias("pivot")), "pivots")
         stars = C.materialize(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")), "pivot-sizes")
