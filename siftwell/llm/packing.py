@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .encode import encoder
+from .encode import encoder, slices, spans
 
 CAPACITY = 2048
 PIECE = 512
@@ -26,26 +26,41 @@ SLACK = 8  # tokens a window
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
-    """Deal items to k windows of near-equal sums."""
-    heap, made = [], {}
-    for i, n in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[0] = n
-        made[i] = (sums, [[i], *([] for _ in range(k - 1))])
-        heap.append((-n, i))
+    """Deal items to k windows of near-equal sums.
+
+    A partial partition holds its non-empty windows alone, largest first, so that all of them together hold no
+    more than the items; a window's items are a tree of pairs until the end.
+    """
+    heap, made = [(-n, i) for i, n in enumerate(sizes)], {i: ([n], [i]) for i, n in enumerate(sizes)}
     heapify(heap)
     new = len(sizes)
     while len(heap) > 1:
         (_, a), (_, b) = heappop(heap), heappop(heap)
         (sa, la), (sb, lb) = made.pop(a), made.pop(b)
-        s = sa + sb[::-1]
-        order = np.argsort(-s, kind="stable")
-        s = s[order]
-        merged = [la[j] + lb[k - 1 - j] for j in order.tolist()]
-        made[new] = (s, merged)
-        heappush(heap, (int(s[-1] - s[0]), new))
+        alone = max(0, k - len(sb))  # windows of a, from the largest, that meet none of b
+        sums, items = sa[:alone], la[:alone]
+        for j in range(alone, len(sa)):
+            sums.append(sa[j] + sb[k - 1 - j])
+            items.append((la[j], lb[k - 1 - j]))
+        rest = k - max(alone, len(sa))
+        sums += sb[:rest]
+        items += lb[:rest]
+        order = sorted(range(len(sums)), key=sums.__getitem__, reverse=True)
+        sums, items = [sums[j] for j in order], [items[j] for j in order]
+        made[new] = (sums, items)
+        heappush(heap, ((sums[-1] if len(sums) == k else 0) - sums[0], new))
         new += 1
-    return made[heap[0][1]][1] if heap else [[] for _ in range(k)]
+    out = []
+    for tree in made[heap[0][1]][1] if heap else []:
+        todo, window = [tree], []
+        while todo:
+            x = todo.pop()
+            if isinstance(x, tuple):
+                todo += x
+            else:
+                window.append(x)
+        out.append(window)
+    return out + [[] for _ in range(k - len(out))]
 
 
 def windows_for(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -101,34 +116,34 @@ def _packer(id_col: str, text_col: str, vocabulary: str, leading_space: bool, en
 
         enc, packer = encoder(vocabulary, leading_space), _Packer(capacity, piece, group)
         first = TaskContext.get().partitionId() << 40
-        names, held, before = [], [], 0
-        end = np.array([end_id], np.uint32)
+        # documents whose ids are still to go out: the number of the first, names, bounds, and the ids end to end
+        before, names, bounds, ids = 0, [], np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
         def rows():
-            nonlocal names, held, before
+            nonlocal before, names, bounds, ids
             r = np.array(packer.rows, np.int64).reshape(-1, 5)
-            done = r[:, 0] - before
             packer.rows = []
-            open_from = packer.pieces[0][0] if packer.pieces else before + len(held)
+            done, size = r[:, 0] - before, r[:, 2]
+            data, end = ids[spans(bounds[done] + r[:, 1], size)].astype("<u4"), np.concatenate(([0], 4 * np.cumsum(size)))
             out = pa.record_batch({
-                "id": pa.array([names[k] for k in done], pa.int64()), "start": pa.array(r[:, 1]), "length": pa.array(r[:, 2]),
-                "ids": pa.array([held[k][a : a + n].tobytes() for k, a, n in zip(done, r[:, 1], r[:, 2])], pa.binary()),
-                "doc_tokens": pa.array([len(held[k]) for k in done], pa.int64()), "sequence_id": pa.array(first + r[:, 3]), "offset": pa.array(r[:, 4]),
+                "id": pa.array([names[k] for k in done.tolist()], pa.int64()), "start": pa.array(r[:, 1]), "length": pa.array(size),
+                "ids": pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(r), [None, pa.py_buffer(end), pa.py_buffer(data)]).cast(pa.binary()),
+                "doc_tokens": pa.array(np.diff(bounds)[done]), "sequence_id": pa.array(first + r[:, 3]), "offset": pa.array(r[:, 4]),
             })
-            drop = open_from - before
-            names, held, before = names[drop:], held[drop:], open_from
+            drop = (packer.pieces[0][0] - before) if packer.pieces else len(names)
+            before, names, ids, bounds = before + drop, names[drop:], ids[bounds[drop] :].copy(), bounds[drop:] - bounds[drop]
             return out
 
-        doc = 0
         for batch in batches:
             ids_col, col = batch.column(batch.schema.get_field_index(id_col)), batch.column(batch.schema.get_field_index(text_col))
-            for lo in range(0, batch.num_rows, 4096):
-                ids, bounds = enc.encode(col.slice(lo, 4096))
-                names += ids_col.slice(lo, 4096).to_pylist()
-                for k in range(len(bounds) - 1):
-                    held.append(np.concatenate((ids[bounds[k] : bounds[k + 1]], end)))
-                    packer.add(doc, len(held[-1]))
-                    doc += 1
+            for lo, hi in slices(col):
+                more, at = enc.encode_ended(col.slice(lo, hi - lo), end_id)
+                doc = before + len(names)
+                names += ids_col.slice(lo, hi - lo).to_pylist()
+                ids, bounds = np.concatenate((ids, more)), np.concatenate((bounds, bounds[-1] + at[1:]))
+                del more
+                for k, n in enumerate(np.diff(at).tolist()):
+                    packer.add(doc + k, n)
                 if packer.rows:
                     yield rows()
         packer.close()

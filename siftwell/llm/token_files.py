@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
-from .encode import encoder
+from .encode import encoder, slices
 
 BLOCK = 1024
 SHARD_IDS = 1 << 20
@@ -64,6 +64,8 @@ def _pack(diffs: np.ndarray, low: np.ndarray, n: np.ndarray) -> list[bytes]:
 
 def write_shard(doc_ids: np.ndarray, bounds: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     """The image of documents whose ids lie end to end, document k from bounds[k] to bounds[k + 1]."""
+    if not 0 < block < 1 << 16:
+        raise ValueError("a block's counts and positions have 16 bits")
     n_blocks = -(-len(ids) // block)
     padded = np.zeros(n_blocks * block, np.uint32)
     padded[: len(ids)] = ids
@@ -127,34 +129,37 @@ def _writer(id_col: str, text_col: str, vocabulary: str, leading_space: bool, en
     def write(batches):
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
-        docs, texts_ids, held, before = [], [], 0, 0
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
+        docs, sizes, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         enc = encoder(vocabulary, leading_space)
 
         def shard():
-            nonlocal docs, texts_ids, held, seq, before
-            sizes = np.array([len(x) for x in texts_ids], np.int64)
-            image = write_shard(np.array(docs, np.int64), np.concatenate(([0], np.cumsum(sizes))), np.concatenate(texts_ids))
+            nonlocal docs, sizes, held, seq, before
+            ids, size = np.concatenate(held), np.concatenate(sizes)
+            image = write_shard(np.concatenate(docs), np.concatenate(([0], np.cumsum(size))), ids)
             row = pa.record_batch({
-                "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(docs)], pa.int64()),
-                "n_ids": pa.array([held], pa.int64()), "part_start": pa.array([before], pa.int64()), "content": pa.array([image], pa.binary()),
+                "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(size)], pa.int64()),
+                "n_ids": pa.array([len(ids)], pa.int64()), "part_start": pa.array([before], pa.int64()), "content": pa.array([image], pa.binary()),
             })
-            before, seq, docs, texts_ids, held = before + held, seq + 1, [], [], 0
+            before, seq, docs, sizes, held = before + len(ids), seq + 1, docs[:0], sizes[:0], held[:0]
             return row
 
-        end = np.array([end_id], np.uint32)
         for batch in batches:
-            names = batch.column(batch.schema.get_field_index(id_col)).fill_null(-(2**63)).to_pylist()
+            names = batch.column(batch.schema.get_field_index(id_col)).fill_null(-(2**63)).to_numpy()
             col = batch.column(batch.schema.get_field_index(text_col))
-            for lo in range(0, len(names), 4096):
-                ids, bounds = enc.encode(col.slice(lo, 4096))
-                for k in range(len(bounds) - 1):
-                    docs.append(names[lo + k])
-                    texts_ids.append(np.concatenate((ids[bounds[k] : bounds[k + 1]], end)))
-                    held += len(texts_ids[-1])
-                    if held >= SHARD_IDS:
+            for lo, hi in slices(col):
+                ids, bounds = enc.encode_ended(col.slice(lo, hi - lo), end_id)
+                k = 0
+                while k < hi - lo:  # whole documents, until the shard is full
+                    room = SHARD_IDS - sum(map(len, held))
+                    j = min(hi - lo, int(np.searchsorted(bounds, bounds[k] + room)))
+                    docs.append(names[lo + k : lo + j])
+                    sizes.append(np.diff(bounds[k : j + 1]))
+                    held.append(ids[bounds[k] : bounds[j]])
+                    k = j
+                    if sum(map(len, held)) >= SHARD_IDS:
                         yield shard()
-        if docs:
+        if any(map(len, sizes)):
             yield shard()
 
     return write

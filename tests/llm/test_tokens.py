@@ -1,6 +1,9 @@
 """The word-wise encoder, token files and packing against the tokenizers library."""
 
 import random
+import sys
+import tracemalloc
+import unicodedata
 import zlib
 
 import numpy as np
@@ -11,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from siftwell.llm import encode
 from siftwell.llm.encode import WordEncoder
 from siftwell.llm.packing import _Packer, differencing, pack_sequences, windows_for
 from siftwell.llm.token_files import Shard, read_token_table, write_shard, write_token_table
@@ -45,6 +49,28 @@ def test_encoder_on_any_text(texts):
         assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("path,lead", [(BYTES, True), (WORDS, False)])
+def test_every_letter_before_a_mark(path, lead):
+    """Letters that a vocabulary's normaliser takes apart are not followed by the mark alone."""
+    letters = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in "LMN"]
+    texts = [" ".join(f"{c}{m}" for c in letters[i : i + 50]) for m in (".", ",", ". x") for i in range(0, len(letters), 50)]
+    enc, tok = _cached(path, lead)
+    ids, at = enc.encode(pa.array(texts))
+    for k, e in enumerate(tok.encode_batch(texts, add_special_tokens=False)):
+        assert ids[at[k] : at[k + 1]].tolist() == e.ids, texts[k]
+
+
+def test_the_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(encode, "CACHE_WORDS", 50)
+    enc, tok = WordEncoder(WORDS, False), library(WORDS)
+    rng = random.Random(2)
+    for _ in range(12):
+        texts = [" ".join(f"{rng.choice('abc')}x{chr(97 + rng.randrange(26))}{rng.choice(['', '.', 'é'])}" for _ in range(20)) for _ in range(8)]
+        ids, at = enc.encode(pa.array(texts))
+        assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert len(enc.known) < 50 + 8 * 20
+
+
 _KEPT = {}
 
 
@@ -117,6 +143,23 @@ def test_packer_covers_documents(sizes):
         assert [o for o, _ in mine] == np.cumsum([0, *(n for _, n in mine)])[:-1].tolist() and sum(n for _, n in mine) <= 16
 
 
+def test_many_small_pieces_take_little_memory():
+    tracemalloc.start()
+    p = _Packer(2048, 512, 96)
+    for d in range(200_000):
+        p.add(d, 1)
+    p.close()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150e6 and len(p.rows) == 200_000
+    assert max(r[4] for r in p.rows) < 2048 and len({r[3] for r in p.rows}) <= 99
+
+
+def test_shards_refuse_blocks_that_overflow():
+    with pytest.raises(ValueError):
+        write_shard(np.array([1]), np.array([0, 1]), np.ones(1, np.uint32), block=1 << 16)
+
+
 def test_pack_sequences(frame):
     rows = [*enumerate(ODD), (None, "none"), *((100 + i, "some words here " * (i % 97)) for i in range(300))]
     out = pack_sequences(frame(rows), WORDS, False, 1, capacity=256, piece=64, group_windows=8).collect()
