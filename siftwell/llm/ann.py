@@ -169,7 +169,7 @@ def neighbour_graph(units: DataFrame, dim: int, n: int, neighbours: int = NEIGHB
     q = C.materialize(units.mapInArrow(_quantised(dim), "node bigint, q binary"), "quantised")
     batches = max(C.shuffle_partitions(spark), n // BATCH + 1)
     while graph.where("new = 1").count() > changed * n * neighbours:
-        graph = graph.drop("new")
+        old, graph = graph, graph.drop("new")
         both = graph.select(F.col("node").alias("at"), F.col("other").alias("node"), "sim").unionByName(graph.select(F.col("other").alias("at"), "node", "sim"))
         w = Window.partitionBy("at").orderBy(F.desc("sim"), "node")
         near = both.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= REVERSE).drop("rank", "sim")
@@ -178,6 +178,8 @@ def neighbour_graph(units: DataFrame, dim: int, n: int, neighbours: int = NEIGHB
         meet = near.join(known, "node").withColumn("batch", F.pmod(F.xxhash64("at"), F.lit(batches)))
         found = meet.groupBy("batch").applyInArrow(_introduce(dim), "node bigint, other bigint, sim float")
         graph = C.materialize(_best(graph.withColumn("new", F.lit(0)).unionByName(found.withColumn("new", F.lit(1))), neighbours), "graph")
+        C.drop(old)
+        C.drop(known)
     return graph.drop("new")
 
 
@@ -265,7 +267,8 @@ def graph_search(queries: DataFrame, graph: DataFrame, units: DataFrame, dim: in
         next_to = ahead.join(links, "node").select("query", F.explode("others").alias("node")).distinct()
         scored = next_to.join(units, "node").select("query", "node", "v", batch).toDF("of", "node", "v", "batch")
         moved = state.withColumn("batch", batch).groupBy("batch").cogroup(scored.groupBy("batch")).applyInArrow(_step(dim, beam(n)), _STATE)
-        state = C.materialize(moved, "search")
+        state, old = C.materialize(moved, "search"), state
+        C.drop(old)
     return state.select("query", "ids").mapInArrow(_found, "query bigint, node bigint")
 
 
@@ -292,11 +295,12 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "emb
 
     Ranks go by cosine, ties to the smaller id. Vectors that are null, zero or hold null or non-finite
     components take no part, nor do rows with a null id or of another length than most. Equal vectors are
-    found together: each node knows its k + 1 smallest ids. Rows that repeat an id count once. Fewer rows than
+    found together: each node knows its k + 1 smallest ids. Of rows that repeat an id
+    the one with the least vector (compared component by component) counts. Fewer rows than
     k give fewer ranks; an empty table gives none.
     """
     C.small_batches(df.sparkSession)
-    rows = C.materialize(usable(df, id_col, vec_col).dropDuplicates(["id"]), "vectors")
+    rows = C.materialize(usable(df, id_col, vec_col).groupBy("id").agg(F.min("x").alias("x")), "vectors")
     by_length = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
     empty = "query_id bigint, rank int, id bigint, score double"
     if by_length is None:

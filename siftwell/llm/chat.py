@@ -67,11 +67,16 @@ MAPPINGS = [
 
 def paths(value, at: str = "") -> set[str]:
     """Nested field paths of a JSON value; [] stands for the items of a list."""
-    if isinstance(value, dict):
-        return set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) if value else {at + "{}"}
-    if isinstance(value, list):
-        return set().union(*(paths(v, at + "[]") for v in value)) if value else {at + "[]"}
-    return {at}
+    todo, out = [(value, at)], set()
+    while todo:
+        v, at = todo.pop()
+        if isinstance(v, dict) and v:
+            todo += [(x, f"{at}.{k}" if at else k) for k, x in v.items()]
+        elif isinstance(v, list) and v:
+            todo += [(x, at + "[]") for x in v]
+        else:
+            out.add(at + ("{}" if isinstance(v, dict) else "[]" if isinstance(v, list) else ""))
+    return out
 
 
 def fingerprint(found: set[str]) -> str:
@@ -136,8 +141,8 @@ _SPANS = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
 def format_chat(df: DataFrame, record_col: str = "record", learn: str = "assistant", mappings: list[Mapping] | None = None) -> DataFrame:
     """df with layout (fingerprint), status, formatted and loss_spans for the JSON records of record_col.
 
-    status is ok, invalid (null or not JSON) or unknown (no mapping fits); the latter two have null formatted
-    and no spans. Null roles and texts are empty; texts that are not strings are written as JSON. An empty
+    status is ok, invalid (null, not JSON, JSON that holds half a surrogate pair or is nested deeper than the parser
+    or writer goes) or unknown (no mapping fits); the latter two have null formatted and no spans. Null roles and texts are empty; texts that are not strings are written as JSON. An empty
     list of turns gives ''. Input columns of the result's names are replaced.
     """
     df = C.without(df, "layout", "status", "formatted", "loss_spans")
@@ -150,15 +155,13 @@ def format_chat(df: DataFrame, record_col: str = "record", learn: str = "assista
             for x in b.column(where).to_pylist():
                 try:
                     record = json.loads(x)
-                except (TypeError, ValueError):
+                    f, m = layouts.of(record)
+                    text, spans = write(turns_of(record, m), learn) if m else (None, [])
+                    (text or "").encode()
+                except (TypeError, ValueError, RecursionError):
                     rows.append((None, "invalid", None, []))
                     continue
-                f, m = layouts.of(record)
-                if m is None:
-                    rows.append((f, "unknown", None, []))
-                    continue
-                text, spans = write(turns_of(record, m), learn)
-                rows.append((f, "ok", text, [{"start": i, "end": j} for i, j in spans]))
+                rows.append((f, "ok" if m else "unknown", text, [{"start": i, "end": j} for i, j in spans]))
             f, s, t, p = (list(c) for c in zip(*rows)) if rows else ([], [], [], [])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(f, pa.string()), pa.array(s, pa.string()), pa.array(t, pa.string()), pa.array(p, kind)], [*b.schema.names, "layout", "status", "formatted", "loss_spans"])
@@ -188,12 +191,30 @@ def read_chat(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.mapInArrow(run, out)
 
 
-def conversations_as_records(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
+_LISTS = {"messages": ("role", "content"), "conversations": ("from", "value"), "conversation": ("role", "content"), "turns": ("speaker", "text"), "": ("role", "content")}
+_PAIRS = [("instruction", "output"), ("instruction", "response"), ("prompt", "completion"), ("prompt", "response"), ("question", "answer")]
+
+
+def conversations_as_records(df: DataFrame, id_col: str = "conv_id", every_layout: bool = False) -> DataFrame:
     """Rows of single turns (id, turn, role, text) as one JSON record a conversation, in the layout of messages.
 
-    Turns are ordered by turn, then role and text; null roles and texts are empty.
+    Turns are ordered by turn, then role and text; null roles and texts are empty. every_layout deals conversations by
+    the hash of their id over all layouts of turns, and those of one user's and one assistant's text, neither empty,
+    over the layouts of pairs as well.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turns = F.sort_array(F.collect_list(F.struct("turn", text("role").alias("role"), text("text").alias("content"))))
-    messages = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return df.groupBy(id_col).agg(F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    grouped = df.groupBy(id_col).agg(turns.alias("turns"))
+
+    def listed(name, role, text):
+        items = F.transform("turns", lambda t: F.struct(t["role"].alias(role), t["content"].alias(text)))
+        return F.to_json(F.struct(items.alias(name)) if name else items)
+
+    if not every_layout:
+        return grouped.select(id_col, listed("messages", *_LISTS["messages"]).alias("record"))
+    first, second = F.get("turns", F.lit(0)), F.get("turns", F.lit(1))
+    pair = (F.size("turns") == 2) & (first["role"] == "user") & (second["role"] == "assistant") & (first["content"] != "") & (second["content"] != "")
+    kind = F.pmod(F.xxhash64(id_col), F.when(F.coalesce(pair, F.lit(False)), len(_LISTS) + len(_PAIRS)).otherwise(len(_LISTS)))
+    records = [listed(name, *fields) for name, fields in _LISTS.items()] + [F.to_json(F.struct(first["content"].alias(a), second["content"].alias(b))) for a, b in _PAIRS]
+    record = F.coalesce(*[F.when(kind == k, r) for k, r in enumerate(records)])
+    return grouped.select(id_col, record.alias("record"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +19,20 @@ _SEGMENT = 1 << 21
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where none is configured."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a local session gets a temporary folder of this process; on a cluster that is an error, as
+    executors would not see each other's files.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="siftwell-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (base or _own_folder()).rstrip("/")
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="siftwell-")
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -30,7 +40,39 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/siftwell-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table of materialize() that nothing will read again, as a round's is once the next is written."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a column of our own that df does not have (compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def tree_add(parts: DataFrame, add, kind: str) -> list:
+    """One sum of rows (slot, ...) for each of 8 slots, added in rounds so that no task or the driver meets many at once.
+
+    slot is the number of the task that made the row; add(key, table) adds rows and keeps slot out of its result.
+    """
+    for slots in (4096, 128, 8):
+        of = parts.withColumn("slot", F.pmod("slot", F.lit(slots)))
+
+        def keep(key, table):
+            return add(key, table).append_column("slot", pa.array([key[0].as_py()], pa.int64()))
+
+        parts = of.groupBy("slot").applyInArrow(keep, f"{kind}, slot bigint")
+    return parts.drop("slot").collect()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -42,13 +84,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 BROADCAST_ROWS = 500_000
 
 
-def semi_join(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+def semi_join(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi", most: int | None = None) -> DataFrame:
     """Rows of df whose id is (left_anti: is not) in a written table of distinct ids.
 
-    Up to BROADCAST_ROWS ids, counted first, are broadcast, so that df does not move; more are joined by a shuffle.
+    Up to `most` ids (BROADCAST_ROWS if not given), counted first, are broadcast, so that df does not move; more are
+    joined by a shuffle.
     """
     ids = ids.select(on)
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, how)
+    return df.join(F.broadcast(ids) if ids.count() <= (BROADCAST_ROWS if most is None else most) else ids, on, how)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -24,7 +24,6 @@ DIM = 2048
 CLUSTERS = 4
 SAMPLE = 800
 REJECT_QUANTILE = 0.002
-SLOTS = 8
 _STEP = 1 << 20
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -82,7 +81,7 @@ def _df(batches):
         for _, c in counts(b.column(0)):
             total += (c > 0).sum(0)
             n += len(c)
-    yield pa.record_batch({"slot": pa.array([TaskContext.get().partitionId() % SLOTS]), "n": pa.array([n]), "df": pa.array([total.tolist()], pa.list_(pa.int64()))})
+    yield pa.record_batch({"slot": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([n]), "df": pa.array([total.tolist()], pa.list_(pa.int64()))})
 
 
 def _add(key, table):
@@ -95,7 +94,7 @@ def _sparse(batches):
         for _, c in counts(b.column(1)):
             for r in c:
                 at = np.flatnonzero(r)
-                rows.append(at.astype("<u2").tobytes() + np.minimum(r[at], 65535).astype("<u2").tobytes())
+                rows.append(at.astype("<u4").tobytes() + r[at].astype("<u4").tobytes())
         yield pa.record_batch({"lang": b.column(0), "v": pa.array(rows, pa.binary())})
 
 
@@ -121,7 +120,7 @@ def fit_language(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang is not null and text is not null")
     per = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    df = rows.select("text").mapInArrow(_df, "slot bigint, n bigint, df array<bigint>").groupBy("slot").applyInArrow(_add, "n bigint, df array<bigint>").collect()
+    df = C.tree_add(rows.select("text").mapInArrow(_df, "slot bigint, n bigint, df array<bigint>"), _add, "n bigint, df array<bigint>")
     n, total = sum(r[0] for r in df), np.sum([np.zeros(DIM), *[r[1] for r in df]], axis=0)
     idf = np.log((1 + n) / (1 + total)) + 1
     if not per:
@@ -136,7 +135,7 @@ def fit_language(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
             continue
         dense = np.zeros((len(mine), DIM))
         for r, v in zip(dense, mine):
-            half = np.frombuffer(v, "<u2").reshape(2, -1)
+            half = np.frombuffer(v, "<u4").reshape(2, -1)
             r[half[0]] = half[1]
         x = weigh(dense, idf)
         c = _cluster(x, CLUSTERS, rng)

@@ -12,7 +12,9 @@ keeps the words that it has met, in a bounded cache.
 
 from __future__ import annotations
 
+import itertools
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 CACHE_WORDS = 300_000
 STEP_BYTES = 4 << 20
-SLICE = 4096
+SLICE = 1024
 _UNKNOWN_PENALTY = 10.0
 _NORMAL, _BYTE = 1, 6
 
@@ -92,12 +94,15 @@ class PieceModel:
         """Ids of a text that comes in pieces, in lists as they are committed; the text has its marks already.
 
         A boundary is expanded once the longest piece from it is at hand. The window slides on when all paths
-        to boundaries still reachable meet; where no piece runs past a boundary, they meet there.
+        to boundaries still reachable meet; where no piece runs past a boundary, they meet there. Where paths do
+        not meet yet, the next look comes when the window is twice as long, so that all looks together take time
+        in proportion to the text, and the window has at most twice the length that the paths need.
         """
-        text, best, back = "", [0.0], [None]  # since the last commit
+        text, best, back = [], [0.0], [None]  # since the last commit
         trie, scores, longest, unknown = self.trie, self.scores, self.longest, self.unknown
         s = reach = 0
-        for chunk in (*chunks, None):
+        look = 2 * longest
+        for chunk in itertools.chain(chunks, (None,)):
             text += chunk or ""
             end = len(text)
             best += [-1e300] * (end + 1 - len(best))
@@ -123,8 +128,9 @@ class PieceModel:
                         best[s + 1], back[s + 1] = base + unknown, (s, None)
                     reach = max(reach, s + 1)
                 s += 1
-                if s >= 2 * longest and (reach == s or s % longest == 0):
-                    meet = self._meet(back, {e for e in range(s, reach + 1) if back[e]})
+                if s >= look or reach == s >= 2 * longest:
+                    meet = self._meet(back, [e for e in range(s, reach + 1) if back[e]])
+                    look = 2 * max(longest, s - meet)
                     if meet:
                         yield self._ids(text, back, meet)
                         zero = best[meet]
@@ -135,19 +141,21 @@ class PieceModel:
             yield self._ids(text, back, len(text))
 
     @staticmethod
-    def _meet(back, survivors: set) -> int:
+    def _meet(back, survivors: list[int]) -> int:
         """The last boundary on the paths of all survivors."""
-        while len(survivors) > 1:
-            last = max(survivors)
-            survivors.remove(last)
-            survivors.add(back[last][0])
-        return survivors.pop()
+        ahead = [-e for e in survivors]
+        heapify(ahead)
+        while len(ahead) > 1:
+            last = -heappop(ahead)
+            if ahead[0] != -last:  # else another path came to the same boundary
+                heappush(ahead, -back[last][0])
+        return -ahead[0]
 
     def _ids(self, text: str, back, end: int) -> list[int]:
         out = []
         while end:
             start, i = back[end]
-            out += [i] if i is not None else [self.bytes[b] for b in reversed(text[start:end].encode())]
+            out += [i] if i is not None else [self.bytes[b] for b in reversed("".join(text[start:end]).encode())]
             end = start
         return out[::-1]
 

@@ -1,8 +1,8 @@
 """Quality classifier: random Fourier features of document statistics, ridge regression, isotonic calibration.
 
 The features approximate a Gaussian kernel. Each task sums the normal equations of its rows; the sums are
-added in a fixed number of slots, solved on the driver, and the resulting scores calibrated by pool-adjacent-
-violators over score bins. What reaches the driver is bounded by FEATURES, SLOTS and BINS.
+added in rounds, solved on the driver, and the resulting scores calibrated by pool-adjacent-
+violators over score bins. What reaches the driver is bounded by FEATURES and BINS.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from . import common as C
 FEATURES = 320
 RIDGE = 1e-3
 BANDWIDTH = 1.6
-SLOTS = 8
 BINS = 2000
 _STEP = 2 << 20
 
@@ -141,7 +140,7 @@ def _summer(model: QualityModel):
             x, y = model.features(_matrix(b.column(0))), b.column(1).to_numpy()
             total[:, :d] += x.T @ x
             total[:, d] += x.T @ y
-        yield pa.record_batch({"slot": pa.array([TaskContext.get().partitionId() % SLOTS]), "sums": pa.array([total.tobytes()], pa.binary())})
+        yield pa.record_batch({"slot": pa.array([TaskContext.get().partitionId()], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     return sums
 
@@ -175,8 +174,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("y")).where("y is not null")
     train = stats.join(known, "id").where(~held_out("id")).select("stats", "y")
     train = C.materialize(train, "quality-train")
-    parts = train.mapInArrow(_summer(model), "slot long, sums binary".replace("long", "bigint"))
-    sums = parts.groupBy("slot").applyInArrow(_add, "sums binary").collect()
+    sums = C.tree_add(train.mapInArrow(_summer(model), "slot bigint, sums binary"), _add, "sums binary")
     d = FEATURES + 1
     total = sum((np.frombuffer(r[0]).reshape(d, d + 1) for r in sums), np.zeros((d, d + 1)))
     n = total[0, 0]

@@ -62,13 +62,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import materialize, small_batches
-    from .chat import conversations_as_records, format_chat, read_chat
+    from dataclasses import replace
+
+    from .chat import MAPPINGS, conversations_as_records, format_chat, read_chat
 
     small_batches(spark)
     said = "</s>[INST] ok [/INST]"
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
-    written = materialize(format_chat(conversations_as_records(turns.unionByName(extra))), "chats")
+    as_named = [replace(m, roles={}) for m in MAPPINGS]  # roles of the table are read back as they are
+    written = materialize(format_chat(conversations_as_records(turns.unionByName(extra), every_layout=True), mappings=as_named), "chats")
     out = read_chat(written, ["conv_id"])
     return out.select(
         "conv_id", "n_turns", F.sha2("transcript", 256).alias("turns_sha256"), F.char_length("loss_text").cast("bigint").alias("loss_chars"),

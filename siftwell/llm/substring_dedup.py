@@ -119,15 +119,16 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = 35) -
     """
     spark = docs.sparkSession
     C.small_batches(spark)
-    docs = C.without(docs, "n_words", "n_removed", "removed_spans", "kept_text", "__block")
+    docs = C.without(docs, "n_words", "n_removed", "removed_spans", "kept_text")
     _, size = C.text_bytes(docs, text_col)
     parts = C.shuffle_partitions(spark)
     n_blocks = max(parts, size // BLOCK_BYTES + 1)
     n_buckets = C.pow2(max(parts, size / 6 / BUCKET_HASHES))
     names = docs.columns
-    blocks = docs.withColumn("__block", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if t in ("bigint", "int", "string")]), F.lit(n_blocks)))
-    sent = blocks.groupBy("__block").applyInArrow(_block_sender(text_col, window, n_buckets), "bucket long, block long, hashes binary")
+    block = C.fresh(docs, "block")
+    blocks = docs.withColumn(block, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if t in ("bigint", "int", "string")]), F.lit(n_blocks)))
+    sent = blocks.groupBy(block).applyInArrow(_block_sender(text_col, window, n_buckets), "bucket long, block long, hashes binary")
     answers = sent.groupBy("bucket").applyInArrow(_bucket_counter, "block long, bucket long, bits binary")
     out = T.StructType([*docs.schema.fields]).add("n_words", "long").add("n_removed", "long")
     out = out.add("removed_spans", _SPANS).add("kept_text", "string")
-    return blocks.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(_block_cutter(text_col, window, n_buckets, names), out)
+    return blocks.groupBy(block).cogroup(answers.groupBy("block")).applyInArrow(_block_cutter(text_col, window, n_buckets, names), out)

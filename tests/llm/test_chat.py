@@ -61,3 +61,25 @@ def test_conversations(spark):
     assert [m["role"] for m in got[2]] == ["", "user"] and got[None][0]["content"] == "y"
     back = {r.conv_id: r for r in read_chat(format_chat(conversations_as_records(df)), ["conv_id"]).collect()}
     assert back[1].n_turns == 3 and back[1].loss_text == "hihi" and back[1].transcript == "user\n\nassistant\nhi\nassistant\nhi\n" and back[3].loss_text == "long " * 9000
+
+
+def test_records_that_cannot_be_written(spark):
+    half = '{"messages": [{"role": "user", "content": "\\ud800"}]}'
+    deep = '{"messages": [{"role": "user", "content": "x"}], "more": ' + '{"a": ' * 900 + "1" + "}" * 901
+    lists = "[" * 5000 + "]" * 5000
+    rows = [half, deep, lists, '{"\\ud800": 1}', '{"messages": [{"role": "user", "content": "fine"}]}']
+    out = format_chat(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, record string"))
+    got = {r.id: r.status for r in out.collect()}
+    assert got[0] == got[3] == "invalid" and got[1] in ("ok", "invalid") and got[2] in ("unknown", "invalid") and got[4] == "ok"
+
+
+def test_conversations_in_every_layout_are_read_back(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t}") for c in range(60) for t in range(2 if c % 2 else 3)]
+    turns = spark.createDataFrame([*rows, (100, 0, None, None)], "conv_id bigint, turn bigint, role string, text string")
+    written = format_chat(conversations_as_records(turns, every_layout=True))
+    assert written.where("status <> 'ok'").isEmpty() and written.select("layout").distinct().count() == 10
+    got = {r.conv_id: r.transcript for r in read_chat(written, ["conv_id"]).collect()}
+    want = {}
+    for c, _, role, text in rows:
+        want[c] = want.get(c, "") + f"{role}\n{text}\n"
+    assert got == want | {100: "\n\n"}

@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -94,3 +95,16 @@ def test_round_trip(frame):
         t = "no id" if r.doc_id is None else texts[r.doc_id] or ""
         assert [int.from_bytes(r.ids[j : j + 4], "little") for j in range(0, len(r.ids), 4)] == model.encode(t) and r.n_tokens == len(r.ids) // 4
     assert encode_pieces(frame([]), PATH).count() == 0
+
+
+@pytest.mark.parametrize("part", [" ", "abcde", "a b  ", "é", "wordswithoutspaces"])
+def test_long_texts_take_time_in_proportion(model, part):
+    """Periodic texts, where back-pointer paths stay apart for long: ids are those of one slice, and no look repeats another."""
+    short = part * (3000 // len(part))
+    assert model.encode(short) == [i for ids in model.stream([MARK + short.replace(" ", MARK)]) for i in ids]
+    spent = []
+    for n in (20_000, 40_000, 80_000, 160_000):
+        began = time.process_time()
+        model.encode(part * (n // len(part)))
+        spent.append(time.process_time() - began)
+    assert spent[3] < 24 * max(spent[0], 0.05)  # 8 in proportion, 64 if quadratic

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -73,3 +74,36 @@ def test_repeated_and_null_ids(spark):
     got = Counter((r.doc_id, r.text) for r in docs.collect())
     assert set(got.values()) == {1} and len(got) == 5
     assert {(1, a), (None, b), (2, c), (3, d)} < set(got) and set(got) & {(None, e), (None, e + " more")}
+
+
+EDGE = [(1, "one two three"), (2, None), (3, ""), (4, "onetwothree"), (5, " "), (6, "w " * 5000), (7, "q" * 20_000), (8, "!!! 123")]
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_on_odd_rows_and_clashing_names(spark, k):
+    """Null, empty and long texts, and columns that are named like what operators make: no stage fails or loses values."""
+    kind = "doc_id bigint, text string, n_chars bigint, kept string, group_size string, keep_id string, row string, score string, kept_text string, n_words string, block string, component_id string, __score string"
+    names = [c.split()[0] for c in kind.split(", ")]
+    rows = [(i, t, len(t or ""), *(f"{c}{i}" for c in names[3:])) for i, t in EDGE]
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, kind).repartition(2)
+        out = corpus_pipeline.STAGES[k][1](spark, docs, DATA)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        got = {r.doc_id: r for r in out.collect()}
+        assert all(r[c] == f"{c}{i}" for i, r in got.items() for c in names[3:])
+        if k == 1 and given:  # the longest of equal texts; null, empty and blank texts are equal
+            assert set(got) == {1, 5, 6, 7, 8}
+        if k in (2, 3) and given:
+            assert set(got) == {i for i, _ in EDGE} and [got[i].text for i in (1, 2, 3, 5)] == ["one two three", None, "", " "]
+        if k == 3 and given:
+            assert got[6].text == "" and got[6].n_chars == 0
+    packed = corpus_pipeline.STAGES[4][1](spark, spark.createDataFrame(rows, kind), DATA)
+    assert {r.doc_id for r in packed.collect()} == {i for i, _ in EDGE}
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_near_copies_by_broadcast_and_by_shuffle(spark, monkeypatch, most):
+    monkeypatch.setattr(corpus_pipeline.common, "BROADCAST_ROWS", most)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = {r.doc_id for r in corpus_pipeline.near(spark, docs, DATA).collect()}
+    assert got == {i for i, _, c in components([(r.doc_id, r.text) for r in docs.collect()], 5, 80) if c == i}
