@@ -29,6 +29,11 @@ def postings(chunks: DataFrame, text: Column | None = None, config: EngineConfig
     return out.withColumn("bucket", term_bucket(F.col("term"), config))
 
 
+def search_keys(chunks: DataFrame) -> list[Column]:
+    """What searches filter and order chunks by: filepath_lc, doc_category and tie, the order of ingestion."""
+    return [F.col("filepath_lc"), F.col("doc_category"), F.concat_ws(":", "filepath", F.lpad("ord", 9, "0")).alias("tie")]
+
+
 def lengths(chunks: DataFrame, text: Column | None = None) -> DataFrame:
     """(chunk_id, dl): terms of each chunk, chunks without any included."""
     return chunks.select("chunk_id", F.size(X.tokenize(indexed_text(chunks) if text is None else text)).cast("bigint").alias("dl"))
@@ -89,8 +94,10 @@ class Generations:
         return f"gen={uuid.uuid4().hex[:12]}"
 
     def write(self, generation: str, table: str, df: DataFrame) -> None:
-        cols = [F.col(f.split()[0]).cast(f.split(maxsplit=1)[1]).alias(f.split()[0]) for f in schema.TABLES[table].split(", ")]
-        writer = df.select(*cols).write.mode("overwrite")
+        """Columns that df does not have are null; postings go to files of even size, each of one bucket."""
+        fields = [f.split(maxsplit=1) for f in schema.TABLES[table].split(", ")]
+        rows = df.select(*[(F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name) for name, kind in fields])
+        writer = (rows.hint("rebalance", "bucket") if table == "postings" else rows).write.mode("overwrite")
         (writer.partitionBy("bucket") if table == "postings" else writer).parquet(f"{self.root}/{generation}/{table}")
 
     def publish(self, generation: str) -> None:

@@ -13,36 +13,44 @@ from ..functions import text as X
 from .index import term_bucket
 
 
-def terms_of(query: str) -> list[str]:
-    """tokenize() for one query string on the driver; the same rule as functions.text.tokenize."""
-    out = []
-    for word in re.findall(X.WORD, query, re.ASCII):
-        out.append(word.lower())
-        if "_" in word:
-            out += [p for p in word.lower().split("_") if p]
-        humps = re.findall(X.HUMP, word)
-        if re.search("[a-z]", word) and re.search("[A-Z]", word) and len(humps) > 1:
-            out += [h.lower() for h in humps]
-    return out
+_WORDS, _HUMPS = re.compile(X.WORD, re.ASCII), re.compile(X.HUMP)
+_NAMES = re.compile(r"\s*([A-Za-z_$][\w$]*)(?:\s+([A-Za-z_$][\w$]*))?\s*", re.ASCII)
+_TELLING = re.compile(r"_|[A-Z]|.{13}|^[^a-z]+$")
+
+
+def _pieces(word: str):
+    """A word, what stands between its underscores, and its humps if it is in both cases."""
+    yield word
+    if "_" in word:
+        yield from filter(None, word.split("_"))
+    if word not in (word.lower(), word.upper()) and len(humps := _HUMPS.findall(word)) > 1:
+        yield from humps
+
+
+def terms_of(text: str) -> list[str]:
+    """functions.text.tokenize for one string, where no DataFrame is at hand."""
+    return [piece.lower() for word in _WORDS.findall(text) for piece in _pieces(word)]
 
 
 def shape_of(query: str) -> str:
-    """query_shape() for one query string on the driver."""
-    words = query.split()
-    if 1 <= len(words) <= 2 and all(re.fullmatch(r"[A-Za-z_$][A-Za-z0-9_$]*", w) for w in words) and any("_" in w or not w.islower() or len(w) > 12 for w in words):
+    """functions.text.query_shape for one string: one or two telling names, a question, or neither."""
+    names = _NAMES.fullmatch(query)
+    if names and any(_TELLING.search(n) for n in names.groups() if n):
         return "identifier"
-    asked = sum(w.lower().strip("?.,") in QUESTION_WORDS for w in words)
-    return "natural" if len(words) >= 4 and asked >= 2 else "mixed"
+    asked = [w.lower().strip("?.,") in QUESTION_WORDS for w in query.split()]
+    return "natural" if len(asked) > 3 and sum(asked) > 1 else "mixed"
 
 
 def pool_size(top_k: int, chunks: int, files: int, matched: int | None, pushed_down: bool, config: EngineConfig = DEFAULT) -> int:
-    """How many candidates each retriever returns; matched is the number of files that the path filter leaves."""
-    pool = top_k * (config.pool_per_result if matched is None else config.pool_per_filtered)
-    if chunks > config.pool_reference:
-        pool = int(pool * math.sqrt(chunks / config.pool_reference))
-    if matched is not None and not pushed_down and files:
-        pool = int(pool / max(matched / files, config.pool_selectivity))
-    return max(top_k, min(pool, config.pool_max, chunks))
+    """How many candidates each retriever returns: more results, larger corpora and filters applied later need more.
+
+    matched is the number of files that the path filter leaves, None without a filter.
+    """
+    each = config.pool_per_result if matched is None else config.pool_per_filtered
+    growth = math.sqrt(max(1.0, chunks / config.pool_reference))
+    lost = 1.0 if matched is None or pushed_down or not files else max(matched / files, config.pool_selectivity)
+    ceiling = min(config.pool_max, chunks)
+    return max(top_k, min(ceiling, int(int(top_k * each * growth) / lost)))
 
 
 def allowed(category: str = "all", path_filter: str | None = None) -> Column:
@@ -53,8 +61,11 @@ def allowed(category: str = "all", path_filter: str | None = None) -> Column:
     return out & F.col("filepath_lc").contains(path_filter.lower().replace("\\", "/")) if path_filter else out
 
 
-def bm25_scores(post: DataFrame, stats: DataFrame, dl: DataFrame, terms: list[str], mean_dl: float, config: EngineConfig = DEFAULT) -> DataFrame:
-    """(chunk_id, score) of chunks that hold a term; a term counts as often as the query has it."""
+def bm25_scores(post: DataFrame, stats: DataFrame, dl: DataFrame, terms: list[str], mean_dl: float, config: EngineConfig = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, score) of the chunks of dl that hold a term; a term counts as often as the query has it.
+
+    carry: columns of dl that come along, so that a filter or an order of chunks needs no join.
+    """
     spark, times = post.sparkSession, {t: terms.count(t) for t in terms}
     asked = spark.createDataFrame(list(times.items()), "term string, times int")
     hits = post.where(F.col("term").isin(*times))
@@ -66,7 +77,7 @@ def bm25_scores(post: DataFrame, stats: DataFrame, dl: DataFrame, terms: list[st
     part = F.col("times") * F.col("idf") * F.col("tf") * (config.bm25_k1 + 1) / (F.col("tf") + norm)
     # idf has a row for each term of the query at most
     rows = hits.select("term", "chunk_id", "tf").join(F.broadcast(idf), "term").join(dl, "chunk_id")
-    return rows.groupBy("chunk_id").agg(F.sum(part).alias("score"))
+    return rows.groupBy("chunk_id", *carry).agg(F.sum(part).alias("score"))
 
 
 def top_lexical(scores: DataFrame, k: int, tie: str = "chunk_id") -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import encoders
+from .. import encoders, schema
 from ..config import CHUNKER_VERSION, DEFAULT, EngineConfig
 from ..functions import text as X
 from ..operators import chunk as ck
@@ -53,15 +54,19 @@ class Engine:
 
         A tree without indexable files publishes nothing. Another encoder, chunker or root rebuilds all.
         """
-        files = self.files()
+        generation = self.store.stage()
+        self.store.write(generation, "scan", self.files())  # one look at the tree: what is hashed is what is chunked
+        files = self._staged(generation, "scan")
         current = files.select("filepath", "sha", "mtime")
         meta = self.store.read("meta")
         known = meta.first() if meta is not None else None
-        if known is None or (known["model"], known["chunker_version"], known["root"]) != (self.encoder.name, CHUNKER_VERSION, self.root):
+        made_by = (self.encoder.name, CHUNKER_VERSION, self.root, schema.LAYOUT)
+        if known is None or (known["model"], known["chunker_version"], known["root"], known["layout"]) != made_by:
             full = True
+        elif any(self.store.read(t).count() != known["chunk_count"] for t in ("chunks", "vectors")):
+            full = True  # what is stored is not what was published
         if current.isEmpty():
             return Reindexed(0, 0, 0, 0, 0, "empty tree: the index is as it was")
-        generation = self.store.stage()
         before = self.store.read("manifest") if known is not None else self.spark.createDataFrame([], "filepath string, sha string, mtime timestamp, ids array<string>")
         status = ix.diff(before, current)
         count = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
@@ -72,13 +77,15 @@ class Engine:
             chunks = chunks.unionByName(self.store.read("chunks").join(keep, "filepath", "left_semi"))
         self.store.write(generation, "chunks", chunks)
         chunks = self._staged(generation, "chunks")
-        vectors = encoders.embed(chunks.join(keep, "filepath", "left_anti") if keep is not None else chunks, self.encoder, self.config.embed_batch)
+        new = chunks.join(keep, "filepath", "left_anti") if keep is not None else chunks
+        keys = chunks.select("chunk_id", *ix.search_keys(chunks))
+        vectors = encoders.embed(new, self.encoder, self.config.embed_batch).join(keys, "chunk_id")
         post_of, dl_of = chunks, chunks
         if keep is not None:  # a kept file keeps its chunk ids, so its vectors, postings and lengths hold
             ids = chunks.join(keep, "filepath", "left_semi").select("chunk_id")
             vectors = vectors.unionByName(self.store.read("vectors").join(ids, "chunk_id", "left_semi"))
             post_of = dl_of = chunks.join(ids, "chunk_id", "left_anti")
-        post, dl = ix.postings(post_of, config=self.config), ix.lengths(dl_of)
+        post, dl = ix.postings(post_of, config=self.config), ix.lengths(dl_of).join(keys, "chunk_id")
         if keep is not None:
             post = post.unionByName(self.store.read("postings").join(ids, "chunk_id", "left_semi"))
             dl = dl.unionByName(self.store.read("doc_len").join(ids, "chunk_id", "left_semi"))
@@ -90,8 +97,8 @@ class Engine:
         ids_of = chunks.groupBy("filepath").agg(F.sort_array(F.collect_list(F.struct("ord", "chunk_id"))).alias("c"))
         manifest = current.join(ids_of, "filepath", "left").select("filepath", "sha", "mtime", F.coalesce(F.transform("c", lambda c: c["chunk_id"]), F.array().cast("array<string>")).alias("ids"))
         self.store.write(generation, "manifest", manifest)
-        row = [(self.encoder.name, CHUNKER_VERSION, self.root, n, sum(v for k, v in count.items() if k != "removed"), float(mean or 0.0))]
-        meta = self.spark.createDataFrame(row, "model string, chunker_version string, root string, chunk_count bigint, file_count bigint, avg_dl double")
+        row = [(*made_by[:3], n, sum(v for k, v in count.items() if k != "removed"), float(mean or 0.0), schema.LAYOUT)]
+        meta = self.spark.createDataFrame(row, "model string, chunker_version string, root string, chunk_count bigint, file_count bigint, avg_dl double, layout int")
         self.store.write(generation, "meta", meta.withColumn("built_at", F.current_timestamp()))
         self.store.publish(generation)
         return Reindexed(*(count.get(s, 0) for s in ("unchanged", "changed", "new", "removed")), n, "rebuilt" if full else "updated")
@@ -117,18 +124,16 @@ class Engine:
             if not matched:
                 raise NoSuchPath(f"no indexed path contains {path_filter!r}")
         pool = se.pool_size(top_k, meta["chunk_count"], meta["file_count"], matched, True, self.config)
-        some = chunks.where(where)
-        order = some.select("chunk_id", F.concat_ws(":", "filepath", F.lpad("ord", 9, "0")).alias("tie"))
         vector = [float(x) for x in self.encoder.encode([X.query_prefix(self.encoder.name) + query])[0]]
-        dense = se.top_dense(self._table("vectors").join(order, "chunk_id"), vector, pool, "tie")
+        dense = se.top_dense(self._table("vectors").where(where), vector, pool, "tie")
         terms = se.terms_of(query)
         if terms:
-            scores = se.bm25_scores(self._table("postings"), self._table("term_stats"), self._table("doc_len"), terms, meta["avg_dl"], self.config)
-            lexical = se.top_lexical(scores.join(order, "chunk_id"), pool, "tie")
+            scores = se.bm25_scores(self._table("postings"), self._table("term_stats"), self._table("doc_len").where(where), terms, meta["avg_dl"], self.config, ("tie",))
+            lexical = se.top_lexical(scores, pool, "tie")
         else:
             lexical = dense.limit(0)
         shape = se.shape_of(query)
-        fused = se.fuse(dense, lexical, self.config.weights[shape], se.symbol_boosts(some, terms, self.config), self.config)
+        fused = se.fuse(dense, lexical, self.config.weights[shape], se.symbol_boosts(chunks.where(where), terms, self.config), self.config)
         if self.reranker is not None:
             fused = se.rerank(fused.where(F.col("rank") < max(top_k, self.config.rerank_candidates)), chunks, self.reranker, query, self.config)
         body = F.col("skeleton" if skeletons else "text").alias("body")
@@ -142,9 +147,12 @@ class Engine:
         return lk.ranked_references(rows, limit).select("kind", "hits", "chunk_id", "filepath", "start_line", "end_line", "language", "symbol", "skeleton")
 
     def verify_absence(self, symbol: str, path_filter: str | None = None) -> str:
-        """For a symbol the index does not have: `stale` if the tree has it, else `clean`."""
-        live = lk.grep(self.files(), rf"(?i)(?<![A-Za-z0-9_]){X.literal(symbol)}(?![A-Za-z0-9_])", path_filter=path_filter)
-        return "clean" if live.isEmpty() else "stale"
+        """For a symbol the index does not have: `stale` if the tree has it, `unverified` if it cannot be read, else `clean`."""
+        try:
+            live = lk.grep(self.files(), rf"(?i)(?<![A-Za-z0-9_]){X.literal(symbol)}(?![A-Za-z0-9_])", path_filter=path_filter)
+            return "clean" if live.isEmpty() else "stale"
+        except PySparkException:
+            return "unverified"
 
     def find_symbol_or_keyword(self, pattern: str, path_filter: str | None = None, file_pattern: str = "*", limit: int = 40, offset: int = 0) -> DataFrame:
         """Regular-expression search of the live tree, a page at a time."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -345,11 +347,26 @@ def _(spark, d):
 # ---- lexical and dense retrieval
 
 
+_STORED: dict[tuple[str, str], tuple[ix.Generations, float]] = {}
+
+
 def index(spark, d):
-    c = doc_chunks(spark, d)
-    post, dl = ix.postings(c), ix.lengths(c)
-    n, mean = dl.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    return c, post, dl, ix.term_stats(post, n), mean
+    """Chunks, and the tables of an index that is built and stored once a session and folder; queries read it."""
+    c, key = doc_chunks(spark, d), (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        store = ix.Generations(spark, f"{folder.rstrip('/')}/siftwell-index-{uuid.uuid4().hex}")
+        made = store.stage()
+        store.write(made, "postings", ix.postings(c))
+        post = spark.read.parquet(f"{store.root}/{made}/postings")
+        own = post.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))  # a chunk without terms has no postings
+        store.write(made, "doc_len", c.select("chunk_id").join(own, "chunk_id", "left").select("chunk_id", F.coalesce("dl", F.lit(0)).alias("dl")))
+        n, mean = spark.read.parquet(f"{store.root}/{made}/doc_len").agg(F.count(F.lit(1)), F.avg("dl")).first()
+        store.write(made, "term_stats", ix.term_stats(post, n))
+        store.publish(made)
+        _STORED[key] = (store, mean)
+    store, mean = _STORED[key]
+    return c, store.read("postings"), store.read("doc_len").select("chunk_id", "dl"), store.read("term_stats"), mean
 
 
 @query("bm25_postings", f"WITH {_INDEX} SELECT term, chunk_id, tf FROM post")

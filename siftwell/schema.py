@@ -8,9 +8,13 @@ CHUNKS = (
     "type string, doc_category string, language string, part int, parts int, ord bigint"
 )
 MANIFEST = "filepath string, sha string, mtime timestamp, ids array<string>"
-VECTORS = "chunk_id string, embedding array<float>"
+# what a search filters and orders chunks by stands beside vectors and lengths, so that neither is joined with chunks
+KEYS = "filepath_lc string, doc_category string, tie string"
+VECTORS = f"chunk_id string, embedding array<float>, {KEYS}"
 POSTINGS = "term string, chunk_id string, tf int, bucket int"
-DOC_LEN = "chunk_id string, dl bigint"
+DOC_LEN = f"chunk_id string, dl bigint, {KEYS}"
 TERM_STATS = "term string, df bigint, idf double"
-META = "model string, chunker_version string, root string, built_at timestamp, chunk_count bigint, file_count bigint, avg_dl double"
-TABLES = {"chunks": CHUNKS, "manifest": MANIFEST, "vectors": VECTORS, "postings": POSTINGS, "doc_len": DOC_LEN, "term_stats": TERM_STATS, "meta": META}
+META = "model string, chunker_version string, root string, built_at timestamp, chunk_count bigint, file_count bigint, avg_dl double, layout int"
+SCAN = "filepath string, content string, sha string, mtime timestamp"
+LAYOUT = 2  # of these tables; an index of another is built anew
+TABLES = {"chunks": CHUNKS, "manifest": MANIFEST, "vectors": VECTORS, "postings": POSTINGS, "doc_len": DOC_LEN, "term_stats": TERM_STATS, "meta": META, "scan": SCAN}

@@ -37,6 +37,12 @@ def is_excluded(path: Column) -> Column:
     return out
 
 
+def in_git(path: Column) -> Column:
+    """Whether a folder on the path starts with .git."""
+    parts = F.split(path, "/")
+    return F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1))), lambda d: d.startswith(".git")) & path.contains("/")
+
+
 def is_supported(path: Column) -> Column:
     return extension(path).isin(*LANGUAGE_OF)
 
@@ -56,9 +62,8 @@ def scan(spark: SparkSession, root: str, config: EngineConfig = DEFAULT, with_co
     base = root.split("://")[-1].rstrip("/") + "/"
     path = F.regexp_replace("path", "^[a-z]+:/+", "/")
     rel = F.expr(f"substring(p, {len(base) + 1})")
-    git = F.exists(F.slice(F.split("filepath", "/"), 1, F.greatest(F.size(F.split("filepath", "/")) - 1, F.lit(1))), lambda d: d.startswith(".git")) & F.col("filepath").contains("/")
     files = raw.where(F.col("length") <= config.max_file_bytes).withColumn("p", path).withColumn("filepath", rel)
-    files = files.where(is_supported(F.col("filepath")) & ~is_excluded(F.col("filepath")) & ~git)
+    files = files.where(is_supported(F.col("filepath")) & ~is_excluded(F.col("filepath")) & ~in_git(F.col("filepath")))
     if not with_content:
         return files.select("filepath", F.col("modificationTime").alias("mtime"), "length")
     return files.select("filepath", decode("content").alias("content"), F.sha1("content").alias("sha"), F.col("modificationTime").alias("mtime"), "length")

@@ -18,7 +18,7 @@ def arriving(spark: SparkSession, root: str, config: EngineConfig = DEFAULT) ->
     base = root.split("://")[-1].rstrip("/") + "/"
     path = F.expr(f"substring(regexp_replace(path, '^[a-z]+:/+', '/'), {len(base) + 1})")
     rows = raw.where(F.col("length") <= config.max_file_bytes).withColumn("filepath", path)
-    rows = rows.where(fs.is_supported(F.col("filepath")) & ~fs.is_excluded(F.col("filepath")))
+    rows = rows.where(fs.is_supported(F.col("filepath")) & ~fs.is_excluded(F.col("filepath")) & ~fs.in_git(F.col("filepath")))
     return rows.select("filepath", fs.decode("content").alias("content"), F.sha1("content").alias("sha"), F.col("modificationTime").alias("mtime"))
 
 

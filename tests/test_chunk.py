@@ -80,3 +80,13 @@ def test_symbols(spark):
     got = spark.createDataFrame(rows, "t string, s string").select("s", ck.sql_symbol(F.col("t")).alias("g")).collect()
     assert [r.g for r in got] == [r.s for r in got]
     assert spark.range(1).select(ck.dart_symbol(F.lit("  Future<int> load(String a) {"))).first()[0] == "load"
+
+
+def test_sql_by_statement_and_dart_symbols(spark):
+    sql = "-- head\nCREATE TABLE a (\n  x int\n);\nINSERT INTO a VALUES (1);\nCREATE VIEW b AS\nSELECT 1;\n"
+    dart = "import 'x.dart';\nFuture<void> load(int n) async {\n  return;\n}\n" + "  // more\n" * 4
+    out = ck.chunk_files(spark.createDataFrame([("m.sql", sql), ("w.dart", dart)], "filepath string, content string"))
+    got = {(r.filepath, r.symbol, r.start_line, r.end_line) for r in out.collect()}
+    assert {("m.sql", "a", 2, 4), ("m.sql", "b", 6, 7)} <= got
+    assert any(f == "w.dart" and s == "load" for f, s, _, _ in got)
+    assert sum(e - b + 1 for f, _, b, e in got if f == "m.sql") == 7  # every line in one statement
