@@ -66,13 +66,13 @@ class OnnxEncoder:
         return self.__dict__ | {"session": None, "tokenizer": None}
 
 
-def embed(chunks: DataFrame, encoder: Encoder, batch: int = 256) -> DataFrame:
-    """(chunk_id, embedding) of (chunk_id, text); a worker loads its encoder once."""
+def embed(chunks: DataFrame, encoder: Encoder, batch: int = 256, keys: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
+    """(keys, embedding) of (keys, text), keys being strings; a worker loads its encoder once."""
 
     def run(batches):
         for b in batches:
             for lo in range(0, len(b), batch):
                 part = b.iloc[lo : lo + batch]
-                yield part[["chunk_id"]].assign(embedding=[v.tolist() for v in encoder.encode(part["text"].tolist())])
+                yield part[list(keys)].assign(embedding=[v.tolist() for v in encoder.encode(part["text"].tolist())])
 
-    return chunks.select("chunk_id", "text").mapInPandas(run, "chunk_id string, embedding array<float>")
+    return chunks.select(*keys, "text").mapInPandas(run, ", ".join(f"{k} string" for k in keys) + ", embedding array<float>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +66,30 @@ def resumable(embedded: DataFrame, current: DataFrame) -> DataFrame:
     return embedded.join(current.select("filepath", "sha"), ["filepath", "sha"], "left_semi")
 
 
+class Commits:
+    """Vectors that a run has embedded and not yet published, for the next run to take up if it is lost.
+
+    They stand in a folder named by what made them (encoder, chunker version, root, layout), so vectors of another
+    maker are never read; a commit counts once it is written whole.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, made_by: tuple):
+        self.spark, self.root = spark, f"{root.rstrip('/')}/commits={hashlib.sha1(repr(made_by).encode()).hexdigest()[:16]}"
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def read(self) -> DataFrame:
+        folders = [e.getPath().toString() for e in self._fs.listStatus(self._path(self.root))] if self._fs.exists(self._path(self.root)) else []
+        whole = [f for f in folders if self._fs.exists(self._path(f"{f}/_SUCCESS"))]
+        return self.spark.read.schema(schema.COMMITS).parquet(*whole) if whole else self.spark.createDataFrame([], schema.COMMITS)
+
+    def write(self, rows: DataFrame) -> None:
+        rows.write.parquet(f"{self.root}/{uuid.uuid4().hex}")
+
+    def clear(self) -> None:
+        self._fs.delete(self._path(self.root), True)
+
+
 class Generations:
     """Versions of an index under one folder; CURRENT names the one that readers use.
 

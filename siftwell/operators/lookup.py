@@ -29,6 +29,12 @@ def ranked_references(rows: DataFrame, limit: int, tie: list[str] | None = None)
     return rows.orderBy(F.desc("tier"), F.desc("hits"), *(tie or ["filepath", "start_line", "part"])).limit(limit)
 
 
+def reference_totals(rows: DataFrame) -> DataFrame:
+    """One row for references(): chunks, hits and how many chunks are definitions."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return rows.agg(F.count(F.lit(1)).alias("chunks"), total("hits").alias("hits"), total((F.col("tier") == 2).cast("int")).alias("definitions"))
+
+
 def grep(files: DataFrame, pattern: str, file_pattern: str | None = None, path_filter: str | None = None) -> DataFrame:
     """(filepath, line_no, line) of lines that match; a pattern that is not valid raises before anything is read."""
     files.sparkSession.range(1).select(F.lit("").rlike(pattern)).collect()

@@ -52,7 +52,8 @@ class Engine:
     def reindex(self, full: bool = False) -> Reindexed:
         """Chunk and embed what changed, take the rest over, publish one new version.
 
-        A tree without indexable files publishes nothing. Another encoder, chunker or root rebuilds all.
+        A tree without indexable files publishes nothing. Another encoder, chunker or root rebuilds all. Vectors that a
+        lost run had committed are taken over, where their files still hold the same bytes; full starts without them.
         """
         generation = self.store.stage()
         self.store.write(generation, "scan", self.files())  # one look at the tree: what is hashed is what is chunked
@@ -61,6 +62,9 @@ class Engine:
         meta = self.store.read("meta")
         known = meta.first() if meta is not None else None
         made_by = (self.encoder.name, CHUNKER_VERSION, self.root, schema.LAYOUT)
+        commits = ix.Commits(self.spark, self.store.root, made_by)
+        if full:
+            commits.clear()
         if known is None or (known["model"], known["chunker_version"], known["root"], known["layout"]) != made_by:
             full = True
         elif any(self.store.read(t).count() != known["chunk_count"] for t in ("chunks", "vectors")):
@@ -79,7 +83,7 @@ class Engine:
         chunks = self._staged(generation, "chunks")
         new = chunks.join(keep, "filepath", "left_anti") if keep is not None else chunks
         keys = chunks.select("chunk_id", *ix.search_keys(chunks))
-        vectors = encoders.embed(new, self.encoder, self.config.embed_batch).join(keys, "chunk_id")
+        vectors = self._embedded(new, current, commits).join(keys, "chunk_id")
         post_of, dl_of = chunks, chunks
         if keep is not None:  # a kept file keeps its chunk ids, so its vectors, postings and lengths hold
             ids = chunks.join(keep, "filepath", "left_semi").select("chunk_id")
@@ -97,12 +101,23 @@ class Engine:
         ids_of = chunks.groupBy("filepath").agg(F.sort_array(F.collect_list(F.struct("ord", "chunk_id"))).alias("c"))
         manifest = current.join(ids_of, "filepath", "left").select("filepath", "sha", "mtime", F.coalesce(F.transform("c", lambda c: c["chunk_id"]), F.array().cast("array<string>")).alias("ids"))
         self.store.write(generation, "manifest", manifest)
-        row = [(*made_by[:3], n, sum(v for k, v in count.items() if k != "removed"), float(mean or 0.0), schema.LAYOUT)]
-        meta = self.spark.createDataFrame(row, "model string, chunker_version string, root string, chunk_count bigint, file_count bigint, avg_dl double, layout int")
+        row = [(*made_by[:3], n, sum(v for k, v in count.items() if k != "removed"), float(mean or 0.0), schema.LAYOUT, fs.git_head(self.root))]
+        meta = self.spark.createDataFrame(row, "model string, chunker_version string, root string, chunk_count bigint, file_count bigint, avg_dl double, layout int, git_head string")
         self.store.write(generation, "meta", meta.withColumn("built_at", F.current_timestamp()))
         self.store.publish(generation)
+        commits.clear()
         return Reindexed(*(count.get(s, 0) for s in ("unchanged", "changed", "new", "removed")), n, "rebuilt" if full else "updated")
 
+    def _embedded(self, new: DataFrame, current: DataFrame, commits: ix.Commits) -> DataFrame:
+        """(chunk_id, embedding) of new chunks, written commit by commit, each with the files of one part of all."""
+        new = new.join(current.select("filepath", "sha"), "filepath")
+        left = new.join(ix.resumable(commits.read(), current).select("chunk_id"), "chunk_id", "left_anti")
+        parts = min(self.config.commits_most, -(-left.count() // self.config.commit_chunks))
+        for k in range(parts):
+            part = left.where(F.pmod(F.xxhash64("filepath"), F.lit(parts)) == k)
+            commits.write(encoders.embed(part, self.encoder, self.config.embed_batch, ("chunk_id", "filepath", "sha")))
+        return ix.resumable(commits.read(), current).select("chunk_id", "embedding").join(new.select("chunk_id"), "chunk_id", "left_semi")
+
     def _staged(self, generation: str, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.store.root}/{generation}/{table}")
 
@@ -146,6 +161,17 @@ class Engine:
         rows = lk.references(self._table("chunks").where(se.allowed(category, path_filter)), symbol)
         return lk.ranked_references(rows, limit).select("kind", "hits", "chunk_id", "filepath", "start_line", "end_line", "language", "symbol", "skeleton")
 
+    def describe_references(self, symbol: str, path_filter: str | None = None, category: str = "source_code", limit: int = 10) -> str:
+        """The references as text under their totals; without any, what a look at the live tree says."""
+        rows = lk.references(self._table("chunks").where(se.allowed(category, path_filter)), symbol)
+        total = lk.reference_totals(rows).first()
+        if not total["chunks"]:
+            said = {"clean": "the live tree has none either", "stale": "the live tree has it: the index is out of date", "unverified": "the live tree could not be read"}
+            return f"no references to {symbol!r}; {said[self.verify_absence(symbol, path_filter)]}"
+        shown = lk.ranked_references(rows, limit).collect()
+        head = f"{total['hits']} hit(s) in {total['chunks']} chunk(s), {total['definitions']} of them definitions; {len(shown)} shown"
+        return "\n".join([head, *(f"[{r['kind']}] {r['filepath']}:{r['start_line']}-{r['end_line']} {r['symbol']} x{r['hits']} [ID: {r['chunk_id']}]" for r in shown)])
+
     def verify_absence(self, symbol: str, path_filter: str | None = None) -> str:
         """For a symbol the index does not have: `stale` if the tree has it, `unverified` if it cannot be read, else `clean`."""
         try:
@@ -179,3 +205,21 @@ def render(hits: DataFrame) -> str:
     """Search hits as text."""
     out = [f"--- [{r['rank'] + 1}] [ID: {r['chunk_id']}]\n    File: {r['filepath']}:{r['start_line']}-{r['end_line']} | Lang: {r['language']} | Symbol: {r['symbol']} ---\n{r['body']}" for r in hits.collect()]
     return f"{len(out)} result(s)\n\n" + "\n\n".join(out)
+
+
+def render_page(page: DataFrame) -> str:
+    """A page of matching lines as text, with where to go on."""
+    rows = page.collect()
+    if not rows:
+        return "no matches"
+    more = f"; next offset {rows[0]['next_offset']}" if rows[0]["next_offset"] is not None else ""
+    return "\n".join([*(f"{r['filepath']}:{r['line_no']}: {r['line']}" for r in rows), f"{len(rows)} of {rows[0]['total']} match(es){more}"])
+
+
+def render_status(status: DataFrame, config: EngineConfig = DEFAULT) -> str:
+    """The health of an index as text, with the settings that shape it."""
+    r = status.first()
+    languages = ", ".join(f"{k} {v}" for k, v in sorted((r["languages"] or {}).items(), key=lambda x: (-x[1], x[0])))
+    fresh = f"{r['changed_count']} changed, {r['missing_count']} missing, {r['added_count']} added since" if r["changed_count"] or r["missing_count"] or r["added_count"] else "up to date"
+    lines = [f"{r['chunk_count']} chunks of {r['file_count']} files under {r['root']}", f"built {r['built_at']} at commit {r['git_head'] or 'unknown'}", f"encoder {r['model']}, chunker {r['chunker_version']}"]
+    return "\n".join([*lines, f"languages: {languages}", f"freshness: {fresh}", f"settings: {config.chunk_tokens} tokens a chunk, RRF {config.rrf_k}, BM25 k1 {config.bm25_k1} b {config.bm25_b}"])

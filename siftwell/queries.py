@@ -332,10 +332,34 @@ def _(spark, d):
     return ck.chunk_files(doc_files(spark, d)).select("chunk_id", F.char_length("skeleton").alias("n_chars"))
 
 
-@query("structural_units")
+# written by hand: no table holds source code
+UNIT_FILES = {
+    "a.py": "import os\n\n@cache\ndef one(a):\n    return a\n\nclass Two:\n    def three(self):\n        pass\n\nx = 1\n",
+    "b.py": "def (",
+    "c.js": "x",
+    "d.ts": "import x from 'y';\n// function no() {\nexport const f = (a) => {\n  return '}';\n};\nexport interface Shape {\n  side: number;\n}\n",
+    "e.go": "package p\n\ntype T struct {\n\ta int\n}\n\nfunc (t *T) Get() interface{} {\n\treturn t.a\n}\n",
+    "f.rs": "use a::b;\nimpl<T> Walk for Tree<T> {\n    fn go(&'a self) {}\n}\npub fn free() -> i32 { 1 }\n",
+    "g.java": "class A {\n  int f() { return 1; }\n}\n",
+    "h.kt": "fun one(a: Int) = a +\n  1\n\ndata class P(val x: Int)\n",
+    "i.dart": "int twice(int a) =>\n    2 * a;\n\nvoid main() {\n  print(twice(2));\n}\n",
+    "j.c": "int g(int a);\nstatic int *g2(int a)\n{\n  if (a) { return 0; }\n  return 0;\n}\nstruct s {\n  int b;\n};\n",
+}
+
+
+@query(
+    "structural_units",
+    """SELECT filepath, type, symbol, '' AS parent_symbol, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line FROM (VALUES
+    ('a.py', 'decorated_definition', 'one', 3, 5), ('a.py', 'class_definition', 'Two', 7, 9),
+    ('d.ts', 'lexical_declaration', 'f', 3, 5), ('d.ts', 'interface_declaration', 'Shape', 6, 8),
+    ('e.go', 'type_declaration', 'T', 3, 5), ('e.go', 'method_declaration', 'Get', 7, 9),
+    ('f.rs', 'impl_item', 'Walk', 2, 4), ('f.rs', 'function_item', 'free', 5, 5), ('g.java', 'class_declaration', 'A', 1, 3),
+    ('h.kt', 'function_declaration', 'one', 1, 2), ('h.kt', 'class_declaration', 'P', 4, 4),
+    ('i.dart', 'function_signature', 'twice', 1, 2), ('i.dart', 'function_signature', 'main', 4, 6),
+    ('j.c', 'function_definition', 'g2', 2, 6), ('j.c', 'struct_specifier', 's', 7, 9)) AS t(filepath, type, symbol, start_line, end_line)""",
+)
 def _(spark, d):
-    code = "import os\n\n@cache\ndef one(a):\n    return a\n\nclass Two:\n    def three(self):\n        pass\n\nx = 1\n"
-    return ck.structural_units(spark.createDataFrame([("a.py", code), ("b.py", "def ("), ("c.js", "x")], "filepath string, content string"))
+    return ck.structural_units(spark.createDataFrame(list(UNIT_FILES.items()), "filepath string, content string"))
 
 
 @query("chunk_invariants", "SELECT CAST(0 AS BIGINT) AS over_budget, CAST(0 AS BIGINT) AS bad_ranges, CAST(0 AS BIGINT) AS duplicate_ids")

@@ -79,6 +79,25 @@ def discover_repositories(root: str, listed: str = "") -> list[str]:
     return [p for p in [root, *(os.path.join(root, d) for d in children)] if is_repo(p)]
 
 
+def git_head(root: str) -> str | None:
+    """The commit that a local working tree is at; None if there is none to read."""
+    git = os.path.join(root.removeprefix("file://"), ".git")
+
+    def content(name: str) -> str:
+        try:
+            with open(os.path.join(git, name)) as f:
+                return f.read()
+        except OSError:
+            return ""
+
+    head = content("HEAD").strip()
+    if not head.startswith("ref: "):
+        return head or None
+    name = head.removeprefix("ref: ")
+    packed = dict(reversed(x.split(" ", 1)) for x in content("packed-refs").splitlines() if " " in x and x[0] not in "#^")
+    return content(name).strip() or packed.get(name)
+
+
 def from_documents(documents: DataFrame) -> DataFrame:
     path = F.concat(F.lit("docs/"), "lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return documents.select(path.alias("filepath"), F.coalesce("text", F.lit("")).alias("content"))

@@ -90,3 +90,36 @@ def test_sql_by_statement_and_dart_symbols(spark):
     assert {("m.sql", "a", 2, 4), ("m.sql", "b", 6, 7)} <= got
     assert any(f == "w.dart" and s == "load" for f, s, _, _ in got)
     assert sum(e - b + 1 for f, _, b, e in got if f == "m.sql") == 7  # every line in one statement
+
+
+def test_units():
+    from siftwell.operators.structure import units
+    from siftwell.queries import UNIT_FILES
+
+    got = {f: [(u.kind, u.symbol, u.first, u.last) for u in units(x, UNIT_FILES[f], 10**6)] for f, x in (("f.rs", "rust"), ("i.dart", "dart"), ("j.c", "c"), ("b.py", "python"))}
+    assert got["f.rs"] == [("impl_item", "Walk", 2, 4), ("function_item", "free", 5, 5)]
+    assert got["i.dart"] == [("function_signature", "twice", 1, 2), ("function_signature", "main", 4, 6)]
+    assert got["j.c"] == [("function_definition", "g2", 2, 6), ("struct_specifier", "s", 7, 9)]
+    assert got["b.py"] == [] == units("ruby", "def a\nend\n", 9)
+
+
+def test_units_over_the_budget():
+    from siftwell.operators.structure import units
+
+    java = "@Table\npublic class Big {\n  private int a;\n  Big(int a) {\n    this.a = a;\n  }\n  @Override\n  public int get() {\n    return a;\n  }\n}\n"
+    got = [tuple(u) for u in units("java", java, 40)]
+    assert got == [("class_declaration_header", "Big", "", 1, 3), ("constructor_declaration", "Big", "Big", 4, 6), ("method_declaration", "get", "Big", 7, 10)]
+    assert [tuple(u) for u in units("java", java, 10**6)] == [("class_declaration", "Big", "", 1, 11)]
+    python = "class Two:\n    def three(self):\n        pass\n\n    def four(self):\n        pass\n"
+    assert [tuple(u) for u in units("python", python, 20)] == [("function_definition", "three", "Two", 2, 3), ("function_definition", "four", "Two", 5, 6)]
+
+
+def test_units_take_time_in_proportion():
+    import time
+
+    from siftwell.operators.structure import units
+
+    start = time.monotonic()
+    assert len(units("javascript", "function f(a) {\n  if (a) { g({b: [1]}); }\n}\n" * 20_000, 10**6)) == 20_000
+    assert units("java", "{" * 200_000, 9) == [] == units("c", " " * 20_000 + "x(" * 2000, 9)
+    assert time.monotonic() - start < 20

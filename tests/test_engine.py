@@ -4,7 +4,11 @@ import os
 
 import pytest
 
-from siftwell.plans.engine import EmptyIndex, Engine, NoSuchPath, render
+from siftwell.config import CHUNKER_VERSION, EngineConfig
+from siftwell.encoders import HashingEncoder
+from siftwell.operators import index as ix
+from siftwell.plans.engine import EmptyIndex, Engine, NoSuchPath, render, render_page, render_status
+from siftwell.schema import LAYOUT
 from siftwell.sources import files as fs
 from siftwell.streaming.ingest import chunk_stream
 
@@ -110,3 +114,48 @@ def test_stream(spark, tree):
     (tree / "tree/src/late.md").write_text("# Late\ntext\n")
     chunk_stream(spark, str(tree / "tree"), out, state).awaitTermination(120)
     assert spark.read.parquet(out).count() == n + 1
+
+
+class Fragile(HashingEncoder):
+    """Fails on one file while `bad` exists; leaves a note for each text that it encodes."""
+
+    def __init__(self, folder):
+        super().__init__(8)
+        self.folder = str(folder)
+
+    def encode(self, texts):
+        for t in texts:
+            if "expires_at" in t and os.path.exists(f"{self.folder}/bad"):
+                raise RuntimeError("lost")
+            with open(f"{self.folder}/seen", "a") as f:
+                f.write("x")
+        return super().encode(texts)
+
+
+def test_a_lost_run_is_taken_up(spark, tree):
+    (tree / "bad").touch()
+    config = EngineConfig(commit_chunks=1, commits_most=4)
+    e = Engine(spark, str(tree / "tree"), str(tree / "index3"), Fragile(tree), config)
+    with pytest.raises(Exception, match="lost"):
+        e.reindex()
+    assert e.store.current() is None
+    (tree / "bad").unlink()
+    (tree / "seen").unlink(missing_ok=True)
+    held = ix.Commits(spark, e.store.root, (e.encoder.name, CHUNKER_VERSION, e.root, LAYOUT)).read().count()
+    n = e.reindex().chunks
+    assert (tree / "seen").stat().st_size == n - held
+    assert e.store.read("vectors").count() == n and not [p for p in os.listdir(tree / "index3") if p.startswith("commits=")]
+    assert "clean" not in e.describe_references("issue") and "1 of them definitions" in e.describe_references("issue")
+    assert "none either" in e.describe_references("no_such_thing")
+    assert "1 of 2 match(es); next offset 1" in render_page(e.find_symbol_or_keyword("user_id|expires_at", limit=1))
+    assert "up to date" in render_status(e.status())
+
+
+def test_git_head(tmp_path):
+    assert fs.git_head(str(tmp_path)) is None
+    os.makedirs(tmp_path / ".git/refs/heads")
+    (tmp_path / ".git/HEAD").write_text("ref: refs/heads/main\n")
+    (tmp_path / ".git/packed-refs").write_text("# pack-refs\nabc refs/heads/main\n")
+    assert fs.git_head(str(tmp_path)) == "abc"
+    (tmp_path / ".git/refs/heads/main").write_text("def\n")
+    assert fs.git_head(str(tmp_path)) == "def"
