@@ -80,6 +80,19 @@ def bm25_scores(post: DataFrame, stats: DataFrame, dl: DataFrame, terms: list[st
     return rows.groupBy("chunk_id", *carry).agg(F.sum(part).alias("score"))
 
 
+def bm25_many(post: DataFrame, stats: DataFrame, dl: DataFrame, asked: DataFrame, mean_dl: float, config: EngineConfig = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(item_id, chunk_id, carry..., score, matched) for a table of queries asked (item_id, term, times), as bm25_scores().
+
+    stats holds the terms of the queries; matched is how many of a query's terms the chunk has. Joins are left to the
+    optimizer, since neither side has a bound.
+    """
+    norm = config.bm25_k1 * (1 - config.bm25_b + config.bm25_b * F.col("dl") / F.lit(mean_dl))
+    part = F.col("times") * F.col("idf") * F.col("tf") * (config.bm25_k1 + 1) / (F.col("tf") + norm)
+    weighted = asked.join(stats.select("term", "idf"), "term")  # the terms of the queries meet the postings once
+    rows = post.select("term", "chunk_id", "tf").join(weighted, "term").join(dl, "chunk_id").groupBy("item_id", "chunk_id", *carry)
+    return rows.agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("matched"))
+
+
 def top_lexical(scores: DataFrame, k: int, tie: str = "chunk_id") -> DataFrame:
     """The k best positive scores with ranks from 0; scores are compared to 9 places, ties go by `tie`."""
     scores = scores.where(F.col("score") > 0).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), tie).limit(k)
