@@ -36,14 +36,15 @@ class HashingEncoder:
 
 
 class OnnxEncoder:
-    """A sentence encoder from local files: an ONNX model and its tokenizer; the digest is checked if given."""
-
-    def __init__(self, model_path: str, tokenizer_path: str, dim: int, sha256: str | None = None, max_tokens: int = 512):
-        if sha256:
-            with open(model_path, "rb") as f:
-                found = hashlib.file_digest(f, "sha256").hexdigest()
-            if found != sha256:
-                raise ValueError(f"{model_path} has digest {found}, not {sha256}")
+    """A sentence encoder from local files: an ONNX model and its tokenizer; digests are checked if given."""
+
+    def __init__(self, model_path: str, tokenizer_path: str, dim: int, sha256: str | None = None, max_tokens: int = 512, tokenizer_sha256: str | None = None):
+        for path, digest in ((model_path, sha256), (tokenizer_path, tokenizer_sha256)):
+            if digest:
+                with open(path, "rb") as f:
+                    found = hashlib.file_digest(f, "sha256").hexdigest()
+                if found != digest:
+                    raise ValueError(f"{path} has digest {found}, not {digest}")
         self.name, self.dim = model_path, dim
         self.paths, self.max_tokens, self.session = (model_path, tokenizer_path), max_tokens, None
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, QUESTION_WORDS, EngineConfig
+from . import tokens
 
+# What a term is, and where camelCase words are cut.
 WORD = "[A-Za-z_][A-Za-z0-9_]*|[0-9]+"
 HUMP = "[A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z0-9]+"
 
@@ -29,14 +31,21 @@ def tokenize(text: Column) -> Column:
 
 
 def token_count(text: Column, config: EngineConfig = DEFAULT) -> Column:
-    """Tokens by the encoder's worst case of characters a token (no tokenizer file is assumed)."""
+    """Tokens by the tokenizer file if one is set, else by the encoder's worst case of characters a token."""
+    if config.tokenizer:
+        return tokens.count_column(text, config.tokenizer, config.tokenizer_sha256)
     return (F.floor(F.char_length(text) / F.lit(config.least_chars_per_token)) + 1).cast("bigint")
 
 
 def token_estimate(text: Column, config: EngineConfig = DEFAULT) -> Column:
-    """A cheap estimate for texts that cannot exceed the budget, token_count for the rest."""
+    """A cheap estimate for texts that cannot exceed the budget, token_count for the rest.
+
+    With a tokenizer, those are the texts with no more bytes than tokens are allowed: a token stands for a byte at least.
+    """
     n = F.char_length(text)
-    return F.when(n < config.short_text, (F.floor(n / F.lit(config.chars_per_token)) + 1).cast("bigint")).otherwise(token_count(text, config))
+    small = F.octet_length(text) + config.tokens_around <= config.chunk_tokens if config.tokenizer else n < config.short_text
+    rest = F.when(~small, text) if config.tokenizer else text  # the tokenizer does not see the others
+    return F.when(small, (F.floor(n / F.lit(config.chars_per_token)) + 1).cast("bigint")).otherwise(token_count(rest, config))
 
 
 def density(text: Column, config: EngineConfig = DEFAULT) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from .functions import text as X
 from .operators import chunk as ck
 from .operators import index as ix
 from .operators import lookup as lk
+from .operators import markup as mk
 from .operators import metrics
 from .operators import search as se
 from .sources import files as fs
@@ -250,12 +252,19 @@ def _(spark, d):
     return s.select("filepath", F.col("start_line").cast("bigint").alias("start_line"), (F.col("start_line") + F.size("body") - 1).cast("bigint").alias("end_line"), "symbol")
 
 
+def for_pages(spark, d, rows: list[tuple], kinds: str) -> DataFrame:
+    """The rows, given by hand, once for each page, with its id."""
+    names = [x.split()[0] for x in kinds.split(", ")]
+    made = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]).cast(f"array<struct<{', '.join(x.replace(' ', ':') for x in kinds.split(', '))}>>")
+    return table(spark, d, "pages").select("page_id", F.explode(made).alias("r")).select("page_id", "r.*")
+
+
 _SQL_FILE = """-- schema
-CREATE TABLE users (
+CREATE TABLE users_$n (
   id int
 );
 
-ALTER TABLE users ADD COLUMN x int;
+ALTER TABLE users_$n ADD COLUMN x int;
 create or replace function public.touch(a int)
 insert into log values (1);
 CREATE POLICY "read own rows" ON users
@@ -268,16 +277,17 @@ DO $$ begin end $$;
 
 @query(
     "sql_ddl_resplit",
-    rf"""WITH l AS (SELECT unnest(string_split('{_SQL_FILE.rstrip(chr(10))}', chr(10))) AS line, generate_subscripts(string_split('{_SQL_FILE.rstrip(chr(10))}', chr(10)), 1) AS n),
-s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '(?i)^\s*(CREATE|ALTER|DROP|INSERT|UPDATE|DELETE|GRANT|REVOKE|COMMENT|DO)\b') AND n > 1 THEN 1 ELSE 0 END) OVER (ORDER BY n) AS g FROM l),
-t AS (SELECT min(n) AS start_line, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY n) AS body FROM s GROUP BY g)
-SELECT start_line, n_lines, coalesce(nullif(coalesce(nullif(regexp_extract(body, '(?i)CREATE\s+(?:OR\s+REPLACE\s+)?(?:TABLE|FUNCTION|PROCEDURE|VIEW|TRIGGER|POLICY|INDEX|EXTENSION)(?:\s+IF\s+NOT\s+EXISTS)?\s+(?:"([^"]+)"|([A-Za-z0-9_.]+))', 1), ''),
+    rf"""WITH f AS (SELECT page_id, string_split(replace('{_SQL_FILE.rstrip(chr(10))}', '$n', CAST(page_id AS VARCHAR)), chr(10)) AS ls FROM pages),
+l AS (SELECT page_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM f),
+s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '(?i)^\s*(CREATE|ALTER|DROP|INSERT|UPDATE|DELETE|GRANT|REVOKE|COMMENT|DO)\b') AND n > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY n) AS g FROM l),
+t AS (SELECT page_id, min(n) AS start_line, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY n) AS body FROM s GROUP BY page_id, g)
+SELECT page_id, start_line, n_lines, coalesce(nullif(coalesce(nullif(regexp_extract(body, '(?i)CREATE\s+(?:OR\s+REPLACE\s+)?(?:TABLE|FUNCTION|PROCEDURE|VIEW|TRIGGER|POLICY|INDEX|EXTENSION)(?:\s+IF\s+NOT\s+EXISTS)?\s+(?:"([^"]+)"|([A-Za-z0-9_.]+))', 1), ''),
   regexp_extract(body, '(?i)CREATE\s+(?:OR\s+REPLACE\s+)?(?:TABLE|FUNCTION|PROCEDURE|VIEW|TRIGGER|POLICY|INDEX|EXTENSION)(?:\s+IF\s+NOT\s+EXISTS)?\s+(?:"([^"]+)"|([A-Za-z0-9_.]+))', 2)), ''),
   replace(regexp_extract(body, '(?im)^\s*(ALTER|INSERT|GRANT|DROP)\s+\w+\s+(["A-Za-z0-9_.]+)', 2), '"', '')) AS symbol FROM t""",
 )
 def _(spark, d):
-    s = ck.sql_statements(spark.createDataFrame([("schema.sql", _SQL_FILE)], "filepath string, content string"))
-    return s.select(F.col("start_line").cast("bigint").alias("start_line"), F.size("body").cast("bigint").alias("n_lines"), "symbol")
+    files = for_pages(spark, d, [(_SQL_FILE,)], "content string").select(F.col("page_id").cast("string").alias("filepath"), F.replace("content", F.lit("$n"), F.col("page_id").cast("string")).alias("content"))
+    return ck.sql_statements(files).select(F.col("filepath").cast("bigint").alias("page_id"), F.col("start_line").cast("bigint").alias("start_line"), F.size("body").cast("bigint").alias("n_lines"), "symbol")
 
 
 _DECLARED = {
@@ -287,10 +297,10 @@ _DECLARED = {
 }
 
 
-@query("fallback_symbol", "SELECT * FROM (VALUES " + ", ".join(f"({n}, '{v}')" for n, v in enumerate(_DECLARED.values())) + ") t(item, symbol)")
+@query("fallback_symbol", "SELECT page_id, t.* FROM pages, (VALUES " + ", ".join(f"({n}, '{v}')" for n, v in enumerate(_DECLARED.values())) + ") t(item, symbol)")
 def _(spark, d):
-    rows = spark.createDataFrame(list(enumerate(_DECLARED)), "item int, text string")
-    return rows.select("item", ck.declared_symbol(F.col("text")).alias("symbol"))
+    rows = for_pages(spark, d, list(enumerate(_DECLARED)), "item int, text string")
+    return rows.select("page_id", "item", ck.declared_symbol(F.col("text")).alias("symbol"))
 
 
 _SPLIT = f"""WITH RECURSIVE f AS {_lines(_DOCS)},
@@ -332,7 +342,7 @@ def _(spark, d):
     return ck.chunk_files(doc_files(spark, d)).select("chunk_id", F.char_length("skeleton").alias("n_chars"))
 
 
-# written by hand: no table holds source code
+# written by hand, and stored once for each page
 UNIT_FILES = {
     "a.py": "import os\n\n@cache\ndef one(a):\n    return a\n\nclass Two:\n    def three(self):\n        pass\n\nx = 1\n",
     "b.py": "def (",
@@ -349,8 +359,8 @@ UNIT_FILES = {
 
 @query(
     "structural_units",
-    """SELECT filepath, type, symbol, '' AS parent_symbol, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line FROM (VALUES
-    ('a.py', 'decorated_definition', 'one', 3, 5), ('a.py', 'class_definition', 'Two', 7, 9),
+    """SELECT page_id || '/' || filepath AS filepath, type, symbol, '' AS parent_symbol, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line FROM pages, (VALUES
+    ('j.c', 'declaration', 'g', 1, 1), ('a.py', 'decorated_definition', 'one', 3, 5), ('a.py', 'class_definition', 'Two', 7, 9),
     ('d.ts', 'lexical_declaration', 'f', 3, 5), ('d.ts', 'interface_declaration', 'Shape', 6, 8),
     ('e.go', 'type_declaration', 'T', 3, 5), ('e.go', 'method_declaration', 'Get', 7, 9),
     ('f.rs', 'impl_item', 'Walk', 2, 4), ('f.rs', 'function_item', 'free', 5, 5), ('g.java', 'class_declaration', 'A', 1, 3),
@@ -359,7 +369,79 @@ UNIT_FILES = {
     ('j.c', 'function_definition', 'g2', 2, 6), ('j.c', 'struct_specifier', 's', 7, 9)) AS t(filepath, type, symbol, start_line, end_line)""",
 )
 def _(spark, d):
-    return ck.structural_units(spark.createDataFrame(list(UNIT_FILES.items()), "filepath string, content string"))
+    files = for_pages(spark, d, list(UNIT_FILES.items()), "filepath string, content string")
+    return ck.structural_units(files.withColumn("filepath", F.concat_ws("/", F.col("page_id").cast("string"), "filepath")))
+
+
+# source files that stand for rows of pages, in seven languages; $n is the page's number, $k the lines of a body
+_FILES = [
+    ("js", "// $p {{{\nconst re_$n = /[{(]/;\nfunction f_$n(a) {\n", "  a += 1;  // }\n", "  return `}`;\n}\n"),
+    ("c", "static long\nf_$n(int a)\n{\n", "  a += '}';\n", "  return a;\n}\n"),
+    ("kt", "fun <T> List<T>.f_$n(): T {\n", '  go("${a("}")} {")\n', "  return this[0]\n}\n"),
+    ("py", "@cache\ndef f_$n(a):\n", "    a += 1  # (\n", "    return a\n\nx = [\n  1]\n"),
+    ("css", "/* $p { */\n.c_$n > p {\n", "  margin: 0;\n", "}\n"),
+    ("json", '{\n  "k_$n": [\n', '    "}",\n', "    1\n  ]\n}\n"),
+    ("yaml", "# $p\nk_$n:\n", "- a: |\n    b: c\n", "- end\n"),
+]
+_FILE_UNITS = [  # language, kind, symbol before and behind the number, first line, last line
+    ("js", "lexical_declaration", "re_", "", "2", "2"), ("js", "function_declaration", "f_", "", "3", "5 + k"), ("c", "function_definition", "f_", "", "1", "5 + k"), ("kt", "function_declaration", "f_", "", "1", "3 + k"),
+    ("py", "decorated_definition", "f_", "", "1", "3 + k"), ("css", "rule_set", ".c_", " > p", "2", "3 + k"), ("json", "pair", "k_", "", "2", "4 + k"), ("yaml", "document", None, None, "2", "3 + 2 * k"),
+]
+
+
+def page_sources(spark, d) -> DataFrame:
+    """A source file for each page; its language goes by the page's number."""
+    number, kind = F.col("page_id").cast("string"), F.col("page_id") % len(_FILES)
+    path = content = F.lit(None).cast("string")
+    for n, (ext, head, line, tail) in enumerate(_FILES):
+        text = F.concat(F.lit(head), F.repeat(F.lit(line), (F.col("page_id") % 5).cast("int")), F.lit(tail))
+        text = F.replace(F.replace(text, F.lit("$n"), number), F.lit("$p"), F.col("url"))
+        path, content = F.when(kind == n, F.concat(F.lit("made/"), number, F.lit(f".{ext}"))).otherwise(path), F.when(kind == n, text).otherwise(content)
+    return table(spark, d, "pages").select(path.alias("filepath"), content.alias("content"))
+
+
+def _file_units() -> str:
+    exts = [x[0] for x in _FILES]
+    rows = [
+        f"""SELECT 'made/' || n || '.{ext}' AS filepath, '{kind}' AS type, {"''" if a is None else f"'{a}' || n || '{b}'"} AS symbol, '' AS parent_symbol, CAST({first} AS INTEGER) AS start_line, CAST({last} AS INTEGER) AS end_line
+FROM p WHERE kind = {exts.index(ext)}"""
+        for ext, kind, a, b, first, last in _FILE_UNITS
+    ]
+    return f"WITH p AS (SELECT CAST(page_id AS VARCHAR) AS n, page_id % 5 AS k, page_id % {len(exts)} AS kind FROM pages) " + " UNION ALL ".join(rows)
+
+
+@query("source_units", _file_units())
+def _(spark, d):
+    return ck.structural_units(page_sources(spark, d))
+
+
+_TAGS = mk.TAG.replace("'", "''")
+_BOUND, _NEXT, _VOID = (f"[{_in(x)}]" for x in (mk.BOUNDS, mk.ENDS_AT_NEXT, mk.VOID))
+
+
+@query(
+    "page_elements",
+    rf"""WITH RECURSIVE pieces AS (SELECT page_id, html, regexp_extract_all(html, '{_TAGS}') AS said, regexp_split_to_array(html, '{_TAGS}') AS gaps FROM pages WHERE html IS NOT NULL),
+placed AS (SELECT page_id, said[k] AS said, k, list_sum(list_transform(gaps[:k], lambda x: length(x))) + coalesce(list_sum(list_transform(said[:k-1], lambda x: length(x))), 0) AS s FROM (SELECT *, unnest(range(1, len(said) + 1)) AS k FROM pieces)),
+tags AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) AS k, CAST(s AS BIGINT) AS s, CAST(s + length(said) AS BIGINT) AS e, lower(regexp_extract(said, '^</?([A-Za-z][A-Za-z0-9:-]*)', 1)) AS tag, starts_with(said, '</') AS shuts, ends_with(said, '/>') AS alone
+         FROM placed WHERE NOT starts_with(said, '<!--')),
+walk AS (SELECT page_id, CAST(0 AS BIGINT) AS k, []::STRUCT(k BIGINT, tag VARCHAR)[] AS open, []::STRUCT(k BIGINT, e BIGINT)[] AS closed, CAST(NULL AS BIGINT) AS depth FROM pieces
+  UNION ALL
+  SELECT page_id, k, CASE WHEN shuts OR alone OR tag IN ({_in((*mk.VOID, "script", "style"))}) THEN open[:keep] ELSE list_append(open[:keep], {{'k': k, 'tag': tag}}) END,
+         list_transform(open[keep + 1:], lambda x: {{'k': x.k, 'e': CASE WHEN shuts AND x.k = open[keep + 1].k THEN e ELSE s END}}), CASE WHEN NOT shuts THEN keep END
+  FROM (SELECT *, CASE WHEN above IS NOT NULL AND above > 0 AND (shuts OR tag IN ({_in(mk.ENDS_AT_NEXT)}) AND (bound IS NULL OR bound > above)) THEN len(open) - above ELSE len(open) END AS keep
+        FROM (SELECT walk.page_id, t.k, t.s, t.e, t.tag, t.shuts, t.alone, walk.open, list_position(list_reverse(list_transform(walk.open, lambda x: x.tag)), t.tag) AS above,
+                     list_min(list_filter(list_transform(range(1, len(walk.open) + 1), lambda i: CASE WHEN walk.open[len(walk.open) - i + 1].tag <> t.tag AND list_contains({_BOUND}, walk.open[len(walk.open) - i + 1].tag) THEN i END), lambda i: i IS NOT NULL)) AS bound
+              FROM walk JOIN tags t ON t.page_id = walk.page_id AND t.k = walk.k + 1))),
+ends AS (SELECT page_id, c.k AS k, c.e AS e FROM (SELECT page_id, unnest(closed) AS c FROM walk)),
+begun AS (SELECT walk.page_id, walk.k, tag, depth, s, e, alone OR tag IN ({_in((*mk.VOID, "script", "style"))}) AS whole FROM walk JOIN tags USING (page_id, k) WHERE depth IS NOT NULL)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY begun.k) - 1 AS nth, tag, CAST(depth AS BIGINT) AS depth, s AS start, CASE WHEN whole THEN begun.e ELSE coalesce(ends.e, length(html)) END AS "end"
+FROM begun LEFT JOIN ends USING (page_id, k) JOIN pieces USING (page_id)""",
+)
+def _(spark, d):
+    pages = table(spark, d, "pages")
+    found = ck.html_elements(pages.select(F.col("page_id").cast("string").alias("filepath"), F.col("html").alias("content")))
+    return found.withColumnRenamed("filepath", "page_id").withColumn("page_id", F.col("page_id").cast("bigint"))
 
 
 @query("chunk_invariants", "SELECT CAST(0 AS BIGINT) AS over_budget, CAST(0 AS BIGINT) AS bad_ranges, CAST(0 AS BIGINT) AS duplicate_ids")
@@ -368,6 +450,16 @@ def _(spark, d):
     return ck.invariants(ck.chunk_files(files), files).drop("chunks")
 
 
+@query("chunk_token_budget", "SELECT CAST(0 AS BIGINT) AS over_budget, CAST(0 AS BIGINT) AS bad_ranges, CAST(0 AS BIGINT) AS duplicate_ids")
+def _(spark, d):
+    """As chunk_invariants, with chunks cut and then counted by a tokenizer, tokens around them included."""
+    import public_tokenizers
+
+    exact = replace(DEFAULT, tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+    files = doc_files(spark, d).union(fs.from_pages(table(spark, d, "pages"))).union(fs.from_conversations(table(spark, d, "conversations")))
+    return ck.invariants(ck.chunk_files(files, exact, structural=True), files, exact).drop("chunks")
+
+
 # ---- lexical and dense retrieval
 
 
@@ -461,12 +553,19 @@ def _(spark, d):
     return se.symbol_boosts(doc_chunks(spark, d), TERMS).select("chunk_id", F.round("boost", 9).alias("boost"))
 
 
-_POOLS = [(10, 1840, 161, None, False), (10, 2000, 200, 5, True), (10, 64000, 4000, None, False), (10, 64000, 4000, 50, True), (10, 2000, 200, 20, False), (5, 3, 1, None, False)]
 
 
-@query("candidate_pool_size", "SELECT * FROM (VALUES (0, 40), (1, 100), (2, 226), (3, 500), (4, 500), (5, 5)) t(item, pool)")
+@query(
+    "candidate_pool_size",
+    f"""WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY source), p AS (SELECT *, unnest([5, 50, 600]) AS top_k FROM g)
+SELECT source, top_k, greatest(top_k, least(least(500, n), CAST(floor(top_k * 4 * sqrt(greatest(1.0, n / 2000.0))) AS BIGINT))) AS pool FROM p""",
+)
 def _(spark, d):
-    return spark.createDataFrame([(n, se.pool_size(*p)) for n, p in enumerate(_POOLS)], "item int, pool int")
+    """How many candidates a search of each source would take from each retriever."""
+    sizes = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    asked = sizes.withColumn("top_k", F.explode(F.array(F.lit(5), F.lit(50), F.lit(600))))
+    pool = F.udf(lambda k, n: se.pool_size(k, n, n, None, True), "bigint")  # a few rows
+    return asked.select("source", "top_k", pool("top_k", "n").alias("pool"))
 
 
 @query("hybrid_search", _fuse_sql(1.3, 0.8, " + coalesce(boost, 0)", f" LEFT JOIN {_BOOST} USING (chunk_id)") + " SELECT rank, chunk_id, filepath, lang, round(score, 9) AS score FROM fr JOIN c USING (chunk_id) WHERE rank < 10")

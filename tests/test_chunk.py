@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -68,6 +70,31 @@ def test_chunk_files(spark, structural):
     assert ck.invariants(chunks, files).select("over_budget", "bad_ranges", "duplicate_ids").first()[:] == (0, 0, 0)
 
 
+def test_exact_budgets(spark):
+    """With a tokenizer no chunk is over the budget, however dense its text is, and no line is lost."""
+    import public_tokenizers
+
+    from siftwell.functions import text as X
+    from siftwell.functions import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    dense = "\n".join("".join(chr(0x4E00 + 37 * (i * 50 + j) % 9000) for j in range(50)) for i in range(60))
+    rows = [("cjk.txt", dense), ("one.txt", "\U0001f9ff" * 3000 + "\nx\ny\nz"), ("plain.txt", "some words of text\n" * 300), ("short.txt", "a\nb\nc\nd")]
+    files, exact = spark.createDataFrame(rows, "filepath string, content string"), replace(ck.DEFAULT, tokenizer=path)
+    chunks = ck.chunk_files(files, exact)
+    got = [(r.filepath, r.start_line, r.end_line, r.text) for r in chunks.collect()]
+    assert max(tokens.count(t, path) for *_, t in got) <= exact.chunk_tokens < max(tokens.count(r.text, path) for r in ck.chunk_files(files).collect())
+    assert ck.invariants(chunks, files, exact).select("over_budget", "bad_ranges", "duplicate_ids").first()[:] == (0, 0, 0)
+    for name, content in rows:
+        assert {n for f, a, b, _ in got if f == name for n in range(a, b + 1)} == set(range(1, content.count("\n") + (not content.endswith("\n")) + 1))
+    few = spark.createDataFrame([(t,) for t in ["", None, "a b", dense, "x" * 400]], "t string")
+    counted = [tuple(r) for r in few.select("t", X.token_count(F.col("t"), exact), X.token_estimate(F.col("t"), exact)).collect()]
+    assert [c for _, c, _ in counted] == [None if t is None else tokens.count(t, path) for t, *_ in counted]
+    assert [e for *_, e in counted] == [1, None, 2, tokens.count(dense, path), 134]
+    with pytest.raises(ValueError, match="digest"):
+        tokens.tokenizer(path, "0" * 64)
+
+
 def test_collisions_get_numbers(spark):
     text = "# A\n# A\n"
     files = spark.createDataFrame([("a.md", text)], "filepath string, content string")
@@ -99,7 +126,7 @@ def test_units():
     got = {f: [(u.kind, u.symbol, u.first, u.last) for u in units(x, UNIT_FILES[f], 10**6)] for f, x in (("f.rs", "rust"), ("i.dart", "dart"), ("j.c", "c"), ("b.py", "python"))}
     assert got["f.rs"] == [("impl_item", "Walk", 2, 4), ("function_item", "free", 5, 5)]
     assert got["i.dart"] == [("function_signature", "twice", 1, 2), ("function_signature", "main", 4, 6)]
-    assert got["j.c"] == [("function_definition", "g2", 2, 6), ("struct_specifier", "s", 7, 9)]
+    assert got["j.c"] == [("declaration", "g", 1, 1), ("function_definition", "g2", 2, 6), ("struct_specifier", "s", 7, 9)]
     assert got["b.py"] == [] == units("ruby", "def a\nend\n", 9)
 
 
