@@ -36,20 +36,25 @@ def slices(col: pa.Array, most: int = STEP_BYTES):
 
 
 class WordEncoder:
-    """Encodes texts like `Tokenizer.encode(text, add_special_tokens=False)`, special strings as ordinary text.
+    """Encodes texts like `Tokenizer.encode(text, add_special_tokens=False)`.
+
+    Strings of special tokens in a text become those tokens, as the library has it; with `text_only` they are text like
+    any other.
 
     The vocabularies' own splitting rules never join characters across a space that follows a non-space and
     precedes one, so a text's ids are those of its words: with `leading_space` a word takes the space before
     it along, otherwise white space counts for nothing. Texts where a space meets more white space go through
-    the library whole. Known words and their ids are flat arrays of bounded size.
+    the library whole, as do texts that hold a special string. Known words and their ids are flat arrays of bounded size.
     """
 
-    def __init__(self, path: str, leading_space: bool):
+    def __init__(self, path: str, leading_space: bool, text_only: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tok.encode_special_tokens = self.bare.encode_special_tokens = True
+        self.plain = self.tok if text_only else Tokenizer.from_file(path)
+        self.special = [] if text_only else [(t.content, t.normalized) for t in self.plain.get_added_tokens_decoder().values()]
         self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Split(" ", "removed")
         self.leading = leading_space
         tokens = self.tok.get_vocab()
@@ -76,7 +81,13 @@ class WordEncoder:
         return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return self._all(self.tok, texts)
+        return self._all(self.plain, texts)
+
+    def _odd(self, col: pa.Array) -> np.ndarray:
+        """The texts that words cannot be told apart in: white space meets, or a special string is met."""
+        found = [pc.match_substring_regex(col, _SPACED)] if self.leading else []
+        found += [pc.match_substring(col, x, ignore_case=folds) for x, folds in self.special]
+        return np.flatnonzero(np.logical_or.reduce([x.to_numpy(zero_copy_only=False) for x in found])) if found else np.zeros(0, np.int64)
 
     def _words(self, words: pa.Array) -> list[bytes]:
         """ids of words, many to a call where a vocabulary marks a word's first or last token, so that ids tell words apart.
@@ -133,8 +144,7 @@ class WordEncoder:
         return out, np.concatenate(([0], end))
 
     def _step(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        odd = pc.match_substring_regex(col, _SPACED) if self.leading else None
-        odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False)) if odd is not None else np.zeros(0, np.int64)
+        odd = self._odd(col)
         extra = self.whole(col.take(pa.array(odd)).to_pylist()) if len(odd) else []
         if len(odd):
             keep = np.ones(len(col), bool)
@@ -179,6 +189,6 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, leading_space: bool) -> WordEncoder:
+def encoder(path: str, leading_space: bool, text_only: bool = False) -> WordEncoder:
     """One encoder a worker and vocabulary."""
-    return WordEncoder(path, leading_space)
+    return WordEncoder(path, leading_space, text_only)

@@ -54,7 +54,6 @@ def test_run_against_brute_force(spark):
     good = [(r.doc_id, r.text) for r in score_quality(docs, model).where("score >= 0.3").collect()]
     want = brute(good)
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     pieces = {}
     for r in corpus_pipeline.run(spark, DATA).collect():
         pieces.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))

@@ -26,9 +26,9 @@ ODD = [
 ]
 
 
-def library(path):
+def library(path, text_only=False):
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    tok.encode_special_tokens = text_only
     return tok
 
 
@@ -40,6 +40,19 @@ def test_encoder_is_the_library(path, lead):
         assert ids[at[k] : at[k + 1]].tolist() == tok.encode(t or "", add_special_tokens=False).ids, repr(t)[:60]
 
 
+@pytest.mark.parametrize("text_only", [False, True])
+@pytest.mark.parametrize("path,lead", [(BYTES, True), (WORDS, False)])
+def test_special_strings(path, lead, text_only):
+    """Strings of special tokens are those tokens, as the library has it, or text if that is asked for."""
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    texts = [end, f"a{end}b", f" {end} x {start}", f"é{end}.", end * 3, "<|ENDOFTEXT|> a", "<|endoftext", f"word {end}\n", "plain words, here.", None, ""]
+    enc, tok = WordEncoder(path, lead, text_only), library(path, text_only)
+    ids, at = enc.encode(pa.array(texts))
+    got = [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:])]
+    assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert (len(got[0]) == 1) is not text_only
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list("abAB.,'s1 \n\t éß'!<|>-  ́")), max_size=40), max_size=6))
 def test_encoder_on_any_text(texts):
