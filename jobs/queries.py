@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs import batch_search, refresh_index
+from siftwell.operators.index import working_folder
 from siftwell.queries import _TOKENS, _lines, _terms
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a local session that names none gets a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _indexed(spark: SparkSession, sf_dir: str, at: str) -> str:
     refresh_index.run(spark, f"{sf_dir}/documents.parquet", f"{at}/index", f"{at}/checkpoint")
     return f"{at}/index"
@@ -29,7 +17,7 @@ def _indexed(spark: SparkSession, sf_dir: str, at: str) -> str:
 
 def job1_refresh_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk of the index after two runs over the same feed; the second finds nothing new."""
-    at = folder(spark, "job1")
+    at = working_folder(spark, "job1")
     for _ in range(2):
         index = _indexed(spark, sf_dir, at)
     return refresh_index.chunks(spark, index).select(
@@ -39,7 +27,7 @@ def job1_refresh_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job2_batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answers to every item of benchmark, after two runs over one index."""
-    at = folder(spark, "job2")
+    at = working_folder(spark, "job2")
     index = _indexed(spark, sf_dir, at)
     for _ in range(2):
         batch_search.run(spark, f"{sf_dir}/benchmark.parquet", index, f"{at}/results")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +68,14 @@ def resumable(embedded: DataFrame, current: DataFrame) -> DataFrame:
     return embedded.join(current.select("filepath", "sha"), ["filepath", "sha"], "left_semi")
 
 
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; where none is named, a local session gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or 'file://' + tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Commits:
     """Vectors that a run has embedded and not yet published, for the next run to take up if it is lost.
 
@@ -136,6 +146,10 @@ class Generations:
         renames[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(temp, final, renames)
 
+    def drop(self, generation: str, table: str = "") -> None:
+        """Delete a table of a version, or all of a version that was not published."""
+        self._fs.delete(self._path(f"{self.root}/{generation}/{table}".rstrip("/")), True)
+
     def prune(self, keep: list[str]) -> None:
         """Delete versions that are not named; call when no reader can hold them."""
         for entry in self._fs.listStatus(self._path(self.root)):

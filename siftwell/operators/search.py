@@ -53,11 +53,13 @@ def pool_size(top_k: int, chunks: int, files: int, matched: int | None, pushed_d
     return max(top_k, min(ceiling, int(int(top_k * each * growth) / lost)))
 
 
-def allowed(category: str = "all", path_filter: str | None = None) -> Column:
-    """The filter on chunks: plain columns, so that it reaches the scan."""
+def allowed(category: str = "all", path_filter: str | None = None, repository: str | None = None) -> Column:
+    """The filter on chunks: plain columns, so that it reaches the scan. repository: a folder that the path starts with."""
     if category not in CATEGORIES:
         raise ValueError(f"category is one of {', '.join(CATEGORIES)}, not {category!r}")
     out = F.lit(True) if category == "all" else F.col("doc_category") == category
+    if repository:
+        out &= F.col("filepath_lc").startswith(repository.lower().strip("/") + "/")
     return out & F.col("filepath_lc").contains(path_filter.lower().replace("\\", "/")) if path_filter else out
 
 

@@ -70,6 +70,7 @@ class Engine:
         elif any(self.store.read(t).count() != known["chunk_count"] for t in ("chunks", "vectors")):
             full = True  # what is stored is not what was published
         if current.isEmpty():
+            self.store.drop(generation)
             return Reindexed(0, 0, 0, 0, 0, "empty tree: the index is as it was")
         before = self.store.read("manifest") if known is not None else self.spark.createDataFrame([], "filepath string, sha string, mtime timestamp, ids array<string>")
         status = ix.diff(before, current)
@@ -101,10 +102,11 @@ class Engine:
         ids_of = chunks.groupBy("filepath").agg(F.sort_array(F.collect_list(F.struct("ord", "chunk_id"))).alias("c"))
         manifest = current.join(ids_of, "filepath", "left").select("filepath", "sha", "mtime", F.coalesce(F.transform("c", lambda c: c["chunk_id"]), F.array().cast("array<string>")).alias("ids"))
         self.store.write(generation, "manifest", manifest)
-        row = [(*made_by[:3], n, sum(v for k, v in count.items() if k != "removed"), float(mean or 0.0), schema.LAYOUT, fs.git_head(self.root))]
-        meta = self.spark.createDataFrame(row, "model string, chunker_version string, root string, chunk_count bigint, file_count bigint, avg_dl double, layout int, git_head string")
+        row = [(*made_by[:3], n, sum(v for k, v in count.items() if k != "removed"), float(mean or 0.0), schema.LAYOUT, fs.git_head(self.root), fs.git_heads(self.root))]
+        meta = self.spark.createDataFrame(row, "model string, chunker_version string, root string, chunk_count bigint, file_count bigint, avg_dl double, layout int, git_head string, git_heads map<string,string>")
         self.store.write(generation, "meta", meta.withColumn("built_at", F.current_timestamp()))
         self.store.publish(generation)
+        self.store.drop(generation, "scan")
         commits.clear()
         return Reindexed(*(count.get(s, 0) for s in ("unchanged", "changed", "new", "removed")), n, "rebuilt" if full else "updated")
 
@@ -129,15 +131,18 @@ class Engine:
 
     # ---- queries
 
-    def search(self, query: str, category: str = "source_code", path_filter: str | None = None, top_k: int = 10, skeletons: bool = True) -> DataFrame:
-        """Hybrid search: dense and lexical candidates under the filters, fused by the shape of the query."""
-        where = se.allowed(category, path_filter)
+    def search(self, query: str, category: str = "source_code", path_filter: str | None = None, top_k: int = 10, skeletons: bool = True, repository: str | None = None) -> DataFrame:
+        """Hybrid search: dense and lexical candidates under the filters, fused by the shape of the query.
+
+        repository: a folder below the root, as status() names them in git_heads.
+        """
+        where = se.allowed(category, path_filter, repository)
         meta, chunks = self._table("meta").first(), self._table("chunks")
         matched = None
-        if path_filter:
-            matched = self._table("manifest").where(F.lower("filepath").contains(path_filter.lower())).count()
+        if path_filter or repository:
+            matched = self._table("manifest").withColumn("filepath_lc", F.lower("filepath")).where(se.allowed("all", path_filter, repository)).count()
             if not matched:
-                raise NoSuchPath(f"no indexed path contains {path_filter!r}")
+                raise NoSuchPath(f"no indexed path contains {path_filter!r}" if path_filter else f"no indexed path is in {repository!r}")
         pool = se.pool_size(top_k, meta["chunk_count"], meta["file_count"], matched, True, self.config)
         vector = [float(x) for x in self.encoder.encode([X.query_prefix(self.encoder.name) + query])[0]]
         dense = se.top_dense(self._table("vectors").where(where), vector, pool, "tie")
@@ -157,8 +162,8 @@ class Engine:
         cols = ["rank", "chunk_id", "filepath", "start_line", "end_line", "language", "symbol", "parent_symbol", "part", "parts"]
         return hits.select(*cols, body, "score", F.lit(pool).alias("pool"), F.lit(shape).alias("shape")).orderBy("rank")
 
-    def find_symbol_references(self, symbol: str, path_filter: str | None = None, category: str = "source_code", limit: int = 10) -> DataFrame:
-        rows = lk.references(self._table("chunks").where(se.allowed(category, path_filter)), symbol)
+    def find_symbol_references(self, symbol: str, path_filter: str | None = None, category: str = "source_code", limit: int = 10, repository: str | None = None) -> DataFrame:
+        rows = lk.references(self._table("chunks").where(se.allowed(category, path_filter, repository)), symbol)
         return lk.ranked_references(rows, limit).select("kind", "hits", "chunk_id", "filepath", "start_line", "end_line", "language", "symbol", "skeleton")
 
     def describe_references(self, symbol: str, path_filter: str | None = None, category: str = "source_code", limit: int = 10) -> str:
@@ -192,7 +197,8 @@ class Engine:
     def get_file_context(self, targets: list[dict]) -> DataFrame:
         """targets: [{path, start_line, end_line}], the latter two optional."""
         rows = self.spark.createDataFrame([(t.get("path"), t.get("start_line"), t.get("end_line")) for t in targets], "filepath string, first int, last int")
-        return lk.file_context(self.files(), rows)
+        named = [t["path"] for t in targets if t.get("path")]
+        return lk.file_context(fs.scan(self.spark, self.root, self.config, names=named), rows)
 
     def status(self) -> DataFrame:
         """One row: what the index holds and how fresh it is."""
@@ -221,5 +227,5 @@ def render_status(status: DataFrame, config: EngineConfig = DEFAULT) -> str:
     r = status.first()
     languages = ", ".join(f"{k} {v}" for k, v in sorted((r["languages"] or {}).items(), key=lambda x: (-x[1], x[0])))
     fresh = f"{r['changed_count']} changed, {r['missing_count']} missing, {r['added_count']} added since" if r["changed_count"] or r["missing_count"] or r["added_count"] else "up to date"
-    lines = [f"{r['chunk_count']} chunks of {r['file_count']} files under {r['root']}", f"built {r['built_at']} at commit {r['git_head'] or 'unknown'}", f"encoder {r['model']}, chunker {r['chunker_version']}"]
+    lines = [f"{r['chunk_count']} chunks of {r['file_count']} files under {r['root']}", f"built {r['built_at']} at commit {r['git_head'] or 'unknown'}", *(f"  {p} at {h}" for p, h in sorted((r["git_heads"] or {}).items())), f"encoder {r['model']}, chunker {r['chunker_version']}"]
     return "\n".join([*lines, f"languages: {languages}", f"freshness: {fresh}", f"settings: {config.chunk_tokens} tokens a chunk, RRF {config.rrf_k}, BM25 k1 {config.bm25_k1} b {config.bm25_b}"])

@@ -463,15 +463,18 @@ def _(spark, d):
 # ---- lexical and dense retrieval
 
 
-_STORED: dict[tuple[str, str], tuple[ix.Generations, float]] = {}
+_STORED: dict[tuple[str, str], tuple[int, ix.Generations, float]] = {}
 
 
 def index(spark, d):
-    """Chunks, and the tables of an index that is built and stored once a session and folder; queries read it."""
+    """Chunks, and the tables of an index that is stored once a session and folder, and anew when the folder's files change."""
     c, key = doc_chunks(spark, d), (spark.sparkContext.applicationId, d)
-    if key not in _STORED:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        store = ix.Generations(spark, f"{folder.rstrip('/')}/siftwell-index-{uuid.uuid4().hex}")
+    listed = spark.read.format("binaryFile").load(f"{d}/documents.parquet")  # no bytes are read
+    stamp = listed.agg(F.hash(F.sort_array(F.collect_list(F.struct("path", "modificationTime", "length"))))).first()[0]
+    if key not in _STORED or _STORED[key][0] != stamp:
+        if key in _STORED:
+            _STORED.pop(key)[1].prune([])
+        store = ix.Generations(spark, ix.working_folder(spark, "siftwell-index"))
         made = store.stage()
         store.write(made, "postings", ix.postings(c))
         post = spark.read.parquet(f"{store.root}/{made}/postings")
@@ -480,8 +483,8 @@ def index(spark, d):
         n, mean = spark.read.parquet(f"{store.root}/{made}/doc_len").agg(F.count(F.lit(1)), F.avg("dl")).first()
         store.write(made, "term_stats", ix.term_stats(post, n))
         store.publish(made)
-        _STORED[key] = (store, mean)
-    store, mean = _STORED[key]
+        _STORED[key] = (stamp, store, mean)
+    _, store, mean = _STORED[key]
     return c, store.read("postings"), store.read("doc_len").select("chunk_id", "dl"), store.read("term_stats"), mean
 
 
@@ -683,6 +686,11 @@ def _(spark, d):
     s = q.join(post.drop("bucket"), "term").join(stats, "term").join(dl, "chunk_id").groupBy("item_id", "chunk_id")
     s = s.agg(F.round(F.sum(F.col("n") * F.col("idf") * F.col("tf") * 2.5 / (F.col("tf") + norm)), 9).alias("score")).where("score > 0")
     ranked = s.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "chunk_id"))).where("rank <= 10")
-    # passages are the small side; a document holds a passage or does not
-    gold = table(spark, d, "documents").join(F.broadcast(bench.withColumnRenamed("text", "passage")), F.col("text").contains(F.col("passage"))).select("item_id", F.col("doc_id").cast("string").alias("chunk_id"))
+    # a document that holds a passage holds its inner words; those of the rarest are read and looked into
+    words = F.regexp_extract_all("text", F.lit(X.WORD), F.lit(0))
+    inner = bench.select("item_id", F.explode(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), F.lower)).alias("term")).distinct()
+    rarest = inner.join(stats, "term").groupBy("item_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    near = rarest.join(post.drop("bucket"), "term").select("item_id", "chunk_id").join(c.select("chunk_id", "text"), "chunk_id")
+    near = near.unionByName(bench.where(F.size(words) < 3).select("item_id").join(c.select("chunk_id", "text")))  # too short to have inner words
+    gold = near.join(bench.withColumnRenamed("text", "passage"), "item_id").where(F.col("text").contains(F.col("passage"))).select("item_id", "chunk_id")
     return metrics.recall_and_mrr(ranked, gold, "item_id", "chunk_id", 10)

@@ -14,8 +14,8 @@ VECTORS = f"chunk_id string, embedding array<float>, {KEYS}"
 POSTINGS = "term string, chunk_id string, tf int, bucket int"
 DOC_LEN = f"chunk_id string, dl bigint, {KEYS}"
 TERM_STATS = "term string, df bigint, idf double"
-META = "model string, chunker_version string, root string, built_at timestamp, chunk_count bigint, file_count bigint, avg_dl double, layout int, git_head string"
+META = "model string, chunker_version string, root string, built_at timestamp, chunk_count bigint, file_count bigint, avg_dl double, layout int, git_head string, git_heads map<string,string>"
 COMMITS = "chunk_id string, filepath string, sha string, embedding array<float>"
 SCAN = "filepath string, content string, sha string, mtime timestamp"
-LAYOUT = 3  # of these tables; an index of another is built anew
+LAYOUT = 4  # of these tables; an index of another is built anew
 TABLES = {"chunks": CHUNKS, "manifest": MANIFEST, "vectors": VECTORS, "postings": POSTINGS, "doc_len": DOC_LEN, "term_stats": TERM_STATS, "meta": META, "scan": SCAN}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,12 +54,25 @@ def decode(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
 
-def scan(spark: SparkSession, root: str, config: EngineConfig = DEFAULT, with_content: bool = True) -> DataFrame:
+def _there(spark: SparkSession, root: str, names: list[str]) -> list[str]:
+    """Paths of the named files that exist below the root, as the reader takes them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    inside = [n for n in dict.fromkeys(names) if n and not n.startswith("/") and ".." not in n.split("/")]
+    paths = [(n, jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{n}")) for n in inside]
+    found = [n for n, p in paths if (fs := p.getFileSystem(conf)).exists(p) and fs.getFileStatus(p).isFile()]
+    return [f"{root.rstrip('/')}/" + re.sub(r"([*?\[\]{}\\])", r"\\\1", n) for n in found]
+
+
+def scan(spark: SparkSession, root: str, config: EngineConfig = DEFAULT, with_content: bool = True, names: list[str] | None = None) -> DataFrame:
     """The indexable files of a tree: filepath (relative), content, sha, mtime, length.
 
-    Size is filtered in the scan; bytes are only read if asked for.
+    Size is filtered in the scan; bytes are only read if asked for. With names (relative paths), those files alone are
+    looked at and no folder is listed.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    load = root if names is None else _there(spark, root, names)
+    if not load:
+        return spark.createDataFrame([], "filepath string, content string, sha string, mtime timestamp, length bigint")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(load)
     base = root.split("://")[-1].rstrip("/") + "/"
     path = F.regexp_replace("path", "^[a-z]+:/+", "/")
     rel = F.expr(f"substring(p, {len(base) + 1})")
@@ -98,6 +112,15 @@ def git_head(root: str) -> str | None:
     return content(name).strip() or packed.get(name)
 
 
+def git_heads(root: str) -> dict[str, str]:
+    """The commit of each repository at or directly below a local root, by its path from the root, or its name if it is the root."""
+    local = root.removeprefix("file://")
+    if "://" in local or not os.path.isdir(local):
+        return {}
+    found = {os.path.relpath(p, local): git_head(p) for p in discover_repositories(os.path.abspath(local))}
+    return {(os.path.basename(os.path.abspath(local)) if p == "." else p): h for p, h in found.items() if h}
+
+
 def from_documents(documents: DataFrame) -> DataFrame:
     path = F.concat(F.lit("docs/"), "lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return documents.select(path.alias("filepath"), F.coalesce("text", F.lit("")).alias("content"))

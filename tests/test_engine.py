@@ -106,6 +106,36 @@ def test_repositories(tmp_path):
     assert fs.discover_repositories("", f"{tmp_path}/a:{tmp_path}/a\n{tmp_path}/nope") == [f"{tmp_path}/a"]
 
 
+def test_two_repositories_in_one_index(spark, tmp_path):
+    for name, head in (("one", "a" * 40), ("two", "b" * 40)):
+        os.makedirs(tmp_path / f"tree/{name}/.git")
+        (tmp_path / f"tree/{name}/.git/HEAD").write_text(head + "\n")
+        (tmp_path / f"tree/{name}/run.py").write_text(f"def start_{name}():\n    return shared_name\n")
+    e = Engine(spark, str(tmp_path / "tree"), str(tmp_path / "index"))
+    assert e.reindex().new == 2
+    status = e.status()
+    assert status.first().git_heads == {"one": "a" * 40, "two": "b" * 40} and "  two at bbbb" in render_status(status)
+    assert {r.filepath for r in e.search("shared_name").collect()} == {"one/run.py", "two/run.py"}
+    assert {r.filepath for r in e.search("shared_name", repository="two").collect()} == {"two/run.py"}
+    assert {r.filepath for r in e.find_symbol_references("shared_name", repository="one").collect()} == {"one/run.py"}
+    with pytest.raises(NoSuchPath):
+        e.search("shared_name", repository="thre")
+    assert not [p for p in (tmp_path / "index").rglob("scan")]
+
+
+def test_named_files_alone_are_read(spark, tree):
+    root = tree / "tree"
+    (root / "src/od[d].py").write_text("a\n")
+    (root / "src/auth.py").chmod(0o644)
+    names = ["src/auth.py", "src/od[d].py", "src/gone.py", "../tree/src/app.ts", "/etc/passwd", "src", "node_modules/x/a.js", ""]
+    rows = fs.scan(spark, str(root), names=names)
+    assert sorted(r.filepath for r in rows.collect()) == ["src/auth.py", "src/od[d].py"]
+    assert sorted(p.rsplit("/", 1)[1] for p in rows.inputFiles()) == ["a.js", "auth.py", "od%5Bd%5D.py"]  # no other is opened
+    assert fs.scan(spark, str(root), names=["gone"]).count() == 0
+    context = Engine(spark, str(root), str(tree / "i")).get_file_context([{"path": "src/auth.py", "start_line": 4, "end_line": 4}, {"path": "no"}, {"path": None}, {"path": "/etc/passwd"}]).collect()
+    assert sorted((str(r.filepath), r.status) for r in context) == [("/etc/passwd", "outside root"), ("None", "missing path"), ("no", "not found"), ("src/auth.py", "ok")]
+
+
 def test_stream(spark, tree):
     out, state = str(tree / "out"), str(tree / "state")
     chunk_stream(spark, str(tree / "tree"), out, state).awaitTermination(120)
