@@ -39,7 +39,8 @@ class Mapping:
     """How a layout becomes turns.
 
     turns: path of a list of turns, with the names of role and text in it; or fixed: (role, path) pairs in
-    order, of which the empty ones are left out. roles renames roles.
+    order, of which the empty ones are left out. roles renames roles. history: path of earlier turns of a fixed layout,
+    pairs of a user's and an assistant's text, or turns like those of messages; they come after the system's.
     """
 
     needs: frozenset[str]
@@ -47,6 +48,7 @@ class Mapping:
     role: str = "role"
     text: str = "content"
     fixed: tuple[tuple[str, str], ...] = ()
+    history: str = "history"
     roles: dict[str, str] = field(default_factory=dict)
 
 
@@ -92,6 +94,8 @@ class Layouts:
     def of(self, record) -> tuple[str, Mapping | None]:
         found = paths(record)
         f = fingerprint(found)
+        # a text may come in parts
+        found |= {f"{m.turns}[].{m.text}" for m in self.mappings if m.turns is not None and any(p.startswith(f"{m.turns}[].{m.text}[]") for p in found)}
         if f not in self.known:
             empty = [m for m in self.mappings if m.turns is not None and m.turns + "[]" in found]
             fit = [m for m in self.mappings if m.needs <= found] or empty
@@ -105,12 +109,66 @@ def _text(v) -> str:
     return "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
 
-def turns_of(record, m: Mapping) -> list[tuple[str, str]]:
+#: Fields of a record that say something of the conversation, if no mapping reads them.
+CONVERSATIONAL = ("messages", "conversations", "conversation", "turns", "history", "system", "instruction", "input", "output", "prompt", "completion", "response", "context", "question", "answer", "tools", "tool_calls", "function_call", "functions", "rejected", "chosen")
+
+
+def _parts(v, at: str, left: list[str]) -> str:
+    """A text, or the texts among its parts (strings, or objects with a string `text`), one after the other."""
+    if not isinstance(v, list):
+        return _text(v)
+    out = []
+    for k, x in enumerate(v):
+        text = x.get("text") if isinstance(x, dict) else x
+        if isinstance(text, str):
+            out.append(text)
+        if not isinstance(text, str) or isinstance(x, dict) and any(y not in (None, "", [], {}) for n, y in x.items() if n not in ("text", "type")):
+            left.append(f"{at}[{k}]")
+    return "".join(out)
+
+
+def _listed(items, role: str, text: str, roles: dict[str, str], at: str, left: list[str]) -> list[tuple[str, str]]:
+    out = []
+    for k, i in enumerate(items):
+        if not isinstance(i, dict):
+            left += [f"{at}[{k}]"] if i not in (None, "", [], {}) else []
+            continue
+        if len(i) > 2 or role not in i or text not in i:
+            left += [f"{at}[{k}].{n}" for n, v in i.items() if n not in (role, text) and v not in (None, "", [], {})]
+        r = _text(i.get(role))
+        out.append((roles.get(r, r), _parts(i.get(text), f"{at}[{k}].{text}", left)))
+    return out
+
+
+def _earlier(items, m: Mapping, left: list[str]) -> list[tuple[str, str]]:
+    if not isinstance(items, list):
+        left += [m.history] if items not in (None, "", {}) else []
+        return []
+    out = []
+    for k, x in enumerate(items):
+        if isinstance(x, list) and len(x) == 2 and all(t is None or isinstance(t, str) for t in x):
+            out += [(r, t) for r, t in zip(("user", "assistant"), x) if t]
+        elif isinstance(x, dict) and "role" in x and "content" in x:
+            out += _listed([x], "role", "content", _NAMES, f"{m.history}[{k}]", left)
+        elif x not in (None, "", [], {}):
+            left.append(f"{m.history}[{k}]")
+    return out
+
+
+def turns_of(record, m: Mapping) -> tuple[list[tuple[str, str]], list[str]]:
+    """Turns, and what they leave over of the conversation: paths of values that are not empty and were not read."""
+    left: list[str] = []
     if m.turns is not None:
-        items = record if m.turns == "" else record.get(m.turns) or []
-        out = [(_text(i.get(m.role)), _text(i.get(m.text))) for i in items if isinstance(i, dict)]
-        return [(m.roles.get(r, r), t) for r, t in out]
-    return [(role, _text(record[p])) for role, p in m.fixed if record.get(p) not in (None, "")]
+        items, read = (record, ()) if m.turns == "" else (record.get(m.turns) or [], (m.turns,))
+        out = _listed(items, m.role, m.text, m.roles, m.turns, left)
+    else:
+        given = [(role, _text(record[p])) for role, p in m.fixed if record.get(p) not in (None, "")]
+        n = sum(role == "system" for role, _ in given[:1])
+        out = [*given[:n], *_earlier(record.get(m.history), m, left), *given[n:]]
+        read = (*(p for _, p in m.fixed), m.history)
+    if isinstance(record, dict) and len(record) > 1:
+        left += [k for k, v in record.items() if k in CONVERSATIONAL and k not in read and v not in (None, "", [], {})]
+    return out, left
 
 
 def write(turns: list[tuple[str, str]], learn: str = "assistant") -> tuple[str, list[tuple[int, int]]]:
@@ -139,13 +197,14 @@ _SPANS = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
 
 
 def format_chat(df: DataFrame, record_col: str = "record", learn: str = "assistant", mappings: list[Mapping] | None = None) -> DataFrame:
-    """df with layout (fingerprint), status, formatted and loss_spans for the JSON records of record_col.
+    """df with layout (fingerprint), status, formatted, loss_spans and left_over for the JSON records of record_col.
 
-    status is ok, invalid (null, not JSON, JSON that holds half a surrogate pair or is nested deeper than the parser
-    or writer goes) or unknown (no mapping fits); the latter two have null formatted and no spans. Null roles and texts are empty; texts that are not strings are written as JSON. An empty
+    status is ok, partial (turns are formatted, but parts of the conversation are not among them: left_over has their
+    paths, such as items that are no turns, tool calls, images or fields of CONVERSATIONAL), invalid (null, not JSON, JSON that holds half a surrogate pair or is nested deeper than the parser
+    or writer goes) or unknown (no mapping fits); the latter two have null formatted and no spans. Texts in parts are put together, histories come first. Null roles and texts are empty; texts that are not strings are written as JSON. An empty
     list of turns gives ''. Input columns of the result's names are replaced.
     """
-    df = C.without(df, "layout", "status", "formatted", "loss_spans")
+    df = C.without(df, "layout", "status", "formatted", "loss_spans", "left_over")
     where = df.columns.index(record_col)
 
     def run(batches):
@@ -156,17 +215,19 @@ def format_chat(df: DataFrame, record_col: str = "record", learn: str = "assista
                 try:
                     record = json.loads(x)
                     f, m = layouts.of(record)
-                    text, spans = write(turns_of(record, m), learn) if m else (None, [])
+                    turns, left = turns_of(record, m) if m else ([], [])
+                    text, spans = write(turns, learn) if m else (None, [])
                     (text or "").encode()
-                except (TypeError, ValueError, RecursionError):
-                    rows.append((None, "invalid", None, []))
+                    "".join(left).encode()
+                except (TypeError, ValueError, AttributeError, RecursionError):
+                    rows.append((None, "invalid", None, [], []))
                     continue
-                rows.append((f, "ok" if m else "unknown", text, [{"start": i, "end": j} for i, j in spans]))
-            f, s, t, p = (list(c) for c in zip(*rows)) if rows else ([], [], [], [])
+                rows.append((f, ("partial" if left else "ok") if m else "unknown", text, [{"start": i, "end": j} for i, j in spans], left))
+            f, s, t, p, o = (list(c) for c in zip(*rows)) if rows else ([], [], [], [], [])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(f, pa.string()), pa.array(s, pa.string()), pa.array(t, pa.string()), pa.array(p, kind)], [*b.schema.names, "layout", "status", "formatted", "loss_spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(f, pa.string()), pa.array(s, pa.string()), pa.array(t, pa.string()), pa.array(p, kind), pa.array(o, pa.list_(pa.string()))], [*b.schema.names, "layout", "status", "formatted", "loss_spans", "left_over"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields]).add("layout", "string").add("status", "string").add("formatted", "string").add("loss_spans", _SPANS))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields]).add("layout", "string").add("status", "string").add("formatted", "string").add("loss_spans", _SPANS).add("left_over", T.ArrayType(T.StringType())))
 
 
 def read_chat(df: DataFrame, keep: list[str]) -> DataFrame:

@@ -29,7 +29,8 @@ RECORDS = {
     '{"prompt":"p","response":null}': [("user", "p")],
     '{"messages":[]}': [],
     '{"messages":[{"role":null,"content":null}]}': [("", "")],
-    '{"messages":[{"role":"user","content":["x",1]}]}': None,
+    '{"instruction":"i","output":"o","system":"s","history":[["a","b"],["c",""],{"role":"bot","content":"d"}]}': [("system", "s"), ("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d"), ("user", "i"), ("assistant", "o")],
+    '{"messages":[{"role":"user","content":[{"type":"text","text":"x"},"y"]},{"role":"assistant","content":"z"}]}': [("user", "xy"), ("assistant", "z")],
     "not json": None, "": None, "3": None, "{}": None,
 }
 
@@ -47,6 +48,21 @@ def test_layouts(spark):
     assert format_chat(df.limit(0)).count() == 0
 
 
+PARTIAL = {
+    '{"messages":[{"role":"user","content":"hi"},"lost text"]}': ([("user", "hi")], ["messages[1]"]),
+    '{"messages":[{"role":"assistant","content":null,"tool_calls":[{"f":1}]}]}': ([("assistant", "")], ["messages[0].tool_calls"]),
+    '{"messages":[{"role":"user","content":["x",1,{"type":"image","url":"u"}]}]}': ([("user", "x")], ["messages[0].content[1]", "messages[0].content[2]"]),
+    '{"instruction":"i","output":"o","history":["a"]}': ([("user", "i"), ("assistant", "o")], ["history[0]"]),
+    '{"prompt":"p","completion":"c","rejected":"r","history":"x"}': ([("user", "p"), ("assistant", "c")], ["history", "rejected"]),
+}
+
+
+def test_nothing_is_lost_unsaid(spark):
+    df = spark.createDataFrame([(r,) for r in PARTIAL], "record string")
+    got = {r.record: (parse(r.formatted), sorted(r.left_over)) for r in format_chat(df).where("status = 'partial'").collect()}
+    assert got == PARTIAL
+
+
 def test_fingerprints():
     assert paths({"a": [{"b": 1}, {"c": {"d": 2}}], "e": []}) == {"a[].b", "a[].c.d", "e[]"}
     assert len({fingerprint(set(m.needs)) for m in MAPPINGS}) == len(MAPPINGS)
