@@ -45,10 +45,18 @@ def lengths(chunks: DataFrame, text: Column | None = None) -> DataFrame:
 def term_stats(post: DataFrame, n_chunks: int, config: EngineConfig = DEFAULT) -> DataFrame:
     """(term, df, idf): idf below 0 becomes epsilon times the mean of all idf, the negative ones included."""
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(n_chunks) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    floor = F.col("mean") * config.bm25_epsilon
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))  # one row joins all
+    mean = df.agg(F.avg(raw_idf(n_chunks)).alias("mean"))
+    return with_idf(df.join(F.broadcast(mean)), n_chunks, F.col("mean"), config)  # one row joins all
+
+
+def raw_idf(n_chunks: int) -> Column:
+    return F.log(F.lit(n_chunks) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def with_idf(counts: DataFrame, n_chunks: int, mean: Column, config: EngineConfig = DEFAULT) -> DataFrame:
+    """(term, df, idf) for (term, df), given the mean of all idf."""
+    raw = raw_idf(n_chunks)
+    return counts.select("term", "df", F.when(raw < 0, mean * config.bm25_epsilon).otherwise(raw).alias("idf"))
 
 
 def diff(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -135,11 +143,12 @@ class Generations:
         writer = (rows.hint("rebalance", "bucket") if table == "postings" else rows).write.mode("overwrite")
         (writer.partitionBy("bucket") if table == "postings" else writer).parquet(f"{self.root}/{generation}/{table}")
 
-    def publish(self, generation: str) -> None:
+    def publish(self, generation: str, *before: str) -> None:
+        """Make a version the one that readers use, after those before it."""
         jvm = self.spark.sparkContext._jvm
         temp, final = self._path(f"{self.root}/CURRENT.{generation}"), self._path(f"{self.root}/CURRENT")
         out = self._fs.create(temp, True)
-        out.write(bytearray(f"{generation}\n".encode()))
+        out.write(bytearray("".join(f"{g}\n" for g in (*before, generation)).encode()))
         out.close()
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         renames = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)

@@ -12,6 +12,7 @@ from .. import encoders, schema
 from ..config import CHUNKER_VERSION, DEFAULT, EngineConfig
 from ..functions import text as X
 from ..operators import chunk as ck
+from ..operators import deltas as dl
 from ..operators import index as ix
 from ..operators import lookup as lk
 from ..operators import search as se
@@ -42,7 +43,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, index_dir: str, encoder: encoders.Encoder | None = None, config: EngineConfig = DEFAULT, structural: bool = True, reranker=None):
         self.spark, self.root, self.config, self.structural, self.reranker = spark, root, config, structural, reranker
         self.encoder = encoder or encoders.HashingEncoder()
-        self.store = ix.Generations(spark, index_dir)
+        self.store = dl.Deltas(spark, index_dir)
 
     # ---- upkeep
 
@@ -50,65 +51,59 @@ class Engine:
         return fs.scan(self.spark, self.root, self.config)
 
     def reindex(self, full: bool = False) -> Reindexed:
-        """Chunk and embed what changed, take the rest over, publish one new version.
+        """Chunk and embed what changed, publish that as a delta (or as a base, if all is new).
 
-        A tree without indexable files publishes nothing. Another encoder, chunker or root rebuilds all. Vectors that a
-        lost run had committed are taken over, where their files still hold the same bytes; full starts without them.
+        A tree without indexable files publishes nothing, nor does one in which nothing changed. Another encoder,
+        chunker or root rebuilds all. Vectors that a lost run had committed are taken over, where their files still hold
+        the same bytes; full starts without them.
         """
-        generation = self.store.stage()
-        self.store.write(generation, "scan", self.files())  # one look at the tree: what is hashed is what is chunked
-        files = self._staged(generation, "scan")
-        current = files.select("filepath", "sha", "mtime")
-        meta = self.store.read("meta")
-        known = meta.first() if meta is not None else None
+        at = self.store.versions()
+        known = self.store.read("meta", at).first() if at else None
         made_by = (self.encoder.name, CHUNKER_VERSION, self.root, schema.LAYOUT)
         commits = ix.Commits(self.spark, self.store.root, made_by)
         if full:
             commits.clear()
         if known is None or (known["model"], known["chunker_version"], known["root"], known["layout"]) != made_by:
             full = True
-        elif any(self.store.read(t).count() != known["chunk_count"] for t in ("chunks", "vectors")):
+        elif any(self.store.read(t, at).count() != known["chunk_count"] for t in ("chunks", "vectors")):
             full = True  # what is stored is not what was published
+        # a full run, too, tells what became of each file since
+        previous = self.store.read("manifest", at) if known is not None and known["layout"] == schema.LAYOUT else self.spark.createDataFrame([], schema.MANIFEST)
+        before, at = (previous, at) if not full else (previous.limit(0), [])
+        delta = self.store.stage()
+        self.store.write(delta, "scan", self._look(before))  # one look at the tree: what is hashed is what is chunked
+        files = self.store.table(delta, "scan")
+        current = files.select("filepath", "sha", "mtime")
         if current.isEmpty():
-            self.store.drop(generation)
+            self.store.drop(delta)
             return Reindexed(0, 0, 0, 0, 0, "empty tree: the index is as it was")
-        before = self.store.read("manifest") if known is not None else self.spark.createDataFrame([], "filepath string, sha string, mtime timestamp, ids array<string>")
-        status = ix.diff(before, current)
-        count = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
-        keep = status.where("status = 'unchanged'").select("filepath") if not full else None
-        fresh = files if keep is None else files.join(keep, "filepath", "left_anti")
-        chunks = ck.chunk_files(fresh, self.config, self.structural)
-        if keep is not None:
-            chunks = chunks.unionByName(self.store.read("chunks").join(keep, "filepath", "left_semi"))
-        self.store.write(generation, "chunks", chunks)
-        chunks = self._staged(generation, "chunks")
-        new = chunks.join(keep, "filepath", "left_anti") if keep is not None else chunks
+        count = {r["status"]: r["count"] for r in ix.diff(previous, current).groupBy("status").count().collect()}
+        told = [count.get(s, 0) for s in ("unchanged", "changed", "new", "removed")]
+        about = {"model": made_by[0], "chunker_version": made_by[1], "root": made_by[2], "git_head": fs.git_head(self.root), "git_heads": fs.git_heads(self.root)}
+        if at and not any(told[1:]) and (known["git_head"], known["git_heads"]) == (about["git_head"], about["git_heads"]):
+            if before.select("filepath", "mtime").exceptAll(current.select("filepath", "mtime")).isEmpty():
+                self.store.drop(delta)
+                return Reindexed(*told, known["chunk_count"], "updated")
+        self.store.write(delta, "chunks", ck.chunk_files(files.where("content is not null"), self.config, self.structural))
+        chunks = self.store.table(delta, "chunks")
         keys = chunks.select("chunk_id", *ix.search_keys(chunks))
-        vectors = self._embedded(new, current, commits).join(keys, "chunk_id")
-        post_of, dl_of = chunks, chunks
-        if keep is not None:  # a kept file keeps its chunk ids, so its vectors, postings and lengths hold
-            ids = chunks.join(keep, "filepath", "left_semi").select("chunk_id")
-            vectors = vectors.unionByName(self.store.read("vectors").join(ids, "chunk_id", "left_semi"))
-            post_of = dl_of = chunks.join(ids, "chunk_id", "left_anti")
-        post, dl = ix.postings(post_of, config=self.config), ix.lengths(dl_of).join(keys, "chunk_id")
-        if keep is not None:
-            post = post.unionByName(self.store.read("postings").join(ids, "chunk_id", "left_semi"))
-            dl = dl.unionByName(self.store.read("doc_len").join(ids, "chunk_id", "left_semi"))
-        self.store.write(generation, "vectors", vectors)
-        self.store.write(generation, "postings", post)
-        self.store.write(generation, "doc_len", dl)
-        n, mean = self._staged(generation, "doc_len").agg(F.count(F.lit(1)), F.avg("dl")).first()
-        self.store.write(generation, "term_stats", ix.term_stats(self._staged(generation, "postings"), n, self.config))
-        ids_of = chunks.groupBy("filepath").agg(F.sort_array(F.collect_list(F.struct("ord", "chunk_id"))).alias("c"))
-        manifest = current.join(ids_of, "filepath", "left").select("filepath", "sha", "mtime", F.coalesce(F.transform("c", lambda c: c["chunk_id"]), F.array().cast("array<string>")).alias("ids"))
-        self.store.write(generation, "manifest", manifest)
-        row = [(*made_by[:3], n, sum(v for k, v in count.items() if k != "removed"), float(mean or 0.0), schema.LAYOUT, fs.git_head(self.root), fs.git_heads(self.root))]
-        meta = self.spark.createDataFrame(row, "model string, chunker_version string, root string, chunk_count bigint, file_count bigint, avg_dl double, layout int, git_head string, git_heads map<string,string>")
-        self.store.write(generation, "meta", meta.withColumn("built_at", F.current_timestamp()))
-        self.store.publish(generation)
-        self.store.drop(generation, "scan")
+        self.store.write(delta, "vectors", self._embedded(chunks, current, commits).join(keys, "chunk_id"))
+        versions = self.store.seal(delta, at, current, about, self.config)
+        self.store.publish(versions[-1], *versions[:-1])
+        self.store.drop(delta, "scan")
         commits.clear()
-        return Reindexed(*(count.get(s, 0) for s in ("unchanged", "changed", "new", "removed")), n, "rebuilt" if full else "updated")
+        return Reindexed(*told, self.store.read("meta", versions).first()["chunk_count"], "rebuilt" if full else "updated")
+
+    def _look(self, before: DataFrame) -> DataFrame:
+        """All files of the tree; of those that are as before, without their content."""
+        known = before.select("filepath", F.col("sha").alias("was"))
+        known = F.broadcast(known) if known.count() <= self.config.broadcast_rows else known
+        files = self.files().join(known, "filepath", "left")
+        return files.withColumn("content", F.when(F.col("was").eqNullSafe(F.col("sha")), None).otherwise(F.col("content")))
+
+    def prune(self) -> None:
+        """Delete versions that are not part of the published index; call when no reader or run can hold them."""
+        self.store.prune(self.store.versions())
 
     def _embedded(self, new: DataFrame, current: DataFrame, commits: ix.Commits) -> DataFrame:
         """(chunk_id, embedding) of new chunks, written commit by commit, each with the files of one part of all."""
@@ -120,11 +115,8 @@ class Engine:
             commits.write(encoders.embed(part, self.encoder, self.config.embed_batch, ("chunk_id", "filepath", "sha")))
         return ix.resumable(commits.read(), current).select("chunk_id", "embedding").join(new.select("chunk_id"), "chunk_id", "left_semi")
 
-    def _staged(self, generation: str, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.store.root}/{generation}/{table}")
-
-    def _table(self, name: str) -> DataFrame:
-        out = self.store.read(name)
+    def _table(self, name: str, at: list[str] | None = None) -> DataFrame:
+        out = self.store.read(name, at)
         if out is None:
             raise EmptyIndex("the index is empty: call reindex(full=True)")
         return out
@@ -137,18 +129,19 @@ class Engine:
         repository: a folder below the root, as status() names them in git_heads.
         """
         where = se.allowed(category, path_filter, repository)
-        meta, chunks = self._table("meta").first(), self._table("chunks")
+        at = self.store.versions()  # one state of the index, whatever is published meanwhile
+        meta, chunks = self._table("meta", at).first(), self._table("chunks", at)
         matched = None
         if path_filter or repository:
-            matched = self._table("manifest").withColumn("filepath_lc", F.lower("filepath")).where(se.allowed("all", path_filter, repository)).count()
+            matched = self._table("manifest", at).withColumn("filepath_lc", F.lower("filepath")).where(se.allowed("all", path_filter, repository)).count()
             if not matched:
                 raise NoSuchPath(f"no indexed path contains {path_filter!r}" if path_filter else f"no indexed path is in {repository!r}")
         pool = se.pool_size(top_k, meta["chunk_count"], meta["file_count"], matched, True, self.config)
         vector = [float(x) for x in self.encoder.encode([X.query_prefix(self.encoder.name) + query])[0]]
-        dense = se.top_dense(self._table("vectors").where(where), vector, pool, "tie")
+        dense = se.top_dense(self._table("vectors", at).where(where), vector, pool, "tie")
         terms = se.terms_of(query)
         if terms:
-            scores = se.bm25_scores(self._table("postings"), self._table("term_stats"), self._table("doc_len").where(where), terms, meta["avg_dl"], self.config, ("tie",))
+            scores = se.bm25_scores(self._table("postings", at), self._table("term_stats", at), self._table("doc_len", at).where(where), terms, meta["avg_dl"], self.config, ("tie",))
             lexical = se.top_lexical(scores, pool, "tie")
         else:
             lexical = dense.limit(0)

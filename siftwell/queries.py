@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import schema
 from .config import CONFIGURATION, DEFAULT, DOCUMENTATION, EXCLUDED_DIRS, EXCLUDED_NAMES, EXCLUDED_PATTERNS, LANGUAGE_OF, QUESTION_WORDS
 from .functions import text as X
 from .operators import chunk as ck
+from .operators import deltas as dl
 from .operators import index as ix
 from .operators import lookup as lk
 from .operators import markup as mk
@@ -463,18 +464,27 @@ def _(spark, d):
 # ---- lexical and dense retrieval
 
 
-_STORED: dict[tuple[str, str], tuple[int, ix.Generations, float]] = {}
+_STORED: dict[tuple[str, str, str], tuple] = {}
 
 
-def index(spark, d):
-    """Chunks, and the tables of an index that is stored once a session and folder, and anew when the folder's files change."""
-    c, key = doc_chunks(spark, d), (spark.sparkContext.applicationId, d)
+def stored(spark, d, name, build):
+    """What build(folder) gives, made once a session and folder of tables, and anew when the documents' files change."""
+    key = (spark.sparkContext.applicationId, d, name)
     listed = spark.read.format("binaryFile").load(f"{d}/documents.parquet")  # no bytes are read
     stamp = listed.agg(F.hash(F.sort_array(F.collect_list(F.struct("path", "modificationTime", "length"))))).first()[0]
     if key not in _STORED or _STORED[key][0] != stamp:
         if key in _STORED:
             _STORED.pop(key)[1].prune([])
-        store = ix.Generations(spark, ix.working_folder(spark, "siftwell-index"))
+        _STORED[key] = (stamp, *build(ix.working_folder(spark, f"siftwell-{name}")))
+    return _STORED[key][1:]
+
+
+def index(spark, d):
+    """Chunks, and the tables of a stored index of them."""
+    c = doc_chunks(spark, d)
+
+    def build(folder):
+        store = ix.Generations(spark, folder)
         made = store.stage()
         store.write(made, "postings", ix.postings(c))
         post = spark.read.parquet(f"{store.root}/{made}/postings")
@@ -483,11 +493,56 @@ def index(spark, d):
         n, mean = spark.read.parquet(f"{store.root}/{made}/doc_len").agg(F.count(F.lit(1)), F.avg("dl")).first()
         store.write(made, "term_stats", ix.term_stats(post, n))
         store.publish(made)
-        _STORED[key] = (stamp, store, mean)
-    _, store, mean = _STORED[key]
+        return store, mean
+
+    store, mean = stored(spark, d, "index", build)
     return c, store.read("postings"), store.read("doc_len").select("chunk_id", "dl"), store.read("term_stats"), mean
 
 
+def delta_index(spark, d, config=DEFAULT):
+    """An index of the earlier snapshot of the documents, and the later one as a delta to it."""
+
+    def build(folder):
+        store = dl.Deltas(spark, folder)
+        c = doc_chunks(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
+        old = F.when(F.col("filepath").contains("/src2/"), F.concat("text", F.lit("."))).otherwise(F.col("text"))
+        for rows in (c.where(~F.col("filepath").contains("/src1/")).withColumn("text", old), c.where("lang <> 'es'")):
+            at, made = store.versions(), store.stage()
+            current = rows.select("filepath", F.sha1("text").alias("sha"), F.lit(None).cast("timestamp").alias("mtime"))
+            fresh = rows if not at else rows.join(ix.diff(store.read("manifest", at), current).where("status in ('new', 'changed')"), "filepath", "left_semi")
+            store.write(made, "chunks", fresh.withColumn("ord", F.lit(0)))
+            store.write(made, "vectors", spark.createDataFrame([], schema.VECTORS))  # the documents have none
+            versions = store.seal(made, at, current, {}, config)
+            store.publish(versions[-1], *versions[:-1])
+        return (store,)
+
+    return stored(spark, d, f"delta-{config.merge_ratio}", build)[0]
+
+
+# What stands after the delta is the later snapshot, however it came to be.
+_AFTER = _INDEX.replace("FROM documents)", "FROM documents WHERE lang <> 'es')")
+
+
+@query("delta_live_chunks", f"WITH {_NOW} SELECT filepath, sha, 1 AS chunks FROM now")
+def _(spark, d):
+    store = delta_index(spark, d)
+    chunks = store.read("chunks").groupBy("filepath").agg(F.count(F.lit(1)).alias("chunks"))
+    return store.read("manifest").select("filepath", "sha").join(chunks, "filepath", "left")
+
+
+@query("delta_term_stats", f"WITH {_AFTER} SELECT term, df, round(idf, 6) AS idf FROM stats")
+def _(spark, d):
+    return delta_index(spark, d, replace(DEFAULT, merge_ratio=0.0)).read("term_stats").select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("delta_bm25_topk", "WITH " + _LEXICAL.format(k=20).replace(_INDEX, _AFTER) + " SELECT chunk_id, round(score, 6) AS score, rank FROM lexr")
+def _(spark, d):
+    store = delta_index(spark, d, replace(DEFAULT, merge_ratio=0.0))
+    mean = store.read("meta").first()["avg_dl"]
+    top = se.top_lexical(se.bm25_scores(store.read("postings"), store.read("term_stats"), store.read("doc_len"), TERMS, mean), 20)
+    return top.select("chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("bm25_postings", f"WITH {_INDEX} SELECT term, chunk_id, tf FROM post")
 def _(spark, d):
     return ix.postings(doc_chunks(spark, d)).select("term", "chunk_id", F.col("tf").cast("bigint").alias("tf"))
