@@ -22,6 +22,7 @@ from . import common as C
 
 BLOCK_BYTES = 4 << 20
 BUCKET_HASHES = 2 << 20
+ROW_BYTES = 64  # what a row takes beside its text, about
 _SPANS = T.ArrayType(T.StructType().add("first", "long").add("last", "long"))
 
 
@@ -108,6 +109,26 @@ def _block_cutter(text_col: str, k: int, n_buckets: int, names: list[str]):
     return cut
 
 
+def _dealt(docs: DataFrame, text_col: str, block: str, n_blocks: int) -> DataFrame:
+    """docs with the number of a block. Both readings of docs must deal alike, so a row goes by the hash of its values.
+
+    Equal rows of more than a block's bytes together are first written with a number each and go by that number too.
+    """
+    row, number = C.fresh(docs, "row"), C.fresh(docs, "number")
+    values = [F.col(f"`{c}`") for c, t in docs.dtypes if t in ("bigint", "int", "string")]
+    rows = docs.withColumn(row, F.xxhash64(*values))
+    deal = F.pmod(F.xxhash64(row, F.lit(0)), F.lit(n_blocks))
+    size = F.sum(F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)) + ROW_BYTES)
+    hot = C.materialize(rows.groupBy(row).agg(size.alias("size"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("size") > BLOCK_BYTES)).select(row), "hot-rows")
+    if hot.isEmpty():
+        C.drop(hot)
+        return rows.withColumn(block, deal).drop(row)
+    many = C.materialize(C.semi_join(rows, hot, row).withColumn(number, F.monotonically_increasing_id()), "numbered-rows")
+    spread = F.pmod(F.xxhash64(row, number), F.lit(n_blocks))
+    few, kept = C.semi_join(rows, hot, row, "left_anti"), [F.col(f"`{c}`") for c in docs.columns]
+    return few.select(*kept, deal.alias(block)).unionByName(many.select(*kept, spread.alias(block)))
+
+
 def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = 35) -> DataFrame:
     """Remove every word covered by a window of `window` words that starts anywhere else as well.
 
@@ -126,7 +147,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = 35) -
     n_buckets = C.pow2(max(parts, size / 6 / BUCKET_HASHES))
     names = docs.columns
     block = C.fresh(docs, "block")
-    blocks = docs.withColumn(block, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if t in ("bigint", "int", "string")]), F.lit(n_blocks)))
+    blocks = _dealt(docs, text_col, block, n_blocks)
     sent = blocks.groupBy(block).applyInArrow(_block_sender(text_col, window, n_buckets), "bucket long, block long, hashes binary")
     answers = sent.groupBy("bucket").applyInArrow(_bucket_counter, "block long, bucket long, bits binary")
     out = T.StructType([*docs.schema.fields]).add("n_words", "long").add("n_removed", "long")

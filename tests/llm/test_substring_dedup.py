@@ -60,6 +60,18 @@ def test_one_passage_in_a_third_of_all(frame):
     assert all(n == (40 if i % 3 == 0 else 0) for i, n in got.items())
 
 
+def test_equal_rows_are_dealt_to_many_blocks(frame, monkeypatch):
+    from siftwell.llm import substring_dedup as S
+
+    monkeypatch.setattr(S, "BLOCK_BYTES", 4096)
+    copy = " ".join(f"w{i}" for i in range(20))
+    rows = [(7, copy)] * 300 + [(8, None)] * 200 + [(i, f"x{i} " + copy[: i % 60]) for i in range(9, 60)]
+    df = frame(rows)
+    sizes = [r["count"] for r in S._dealt(df, "text", "block", 16).groupBy("block").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 80
+    assert run(df, 5) == brute(rows, 5)
+
+
 @settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.too_slow])
 @given(st.lists(st.text(alphabet="aBé \n\x1f", max_size=30), max_size=8), st.booleans())
 def test_words(texts, fold):
