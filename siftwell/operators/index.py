@@ -15,6 +15,9 @@ from ..config import DEFAULT, EngineConfig
 from ..functions import text as X
 
 
+PAGE_ROWS = 500  # of chunks: about a page of their texts
+
+
 def term_bucket(term: Column, config: EngineConfig = DEFAULT) -> Column:
     """Postings are written by bucket, so that a query reads the buckets of its terms only."""
     return F.pmod(F.xxhash64(term), F.lit(config.whole_term_buckets)).cast("int")
@@ -137,10 +140,17 @@ class Generations:
         return f"gen={uuid.uuid4().hex[:12]}"
 
     def write(self, generation: str, table: str, df: DataFrame) -> None:
-        """Columns that df does not have are null; postings go to files of even size, each of one bucket."""
+        """Columns that df does not have are null; postings go to files of even size, each of one bucket.
+
+        Chunks are sorted in each file, in pages of few rows, so that a look at some ids reads the pages of those.
+        """
         fields = [f.split(maxsplit=1) for f in schema.TABLES[table].split(", ")]
         rows = df.select(*[(F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name) for name, kind in fields])
+        if table == "chunks":
+            rows = rows.sortWithinPartitions("chunk_id")
         writer = (rows.hint("rebalance", "bucket") if table == "postings" else rows).write.mode("overwrite")
+        if table == "chunks":
+            writer = writer.option("parquet.page.row.count.limit", str(PAGE_ROWS))
         (writer.partitionBy("bucket") if table == "postings" else writer).parquet(f"{self.root}/{generation}/{table}")
 
     def publish(self, generation: str, *before: str) -> None:

@@ -10,6 +10,33 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, EngineConfig
 from ..functions import text as X
 from .chunk import numbered_lines
+from .index import term_bucket
+
+_WORDS = re.compile(X.WORD, re.ASCII)
+
+
+def holding(chunks: DataFrame, postings: DataFrame, symbol: str, config: EngineConfig = DEFAULT) -> DataFrame:
+    """The chunks that may name a symbol: those whose postings hold every word of it. All are candidates if it has none.
+
+    A hit starts and ends where words do, so the words of the symbol are whole terms of the chunk. Texts are read for
+    candidates: up to `named_most` ids go to the scan as a filter, which skips pages of files that are sorted by
+    chunk_id (none are read for an absent symbol); more are broadcast up to `broadcast_rows`, counted, or shuffled.
+    """
+    words = sorted({w.lower() for w in _WORDS.findall(symbol)})
+    if not words:
+        return chunks
+    spark = postings.sparkSession
+    if "bucket" in postings.columns:  # only these folders are read
+        asked = spark.createDataFrame([(w,) for w in words], "term string").select(term_bucket(F.col("term"), config)).distinct()
+        postings = postings.where(F.col("bucket").isin(*[r[0] for r in asked.collect()]))
+    ids = postings.where(F.col("term").isin(*words)).select("chunk_id", "term")
+    if len(words) > 1:
+        ids = ids.groupBy("chunk_id").agg(F.count_distinct("term").alias("n")).where(F.col("n") == len(words))
+    ids = ids.select("chunk_id")
+    few = [r[0] for r in ids.limit(config.named_most + 1).collect()]
+    if len(few) <= config.named_most:
+        return chunks.where(F.col("chunk_id").isin(*few))
+    return chunks.join(F.broadcast(ids) if ids.count() <= config.broadcast_rows else ids, "chunk_id", "left_semi")
 
 
 def references(chunks: DataFrame, symbol: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import encoders, schema
@@ -156,12 +156,17 @@ class Engine:
         return hits.select(*cols, body, "score", F.lit(pool).alias("pool"), F.lit(shape).alias("shape")).orderBy("rank")
 
     def find_symbol_references(self, symbol: str, path_filter: str | None = None, category: str = "source_code", limit: int = 10, repository: str | None = None) -> DataFrame:
-        rows = lk.references(self._table("chunks").where(se.allowed(category, path_filter, repository)), symbol)
+        rows = self._references(symbol, se.allowed(category, path_filter, repository))
         return lk.ranked_references(rows, limit).select("kind", "hits", "chunk_id", "filepath", "start_line", "end_line", "language", "symbol", "skeleton")
 
+    def _references(self, symbol: str, where: Column) -> DataFrame:
+        at = self.store.versions()
+        chunks = lk.holding(self._table("chunks", at).where(where), self._table("postings", at), symbol, self.config)
+        return lk.references(chunks, symbol)
+
     def describe_references(self, symbol: str, path_filter: str | None = None, category: str = "source_code", limit: int = 10) -> str:
         """The references as text under their totals; without any, what a look at the live tree says."""
-        rows = lk.references(self._table("chunks").where(se.allowed(category, path_filter)), symbol)
+        rows = self._references(symbol, se.allowed(category, path_filter))
         total = lk.reference_totals(rows).first()
         if not total["chunks"]:
             said = {"clean": "the live tree has none either", "stale": "the live tree has it: the index is out of date", "unverified": "the live tree could not be read"}

@@ -647,6 +647,25 @@ def _(spark, d):
     return lk.references(doc_chunks(spark, d), _WORD_OF).select("chunk_id", "hits", "kind")
 
 
+_NAMED = ("thing", "the", "license", "rehethnd", "no_such_symbol_anywhere")
+
+
+@query(
+    "symbol_references_pruned",
+    f"""WITH {_CORPUS}, w AS (SELECT chunk_id, symbol, text, list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS has, regexp_split_to_array(lower(text), '[^a-z0-9_]+') AS ws FROM c WHERE lang <> 'es'),
+s AS (SELECT *, unnest([{_in(_NAMED)}]) AS name FROM w)
+SELECT name, chunk_id, len(list_filter(ws, lambda x: x = name)) AS hits, CASE WHEN lower(symbol) = name THEN 2 WHEN regexp_matches(text, '(^|[^A-Za-z0-9_])' || name || '\\s*[(<{{]|[''"`]' || name || '[''"`]') THEN 1 ELSE 0 END AS tier
+FROM s WHERE list_contains(has, name)""",
+)
+def _(spark, d):
+    """References in a stored index of a base and a delta, by way of its postings."""
+    store = delta_index(spark, d, replace(DEFAULT, merge_ratio=0.0))
+    at = store.versions()
+    chunks, post = store.read("chunks", at), store.read("postings", at)
+    rows = [lk.references(lk.holding(chunks, post, s), s).select(F.lit(s).alias("name"), "chunk_id", "hits", "tier") for s in _NAMED]
+    return dl.union(rows)
+
+
 @query(
     "symbol_tiers",
     f"""WITH {_CORPUS}, s AS (SELECT chunk_id, filepath, symbol, text, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda w: w = 'the')) AS hits FROM c),
