@@ -13,7 +13,7 @@ from __future__ import annotations
 import dataclasses
 import logging
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs import command, refresh_index
@@ -39,16 +39,13 @@ def asked_terms(queries: DataFrame) -> DataFrame:
 
 def answers(post: DataFrame, chunks: DataFrame, asked: DataFrame, top_k: int, languages: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """RESULTS: the top_k chunks of positive score for each query and language; ties go to the smaller chunk id."""
-    length = post.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
-    n, mean = length.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    n = chunks.count()  # each has postings: those of its path
+    total = post.agg(F.sum("tf")).first()[0]
     stats = ix.term_stats(post, n).join(asked.select("term").distinct(), "term", "left_semi")
-    where = chunks.select("chunk_id", "doc_id", "start_line", "end_line", "lang")
-    if languages:
-        where = where.where(F.col("lang").isin(*languages))
-    scored = se.bm25_many(post, stats, length.join(where.select("chunk_id", "lang"), "chunk_id"), asked, mean or 0.0, carry=("lang",))
-    best = Window.partitionBy("item_id", "lang").orderBy(F.desc("score"), "chunk_id")
-    top = scored.where("score > 0").withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
-    return top.join(where.drop("lang"), "chunk_id").select("item_id", "rank", "chunk_id", "doc_id", "start_line", "end_line", "score", "matched", "lang")
+    where = chunks.where(F.col("lang").isin(*languages)) if languages else chunks
+    top = se.top_many(post, stats, ix.lengths(where, keep=(F.col("lang"),)), asked, total / n if n else 0.0, top_k, by="lang")
+    top = top.join(where.select("chunk_id", "doc_id", "start_line", "end_line"), "chunk_id")
+    return top.select("item_id", "rank", "chunk_id", "doc_id", "start_line", "end_line", "score", "matched", "lang")
 
 
 def results(spark: SparkSession, out: str) -> DataFrame:

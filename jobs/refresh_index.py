@@ -53,16 +53,29 @@ def manifest(spark: SparkSession, index: str) -> DataFrame:
     return _table(spark, index, "manifest", MANIFEST).groupBy("doc_id").agg(last).select("doc_id", "last.*")
 
 
+def _standing(spark: SparkSession, index: str, name: str, schema: str, dead: DataFrame, n: int) -> DataFrame:
+    """Rows of the batches that the manifest names, less those of `dead` (n rows): no join if there are none, and no shuffle of the table if there are few."""
+    named = [r[0] for r in _table(spark, index, "manifest", MANIFEST).select("batch").distinct().collect()]
+    rows = _table(spark, index, name, schema).where(F.col("batch").isin(*named))
+    return rows.join(F.broadcast(dead) if n <= DEFAULT.broadcast_rows else dead, dead.columns, "left_anti") if n else rows
+
+
+def _replaced(spark: SparkSession, index: str) -> DataFrame:
+    """(doc_id, batch) of what a later batch replaced or took out."""
+    last = manifest(spark, index).select("doc_id", F.col("batch").alias("last"))
+    return _table(spark, index, "manifest", MANIFEST).join(last, "doc_id").where("batch < last").select("doc_id", "batch")
+
+
 def chunks(spark: SparkSession, index: str) -> DataFrame:
     """The chunks of documents as they stand."""
-    live = manifest(spark, index).where("sha is not null").select("doc_id", "batch")
-    return _table(spark, index, "chunks", CHUNKS).join(live, ["doc_id", "batch"], "left_semi")
+    dead = _replaced(spark, index)
+    return _standing(spark, index, "chunks", CHUNKS, dead, dead.count())
 
 
 def postings(spark: SparkSession, index: str) -> DataFrame:
     """The postings of the chunks that stand."""
-    live = chunks(spark, index).select("chunk_id", "batch")
-    return _table(spark, index, "postings", POSTINGS).join(live, ["chunk_id", "batch"], "left_semi")
+    dead = _table(spark, index, "chunks", CHUNKS).join(_replaced(spark, index), ["doc_id", "batch"], "left_semi").select("chunk_id", "batch")
+    return _standing(spark, index, "postings", POSTINGS, dead, dead.count())
 
 
 def newest(rows: DataFrame) -> DataFrame:
@@ -114,7 +127,7 @@ def _taken(index: str, budget: int, read: list[int], adaptive: str):
         at = {n: f"{index}/{n}/batch={number}" for n in ("chunks", "postings", "manifest")}
         cut(changed.where("sha is not null"), budget).write.mode("overwrite").partitionBy("lang").parquet(at["chunks"])
         made = _table(spark, index, "chunks", CHUNKS).where(F.col("batch") == number)
-        ix.postings(made).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(at["postings"])
+        ix.postings(made, unique=True).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(at["postings"])
         changed.select("doc_id", "sha", "status").write.mode("overwrite").parquet(at["manifest"])
         changed.unpersist()
         told = _table(spark, index, "manifest", MANIFEST).where(F.col("batch") == number).groupBy("status").count().collect()

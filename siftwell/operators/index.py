@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..config import DEFAULT, EngineConfig
-from ..functions import text as X
+from ..functions.terms import counted
 
 
 PAGE_ROWS = 500  # of chunks: about a page of their texts
@@ -28,11 +28,15 @@ def indexed_text(chunks: DataFrame) -> Column:
     return F.concat_ws(" ", "text", "filepath", "symbol")
 
 
-def postings(chunks: DataFrame, text: Column | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
-    """(term, chunk_id, tf, bucket)."""
-    terms = chunks.select("chunk_id", F.explode(X.tokenize(indexed_text(chunks) if text is None else text)).alias("term"))
-    out = terms.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    return out.withColumn("bucket", term_bucket(F.col("term"), config))
+def postings(chunks: DataFrame, text: Column | None = None, config: EngineConfig = DEFAULT, unique: bool = False) -> DataFrame:
+    """(term, chunk_id, tf, bucket).
+
+    unique: no two chunks have one id, so that a chunk's own counts are its postings, and nothing is shuffled.
+    """
+    found = counted(chunks.select("chunk_id", (indexed_text(chunks) if text is None else text).alias("text")), F.col("text")).select("chunk_id", F.inline("entries"))
+    if not unique:
+        found = found.groupBy("term", "chunk_id").agg(F.sum("tf").cast("int").alias("tf"))
+    return found.select("term", "chunk_id", "tf", term_bucket(F.col("term"), config).alias("bucket"))
 
 
 def search_keys(chunks: DataFrame) -> list[Column]:
@@ -40,9 +44,11 @@ def search_keys(chunks: DataFrame) -> list[Column]:
     return [F.col("filepath_lc"), F.col("doc_category"), F.concat_ws(":", "filepath", F.lpad("ord", 9, "0")).alias("tie")]
 
 
-def lengths(chunks: DataFrame, text: Column | None = None) -> DataFrame:
-    """(chunk_id, dl): terms of each chunk, chunks without any included."""
-    return chunks.select("chunk_id", F.size(X.tokenize(indexed_text(chunks) if text is None else text)).cast("bigint").alias("dl"))
+def lengths(chunks: DataFrame, text: Column | None = None, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """(chunk_id, dl, keep...): terms of each chunk, chunks without any included, with what else of it is asked for."""
+    rows = chunks.select("chunk_id", *keep, (indexed_text(chunks) if text is None else text).alias("__indexed"))
+    out = counted(rows, F.col("__indexed"), entries=False).drop("__indexed")
+    return out.select("chunk_id", "dl", *[c for c in out.columns if c not in ("chunk_id", "dl")])
 
 
 def term_stats(post: DataFrame, n_chunks: int, config: EngineConfig = DEFAULT) -> DataFrame:

@@ -5,33 +5,22 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CATEGORIES, DEFAULT, QUESTION_WORDS, EngineConfig
 from ..functions import text as X
+from ..functions.terms import terms_of  # noqa: F401
 from .index import term_bucket
 
 
-_WORDS, _HUMPS = re.compile(X.WORD, re.ASCII), re.compile(X.HUMP)
 _NAMES = re.compile(r"\s*([A-Za-z_$][\w$]*)(?:\s+([A-Za-z_$][\w$]*))?\s*", re.ASCII)
 _TELLING = re.compile(r"_|[A-Z]|.{13}|^[^a-z]+$")
 
 
-def _pieces(word: str):
-    """A word, what stands between its underscores, and its humps if it is in both cases."""
-    yield word
-    if "_" in word:
-        yield from filter(None, word.split("_"))
-    if word not in (word.lower(), word.upper()) and len(humps := _HUMPS.findall(word)) > 1:
-        yield from humps
-
-
-def terms_of(text: str) -> list[str]:
-    """functions.text.tokenize for one string, where no DataFrame is at hand."""
-    return [piece.lower() for word in _WORDS.findall(text) for piece in _pieces(word)]
-
-
 def shape_of(query: str) -> str:
     """functions.text.query_shape for one string: one or two telling names, a question, or neither."""
     names = _NAMES.fullmatch(query)
@@ -95,6 +84,83 @@ def bm25_many(post: DataFrame, stats: DataFrame, dl: DataFrame, asked: DataFrame
     return rows.agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("matched"))
 
 
+def top_many(post: DataFrame, stats: DataFrame, dl: DataFrame, asked: DataFrame, mean_dl: float, k: int, by: str | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
+    """The k best of bm25_many() for each query (and each value of `by`, a column of dl that may be text): with ranks from 1.
+
+    Scores are rounded to 9 places, only positive ones count, and ties go to the smaller chunk id. (item_id, term) and
+    (term, chunk_id) are unique. Queries in blocks meet parts of the chunks, each with its postings of the block's
+    terms; a part keeps the best of each query, so that what is scored is never shuffled: (item_id, chunk_id, by,
+    score, matched, rank).
+    """
+    weighted = asked.join(stats.select("term", "idf", "df"), "term")  # the terms of the queries
+    n_items, n_rows = weighted.agg(F.count_distinct("item_id"), F.count(F.lit(1))).first()
+    blocks = -(-n_items // config.queries_per_block) or 1
+    weighted = weighted.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"))
+    terms = weighted.select("block", "term", "df").distinct()
+    parts = -(-(terms.agg(F.sum("df")).first()[0] or 0) // (blocks * config.postings_per_part)) or 1
+    terms = terms.select("block", "term")
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part")
+    hits = post.select("term", "chunk_id", F.col("tf").cast("bigint").alias("n")).join(F.broadcast(terms) if n_rows <= config.broadcast_rows else terms, "term")
+    group = F.col(by).cast("string") if by else F.lit(None).cast("string")
+    heads = dl.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), part, "chunk_id", F.lit(None).cast("string").alias("term"), F.col("dl").alias("n"), group.alias("by"))
+    left = hits.select(F.col("block").alias("block"), part, "chunk_id", "term", "n", F.lit(None).cast("string").alias("by")).unionByName(heads)
+    right = weighted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(F.col("block").alias("block"), "part", "item_id", F.col("term").alias("term"), F.col("times").cast("double").alias("times"), F.col("idf").cast("double").alias("idf"))
+    kind = asked.schema["item_id"].dataType.simpleString()
+    keys = ["block", "part"]
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best_of(mean_dl, k, config), f"item_id {kind}, chunk_id string, by string, score double, matched bigint")
+    w = Window.partitionBy("item_id", "by").orderBy(F.desc("score"), "chunk_id")
+    out = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumnRenamed("by", by) if by else out.drop("by")
+
+
+def _best_of(mean_dl: float, k: int, config: EngineConfig):
+    """The kernel of top_many(): postings and lengths of some chunks, and the terms of some queries, to each query's best."""
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        is_head = pc.is_null(left["term"])
+        heads, hits = left.filter(is_head).sort_by("chunk_id"), left.filter(pc.invert(is_head))
+        ids, terms = heads["chunk_id"].combine_chunks(), pc.unique(right["term"])
+        chunk, term = pc.index_in(hits["chunk_id"], ids), pc.index_in(hits["term"], terms)
+        known = pc.and_(pc.is_valid(chunk), pc.is_valid(term))  # chunks that dl does not have are not scored
+        chunk, term, tf = (pc.filter(x, known).to_numpy() for x in (chunk, term, hits["n"]))
+        norm = config.bm25_k1 * (1 - config.bm25_b + config.bm25_b * heads["n"].to_numpy() / (mean_dl or 1.0))
+        order = np.argsort(term, kind="stable")
+        chunk, term, tf = chunk[order], term[order], tf[order]
+        saturated = tf * (config.bm25_k1 + 1) / (tf + norm[chunk])
+        ends = np.searchsorted(term, np.arange(len(terms) + 1))
+        by = pc.fill_null(pc.dictionary_encode(heads["by"], null_encoding="encode").combine_chunks().indices, -1).to_numpy(zero_copy_only=False) if len(heads) else np.zeros(0, int)
+        groups = [np.flatnonzero(by == b) for b in np.unique(by)]
+        items, where = right["item_id"].combine_chunks(), pc.index_in(right["term"], terms).to_numpy()
+        times, idf = right["times"].to_numpy(), right["idf"].to_numpy()
+        number = pc.index_in(items, (names := pc.unique(items))).to_numpy()
+        rows = np.lexsort((where, number))
+        cuts = np.searchsorted(number[rows], np.arange(len(names) + 1))
+        found: list[tuple] = []
+        for item in range(len(names)):
+            mine = [r for r in rows[cuts[item] : cuts[item + 1]] if ends[where[r] + 1] > ends[where[r]]]
+            if not mine:
+                continue
+            spans = [slice(ends[where[r]], ends[where[r] + 1]) for r in mine]
+            at = np.concatenate([chunk[s] for s in spans])
+            score = np.round(np.bincount(at, np.concatenate([times[r] * idf[r] * saturated[s] for r, s in zip(mine, spans)]), len(ids)), 9)
+            matched = np.bincount(at, minlength=len(ids))
+            for group in groups:
+                good = group[score[group] > 0]
+                if len(good) > k:
+                    least = np.partition(score[good], -k)[-k]
+                    above = good[score[good] > least]
+                    good = np.concatenate([above, good[score[good] == least][: k - len(above)]])  # ids are in order
+                found.append((np.full(len(good), item), good, score[good], matched[good]))
+        item, at, score, matched = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 4
+        at = pa.array(at, pa.int64())
+        return pa.table({
+            "item_id": names.take(pa.array(item, pa.int64())), "chunk_id": ids.take(at), "by": heads["by"].combine_chunks().take(at),
+            "score": pa.array(score, pa.float64()), "matched": pa.array(matched, pa.int64()),
+        })
+
+    return best
+
+
 def top_lexical(scores: DataFrame, k: int, tie: str = "chunk_id") -> DataFrame:
     """The k best positive scores with ranks from 0; scores are compared to 9 places, ties go by `tie`."""
     scores = scores.where(F.col("score") > 0).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), tie).limit(k)

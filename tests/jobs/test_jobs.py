@@ -172,3 +172,16 @@ def test_settings_and_command_lines(tmp_path):
     assert first.returncode == 0 and "read 200 rows" in first.stderr and "new" in first.stderr, first.stderr[-2000:]
     second = subprocess.run([sys.executable, "-m", "jobs.batch_search", f"{tables}/benchmark.parquet", str(tmp_path / "index"), str(tmp_path / "out")], **go)
     assert second.returncode == 0 and "lang=en holds" in second.stderr, second.stderr[-2000:]
+
+
+def test_readers_join_nothing_while_nothing_was_replaced(spark, tmp_path):
+    """The postings of a feed that only grows are read as they are; a lost batch is not seen."""
+    feed, index, checkpoint = (str(tmp_path / n) for n in ("feed", "index", "checkpoint"))
+    add(spark, feed, FIRST)
+    refresh_index.run(spark, feed, index, checkpoint)
+    whole = terms(spark, index)
+    for rows in (refresh_index.postings(spark, index), refresh_index.chunks(spark, index)):
+        assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+    lost = refresh_index._table(spark, index, "postings", refresh_index.POSTINGS).drop("batch").where("bucket >= 0")
+    lost.write.partitionBy("bucket").parquet(f"{index}/postings/batch=7")  # no manifest names it
+    assert terms(spark, index) == whole

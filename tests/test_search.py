@@ -1,8 +1,13 @@
+from dataclasses import replace
+
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from siftwell.config import DEFAULT
+from siftwell.functions import text as X
 from siftwell.operators import index as ix
 from siftwell.operators import lookup as lk
 from siftwell.operators import search as se
@@ -93,3 +98,35 @@ def test_idf_is_floored_at_a_share_of_the_mean(spark):
     idf = {r.term: r.idf for r in ix.term_stats(post, 3).collect()}
     raw = {"a": math.log(0.5) - math.log(3.5), **{t: math.log(2.5) - math.log(1.5) for t in "bcd"}}
     assert idf["a"] == pytest.approx(0.25 * sum(raw.values()) / 4) and idf["b"] == pytest.approx(raw["b"])
+
+
+def test_counts_are_those_of_tokenize_and_need_no_shuffle(spark):
+    texts = ["HTTPServer get_x2 getX2 the the __init__ _", "", None, "Straße Foo_Bar FOO_BAR Kelvin", " 12 a1b2 "]
+    c = spark.createDataFrame([(str(n), t) for n, t in enumerate(texts)], "chunk_id string, text string")
+    made = ix.postings(c, F.col("text"), unique=True)
+    want = c.select("chunk_id", F.explode(X.tokenize(F.col("text"))).alias("term")).groupBy("term", "chunk_id").count()
+    assert sorted(tuple(r) for r in made.select("term", "chunk_id", "tf").collect()) == sorted(tuple(r) for r in want.collect())
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    twice = ix.postings(c.union(c), F.col("text"))  # ids that are not unique are added up
+    assert sorted((r.term, r.chunk_id, r.tf) for r in twice.collect()) == sorted((t, i, 2 * n) for t, i, n in want.collect())
+
+
+def test_best_of_many_queries_by_blocks_and_parts(spark):
+    """Blocks of queries and parts of chunks give what all scores give; what is scored is not shuffled."""
+    words = ["alpha", "beta", "gamma", "delta", "eps"]
+    texts = [" ".join(words[(n * k) % 5] for k in range(n % 7)) for n in range(60)]
+    c = spark.createDataFrame([(f"c{n}", t, "ab"[n % 2] if n % 11 else None) for n, t in enumerate(texts)], "chunk_id string, text string, lang string")
+    post, dl = ix.postings(c, F.col("text")), ix.lengths(c, F.col("text"), keep=(F.col("lang"),))
+    stats, mean = ix.term_stats(post, 60), dl.agg(F.avg("dl")).first()[0]
+    asked = spark.createDataFrame([(i, w, 1 + i % 2) for i in range(9) for w in words[i % 3 : i % 3 + 1 + i % 4]], "item_id bigint, term string, times bigint")
+    full = se.bm25_many(post, stats, dl, asked, mean, carry=("lang",)).withColumn("score", F.round("score", 9)).where("score > 0")
+    for by in (None, "lang"):
+        w = Window.partitionBy("item_id", *([by] if by else [])).orderBy(F.desc("score"), "chunk_id")
+        want = full.withColumn("rank", F.row_number().over(w)).where("rank <= 4").select("item_id", "chunk_id", F.round("score", 6), "matched", "rank")
+        for config in (DEFAULT, replace(DEFAULT, queries_per_block=2, postings_per_part=10)):
+            got = se.top_many(post, stats, dl, asked, mean, 4, by, config).select("item_id", "chunk_id", F.round("score", 6), "matched", "rank")
+            assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect()) and want.count()
+    none = se.top_many(post, stats, dl, asked.limit(0), mean, 4)
+    assert none.count() == 0
+    few = se.top_many(post, stats, dl.where("chunk_id = 'c9'"), asked, mean, 4)  # other chunks are not scored
+    assert {r.chunk_id for r in few.collect()} <= {"c9"}
