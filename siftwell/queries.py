@@ -755,11 +755,8 @@ SELECT count(*) AS queries, round(avg(found / relevant), 6) AS recall_at_10, rou
 def _(spark, d):
     c, post, dl, stats, mean = index(spark, d)
     bench = table(spark, d, "benchmark")
-    q = bench.select("item_id", F.explode(X.tokenize(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    norm = 1.5 * (0.25 + 0.75 * F.col("dl") / F.lit(mean))
-    s = q.join(post.drop("bucket"), "term").join(stats, "term").join(dl, "chunk_id").groupBy("item_id", "chunk_id")
-    s = s.agg(F.round(F.sum(F.col("n") * F.col("idf") * F.col("tf") * 2.5 / (F.col("tf") + norm)), 9).alias("score")).where("score > 0")
-    ranked = s.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "chunk_id"))).where("rank <= 10")
+    q = bench.select("item_id", F.explode(X.tokenize(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    ranked = se.top_many(post, stats, dl, q, mean, 10)
     # a document that holds a passage holds its inner words; those of the rarest are read and looked into
     words = F.regexp_extract_all("text", F.lit(X.WORD), F.lit(0))
     inner = bench.select("item_id", F.explode(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), F.lower)).alias("term")).distinct()
