@@ -88,8 +88,8 @@ class Deltas(ix.Generations):
         self.write(delta, "tombs", before.join(left, "filepath").select("version", F.explode("ids").alias("chunk_id")))
         dead = self.table(delta, "tombs")
         n_dead = dead.count()
-        self.write(delta, "postings", ix.postings(chunks, config=config))
-        self.write(delta, "doc_len", ix.lengths(chunks).join(chunks.select("chunk_id", *ix.search_keys(chunks)), "chunk_id"))
+        self.write(delta, "postings", ix.postings(chunks, config=config, unique=True))
+        self.write(delta, "doc_len", ix.lengths(chunks, keep=tuple(ix.search_keys(chunks))))
         counts = self.table(delta, "postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         n, dl = self.table(delta, "doc_len").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         size = n + n_dead
@@ -99,7 +99,7 @@ class Deltas(ix.Generations):
         if n_dead:
             lost = self.rows("chunks", at, config=config).join(dead, ["version", "chunk_id"], "left_semi")
             dl -= self.rows("doc_len", at, config=config).join(dead, ["version", "chunk_id"], "left_semi").agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]
-            less = ix.postings(lost, config=config).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
+            less = ix.postings(lost, config=config, unique=True).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
             counts = counts.unionByName(less).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
         self.write(delta, "term_counts", counts)
         mean = self.counts([*at, delta]).agg(F.avg(ix.raw_idf(n))).first()[0]

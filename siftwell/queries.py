@@ -508,11 +508,13 @@ def delta_index(spark, d, config=DEFAULT):
         old = F.when(F.col("filepath").contains("/src2/"), F.concat("text", F.lit("."))).otherwise(F.col("text"))
         for rows in (c.where(~F.col("filepath").contains("/src1/")).withColumn("text", old), c.where("lang <> 'es'")):
             at, made = store.versions(), store.stage()
-            current = rows.select("filepath", F.sha1("text").alias("sha"), F.lit(None).cast("timestamp").alias("mtime"))
+            store.write(made, "scan", rows.select("filepath", F.sha1("text").alias("sha")))  # texts are hashed once
+            current = store.table(made, "scan").select("filepath", "sha", "mtime")
             fresh = rows if not at else rows.join(ix.diff(store.read("manifest", at), current).where("status in ('new', 'changed')"), "filepath", "left_semi")
             store.write(made, "chunks", fresh.withColumn("ord", F.lit(0)))
             store.write(made, "vectors", spark.createDataFrame([], schema.VECTORS))  # the documents have none
             versions = store.seal(made, at, current, {}, config)
+            store.drop(made, "scan")
             store.publish(versions[-1], *versions[:-1])
         return (store,)
 
