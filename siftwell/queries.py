@@ -486,10 +486,15 @@ def index(spark, d):
     def build(folder):
         store = ix.Generations(spark, folder)
         made = store.stage()
-        store.write(made, "postings", ix.postings(c))
+        once = c.groupBy("chunk_id").count().where("count > 1").isEmpty()
+        store.write(made, "postings", ix.postings(c, unique=once))
         post = spark.read.parquet(f"{store.root}/{made}/postings")
-        own = post.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))  # a chunk without terms has no postings
-        store.write(made, "doc_len", c.select("chunk_id").join(own, "chunk_id", "left").select("chunk_id", F.coalesce("dl", F.lit(0)).alias("dl")))
+        if once:
+            sizes = ix.lengths(c)
+        else:
+            own = post.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))  # a chunk without terms has no postings
+            sizes = c.select("chunk_id").join(own, "chunk_id", "left").select("chunk_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+        store.write(made, "doc_len", sizes)
         n, mean = spark.read.parquet(f"{store.root}/{made}/doc_len").agg(F.count(F.lit(1)), F.avg("dl")).first()
         store.write(made, "term_stats", ix.term_stats(post, n))
         store.publish(made)
