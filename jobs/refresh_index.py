@@ -79,18 +79,28 @@ def postings(spark: SparkSession, index: str) -> DataFrame:
 
 
 def newest(rows: DataFrame) -> DataFrame:
-    """(doc_id, filepath, lang, text, sha), one row a document: that of the file written last, then of greatest path and digest."""
+    """(doc_id, filepath, lang, text, sha), one row a document: that of the file written last, then of greatest path and digest.
+
+    Ids are counted first: rows of an id that is there once stand as they are, and only the others are sorted.
+    """
     path = F.concat(F.lit("docs/"), F.col("lang"), F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     rows = rows.where("doc_id is not null").withColumn("lang", F.coalesce("lang", F.lit("none"))).withColumn("filepath", path)
     rows = rows.withColumn("sha", F.sha1(F.concat("filepath", F.lit("\n"), "text")))
+    often = rows.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    n = often.count()
+    if not n:
+        return rows.select("doc_id", "filepath", "lang", "text", "sha")
+    often = F.broadcast(often) if n <= DEFAULT.broadcast_rows else often
     order = Window.partitionBy("doc_id").orderBy(F.desc("written"), F.desc("path"), F.desc_nulls_last("sha"))
-    first = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") == 1)
-    return first.select("doc_id", "filepath", "lang", "text", "sha")
+    first = rows.join(often, "doc_id", "left_semi").withColumn("nth", F.row_number().over(order)).where(F.col("nth") == 1).drop("nth")
+    return rows.join(often, "doc_id", "left_anti").unionByName(first).select("doc_id", "filepath", "lang", "text", "sha")
 
 
 def changes(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Of newest(), the documents that the index does not have as they are, with status new, changed or removed."""
     was = known.select("doc_id", F.col("sha").alias("was"))
+    if (n := was.count()) <= DEFAULT.broadcast_rows:  # none in a first batch; texts are then not shuffled
+        was = F.broadcast(was) if n else was.limit(0)
     status = F.when(F.col("sha").isNull(), "removed").when(F.col("was").isNull(), "new").otherwise("changed")
     return rows.join(was, "doc_id", "left").where(~F.col("sha").eqNullSafe(F.col("was"))).withColumn("status", status).drop("was")
 
@@ -102,7 +112,7 @@ def cut(documents: DataFrame, budget: int) -> DataFrame:
     literal = {"language": "other", "doc_category": "documentation", "symbol": "block", "parent_symbol": "", "type": "block"}
     spans = words.select("filepath", *[F.lit(v).alias(k) for k, v in literal.items()], F.lit(1).alias("start_line"), X.lines(F.col("text")).alias("body"))
     doc_id = F.regexp_extract("filepath", r"([^/]+)\.txt$", 1).cast("bigint")
-    return ck.bounded(spans, config).select(
+    return ck.bounded(spans, config, lone=True).select(
         doc_id.alias("doc_id"), "chunk_id", "filepath", "symbol", "part", "parts", "start_line", "end_line", "text", F.element_at(F.split("filepath", "/"), 2).alias("lang")
     )
 
