@@ -86,14 +86,14 @@ def query_prefix(model: str) -> str:
 
 def lines(content: Column) -> Column:
     """Lines without their ends; a final line end makes no empty last line."""
-    text = F.regexp_replace(content, "\r\n?", "\n")
+    text = F.when(content.contains("\r"), F.regexp_replace(content, "\r\n?", "\n")).otherwise(content)
     text = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.char_length(text) - 1)).otherwise(text)
     return F.when(F.char_length(content) == 0, F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
 
 
 def trim_lines(text: Column) -> Column:
     """Without line ends at either edge."""
-    return F.regexp_replace(text, r"^\n+|\n+$", "")
+    return F.btrim(text, F.lit("\n"))
 
 
 def word_hits(text: Column, word: str) -> Column:

@@ -95,6 +95,60 @@ def test_exact_budgets(spark):
         tokens.tokenizer(path, "0" * 64)
 
 
+def _odd_texts(n):
+    import random
+
+    rng = random.Random(7)
+    bits = ["a", "The", "é", "É", "e\u0301", "\u0301", "'s", " 's", "'", "ll", "<|endoftext|>", "<|ENDofTEXT|>", "<|endoftext", "|>", "\x00", "\x1c", "\x85", "\xa0", "\u3000", "\u2028", "\r", "\n", "\t", " ", "  ", "1", "２", "Σ", "ΑΣ", "ǅ", "İ", "ß", "µ", "ª", "一", "!", ".", ",", "...", "_", "\u200d", "\U0001f9ff", "\u180e", "\ufeff", "\u212a", "\u212b", "가", "x" * 70]
+    return ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("name,by_words", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_counts_are_those_of_the_tokenizer(name, by_words, monkeypatch):
+    """Words are told apart where the vocabulary's rules allow it alone, and forgetting words changes no count."""
+    import public_tokenizers
+
+    from siftwell.functions import tokens
+
+    monkeypatch.setattr(tokens, "_WORDS", 300)
+    made = tokens.Counter(tokens.tokenizer(public_tokenizers.path(name)))
+    assert made.words == by_words
+    texts = [*_odd_texts(5000), "x" * 9000 + " " + "words, of text. " * 4000, ""]
+    want = [len(e) for e in made.tok.encode_batch_fast(texts)]
+    assert made.counts(texts) == want and [made.counts([t])[0] for t in texts[::-1]] == want[::-1]
+
+
+def test_the_tokenizer_sees_a_word_once():
+    import public_tokenizers
+
+    from siftwell.functions import tokens
+
+    class Told:
+        def __init__(self, tok):
+            self.tok, self.chars = tok, 0
+
+        def encode_batch_fast(self, texts, **given):
+            self.chars += sum(map(len, texts))
+            return self.tok.encode_batch_fast(texts, **given)
+
+        def __getattr__(self, name):
+            return getattr(self.tok, name)
+
+    tok = Told(tokens.tokenizer(public_tokenizers.path("word_bpe_49k.json")))
+    made, words = tokens.Counter(tok), [f"{a}{b}" for a in ("some", "more", "last") for b in ("how", "thing", "où")]
+    texts = [" ".join(words[k:] + words[:k]) + ".\n" for k in range(9)] * 50
+    for _ in range(2):
+        assert made.counts(texts) == [len(e) for e in tok.tok.encode_batch_fast(texts)]
+    assert tok.chars <= sum(len(w) + 1 for w in words) + 1
+
+
+def test_units_are_found_once(spark):
+    """Units and the lines between them come from one pass over a file."""
+    files = spark.createDataFrame(FILES, "filepath string, content string")
+    plan = ck.chunk_files(files, structural=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_collisions_get_numbers(spark):
     text = "# A\n# A\n"
     files = spark.createDataFrame([("a.md", text)], "filepath string, content string")
