@@ -13,6 +13,7 @@ from __future__ import annotations
 import dataclasses
 import logging
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +38,19 @@ def asked_terms(queries: DataFrame) -> DataFrame:
     return terms.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def answers(post: DataFrame, chunks: DataFrame, asked: DataFrame, top_k: int, languages: tuple[str, ...] | list[str] = ()) -> DataFrame:
+def vocabulary(post: DataFrame) -> DataFrame:
+    """(term, df, n): how many chunks have a term, and how often."""
+    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
+
+
+def answers(chunks: DataFrame, stats: DataFrame, mean_dl: float, asked: DataFrame, top_k: int, languages: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """RESULTS: the top_k chunks of positive score for each query and language; ties go to the smaller chunk id."""
-    n = chunks.count()  # each has postings: those of its path
-    total = post.agg(F.sum("tf")).first()[0]
-    stats = ix.term_stats(post, n).join(asked.select("term").distinct(), "term", "left_semi")
     where = chunks.where(F.col("lang").isin(*languages)) if languages else chunks
-    top = se.top_many(post, stats, ix.lengths(where, keep=(F.col("lang"),)), asked, total / n if n else 0.0, top_k, by="lang")
+    if where.where("dl is null").isEmpty():
+        counted = where
+    else:  # an earlier version wrote some of them
+        counted = ix.with_terms(where.select("chunk_id", "lang", "text", "filepath", "symbol"))
+    top = se.top_counted(counted, stats, asked, mean_dl, top_k, by="lang")
     top = top.join(where.select("chunk_id", "doc_id", "start_line", "end_line"), "chunk_id")
     return top.select("item_id", "rank", "chunk_id", "doc_id", "start_line", "end_line", "score", "matched", "lang")
 
@@ -56,9 +63,17 @@ def run(spark: SparkSession, queries: str, index: str, out: str, settings: Setti
     """Write the answers to all queries; an index without chunks, or no queries, give an empty table."""
     asked = asked_terms(spark.read.schema("item_id bigint, text string").parquet(queries))
     post, chunks = refresh_index.postings(spark, index), refresh_index.chunks(spark, index)
-    found = answers(post, chunks, asked, settings.top_k, settings.languages)
+    n = chunks.count()  # each has postings: those of its path
+    words = vocabulary(post).persist(StorageLevel.DISK_ONLY)  # all postings are counted once
+    total, mean = words.agg(F.sum("n"), F.avg(ix.raw_idf(n))).first()
+    stats = ix.with_idf(words.join(asked.select("term").distinct(), "term", "left_semi"), n, F.lit(mean).cast("double")).persist(StorageLevel.DISK_ONLY)
     mode = "dynamic" if settings.languages else "static"
-    found.hint("rebalance", "lang").write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("lang").parquet(out)
+    try:
+        found = answers(chunks, stats, total / n if n else 0.0, asked, settings.top_k, settings.languages)
+        found.hint("rebalance", "lang").write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("lang").parquet(out)
+    finally:
+        stats.unpersist()
+        words.unpersist()
     told = results(spark, out).groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("item_id").alias("items")).collect()
     LOG.info("read queries from %s and the index in %s", queries, index)
     for r in sorted(told):

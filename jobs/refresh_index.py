@@ -7,7 +7,7 @@ index has already is passed over; other text replaces the document; a null text
 batch of the stream, a delta that is never changed afterwards:
 
     manifest/batch=N          doc_id, sha (null: taken out), status
-    chunks/batch=N/lang=L     line-addressed pieces within the token budget
+    chunks/batch=N/lang=L     line-addressed pieces within the token budget, each with its terms, counted
     postings/batch=N/bucket=B (term, chunk_id, tf)
 
 What a run writes is in proportion to what is new. Readers merge: of each document the last delta stands. The manifest
@@ -33,7 +33,7 @@ from siftwell.operators import index as ix
 LOG = logging.getLogger("refresh_index")
 DOCUMENTS = "doc_id bigint, text string, lang string, source string"
 MANIFEST = "doc_id bigint, sha string, status string, batch bigint"
-CHUNKS = "doc_id bigint, chunk_id string, filepath string, symbol string, part int, parts int, start_line int, end_line int, text string, batch bigint, lang string"
+CHUNKS = "doc_id bigint, chunk_id string, filepath string, symbol string, part int, parts int, start_line int, end_line int, text string, dl bigint, entries array<struct<term:string,tf:int>>, batch bigint, lang string"
 POSTINGS = "term string, chunk_id string, tf int, batch bigint, bucket int"
 
 
@@ -67,7 +67,7 @@ def _replaced(spark: SparkSession, index: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, index: str) -> DataFrame:
-    """The chunks of documents as they stand."""
+    """The chunks of documents as they stand; dl and entries are null in those that earlier versions of this job wrote."""
     dead = _replaced(spark, index)
     return _standing(spark, index, "chunks", CHUNKS, dead, dead.count())
 
@@ -112,8 +112,8 @@ def cut(documents: DataFrame, budget: int) -> DataFrame:
     literal = {"language": "other", "doc_category": "documentation", "symbol": "block", "parent_symbol": "", "type": "block"}
     spans = words.select("filepath", *[F.lit(v).alias(k) for k, v in literal.items()], F.lit(1).alias("start_line"), X.lines(F.col("text")).alias("body"))
     doc_id = F.regexp_extract("filepath", r"([^/]+)\.txt$", 1).cast("bigint")
-    return ck.bounded(spans, config, lone=True).select(
-        doc_id.alias("doc_id"), "chunk_id", "filepath", "symbol", "part", "parts", "start_line", "end_line", "text", F.element_at(F.split("filepath", "/"), 2).alias("lang")
+    return ck.bounded(spans, config, lone=True, terms=True).select(
+        doc_id.alias("doc_id"), "chunk_id", "filepath", "symbol", "part", "parts", "start_line", "end_line", "text", "dl", "entries", F.element_at(F.split("filepath", "/"), 2).alias("lang")
     )
 
 
@@ -137,7 +137,7 @@ def _taken(index: str, budget: int, read: list[int], adaptive: str):
         at = {n: f"{index}/{n}/batch={number}" for n in ("chunks", "postings", "manifest")}
         cut(changed.where("sha is not null"), budget).write.mode("overwrite").partitionBy("lang").parquet(at["chunks"])
         made = _table(spark, index, "chunks", CHUNKS).where(F.col("batch") == number)
-        ix.postings(made, unique=True).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(at["postings"])
+        ix.postings(made, unique=True).hint("rebalance", "bucket").write.mode("overwrite").option("parquet.enable.dictionary#chunk_id", "false").partitionBy("bucket").parquet(at["postings"])
         changed.select("doc_id", "sha", "status").write.mode("overwrite").parquet(at["manifest"])
         changed.unpersist()
         told = _table(spark, index, "manifest", MANIFEST).where(F.col("batch") == number).groupBy("status").count().collect()

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from . import text as X
 
 _WORDS, _HUMPS = re.compile(X.WORD, re.ASCII), re.compile(X.HUMP)
+_PARTED = re.compile("_|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]|[0-9][A-Za-z]")  # where a word has pieces, or letters start one right after digits
+_PLAIN = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 32 for b in range(256))
 _SLICE = 256  # texts that are counted at a time; bounds what a worker holds beside its batch
 _ENTRIES = pa.struct([("term", pa.string()), ("tf", pa.int32())])
 
@@ -34,7 +36,12 @@ def terms_of(text: str) -> list[str]:
 
 
 def counts_of(text: str | None) -> dict[str, int]:
-    """How often a text has each of its terms; null has none."""
+    """How often a text has each of its terms; null has none.
+
+    A text without such places as _PARTED is its words in lower case, all at once.
+    """
+    if text and not _PARTED.search(text):
+        return Counter(text.encode("utf-8", "surrogatepass").translate(_PLAIN).decode("ascii").split())
     out: dict[str, int] = {}
     for word, n in Counter(_WORDS.findall(text or "")).items():
         for piece in _pieces(word):
@@ -42,6 +49,16 @@ def counts_of(text: str | None) -> dict[str, int]:
     return out
 
 
+def counts_arrays(found: list[dict[str, int]]) -> tuple[pa.Array, pa.Array]:
+    """dl and entries, as counted() gives them, of texts with these counts."""
+    terms, tfs = pa.array([t for f in found for t in f], pa.string()), pa.array([n for f in found for n in f.values()], pa.int32())
+    ends = [0]
+    for f in found:
+        ends.append(ends[-1] + len(f))
+    entries = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([terms, tfs], fields=list(_ENTRIES)))
+    return pa.array([sum(f.values()) for f in found], pa.int64()), entries
+
+
 def counted(rows: DataFrame, text: Column, entries: bool = True) -> DataFrame:
     """The rows with dl, how many terms their text has (duplicates counted), and entries, an array of (term, tf), if asked for."""
     given = rows.withColumn("__text", text)
@@ -56,13 +73,7 @@ def counted(rows: DataFrame, text: Column, entries: bool = True) -> DataFrame:
             for at in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(at, _SLICE)
                 found = [counts_of(t) for t in part.column("__text").to_pylist()]
-                columns = [*(part.column(n) for n in names), pa.array([sum(f.values()) for f in found], pa.int64())]
-                if entries:
-                    terms, tfs = pa.array([t for f in found for t in f], pa.string()), pa.array([n for f in found for n in f.values()], pa.int32())
-                    ends = [0]
-                    for f in found:
-                        ends.append(ends[-1] + len(f))
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([terms, tfs], fields=list(_ENTRIES))))
+                columns = [*(part.column(n) for n in names), *(counts_arrays(found) if entries else [pa.array([sum(f.values()) for f in found], pa.int64())])]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return given.mapInArrow(count, T.StructType(fields))

@@ -31,14 +31,22 @@ def indexed_text(chunks: DataFrame) -> Column:
 def postings(chunks: DataFrame, text: Column | None = None, config: EngineConfig = DEFAULT, unique: bool = False) -> DataFrame:
     """(term, chunk_id, tf, bucket).
 
-    unique: no two chunks have one id, so that a chunk's own counts are its postings, and nothing is shuffled.
+    unique: no two chunks have one id, so that a chunk's own counts are its postings, and nothing is shuffled. Chunks
+    that come with their entries (with_terms) are not counted again.
     """
-    found = counted(chunks.select("chunk_id", (indexed_text(chunks) if text is None else text).alias("text")), F.col("text")).select("chunk_id", F.inline("entries"))
+    if "entries" not in chunks.columns:
+        chunks = counted(chunks.select("chunk_id", (indexed_text(chunks) if text is None else text).alias("text")), F.col("text"))
+    found = chunks.select("chunk_id", F.inline("entries"))
     if not unique:
         found = found.groupBy("term", "chunk_id").agg(F.sum("tf").cast("int").alias("tf"))
     return found.select("term", "chunk_id", "tf", term_bucket(F.col("term"), config).alias("bucket"))
 
 
+def with_terms(chunks: DataFrame) -> DataFrame:
+    """Chunks with dl, how many terms they have, and entries, an array of (term, tf): what lengths() and postings() hold of each."""
+    return counted(chunks, indexed_text(chunks))
+
+
 def search_keys(chunks: DataFrame) -> list[Column]:
     """What searches filter and order chunks by: filepath_lc, doc_category and tie, the order of ingestion."""
     return [F.col("filepath_lc"), F.col("doc_category"), F.concat_ws(":", "filepath", F.lpad("ord", 9, "0")).alias("tie")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +108,58 @@ def top_many(post: DataFrame, stats: DataFrame, dl: DataFrame, asked: DataFrame,
     right = weighted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(F.col("block").alias("block"), "part", "item_id", F.col("term").alias("term"), F.col("times").cast("double").alias("times"), F.col("idf").cast("double").alias("idf"))
     kind = asked.schema["item_id"].dataType.simpleString()
     keys = ["block", "part"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best_of(mean_dl, k, config), f"item_id {kind}, chunk_id string, by string, score double, matched bigint")
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best_of(mean_dl, k, config), f"item_id {kind}, {_BEST}")
+    return _best_ranks(best, k, by)
+
+
+def top_counted(chunks: DataFrame, stats: DataFrame, asked: DataFrame, mean_dl: float, k: int, by: str | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
+    """top_many() for chunks that come with their terms: (chunk_id, dl, entries: array of (term, tf), `by`).
+
+    The terms of the queries, counted first, go to the tasks that read the chunks, and only the best of each part of
+    the chunks is shuffled; more than broadcast_rows of them go by top_many().
+    """
+    weighted = asked.join(stats.select("term", "idf"), "term").select("item_id", "term", F.col("times").cast("double").alias("times"), F.col("idf").cast("double").alias("idf"))
+    right = weighted.limit(config.broadcast_rows + 1).toArrow()
+    if len(right) > config.broadcast_rows:
+        return top_many(chunks.select("chunk_id", F.inline("entries")), stats, chunks, asked, mean_dl, k, by, config)
+    terms = pc.unique(right["term"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, heads, n_hits, n_heads = [], [], 0, 0
+        for b in batches:
+            entries = b.column("entries")
+            flat = entries.flatten()
+            term = pc.index_in(flat.field("term"), terms)
+            at = np.flatnonzero(pc.is_valid(term).to_numpy(zero_copy_only=False))
+            chunk = np.repeat(np.arange(len(b)), pc.fill_null(pc.list_value_length(entries), 0).to_numpy())[at]
+            some, chunk = np.unique(chunk, return_inverse=True)  # chunks without a term of the queries are not carried along
+            held.append((chunk + n_heads, term.take(pa.array(at)).to_numpy().astype(np.int64), flat.field("tf").take(pa.array(at)).to_numpy()))
+            heads.append(b.select(["chunk_id", "dl", "by"]).take(pa.array(some)))
+            n_hits, n_heads = n_hits + len(at), n_heads + len(some)
+            if n_hits >= config.postings_per_part:
+                yield from scored(held, heads)
+                held, heads, n_hits, n_heads = [], [], 0, 0
+        if n_hits:
+            yield from scored(held, heads)
+
+    def scored(held: list, heads: list) -> list[pa.RecordBatch]:
+        rows = pa.Table.from_batches(heads)
+        order = pc.sort_indices(rows["chunk_id"]).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        chunk, term, tf = (np.concatenate(x) for x in zip(*held))
+        return _scored(rows.take(pa.array(order)), place[chunk], term, tf, right, terms, mean_dl, k, config).to_batches()
+
+    group = F.col(by).cast("string") if by else F.lit(None).cast("string")
+    kind = asked.schema["item_id"].dataType.simpleString()
+    return _best_ranks(chunks.select("chunk_id", "dl", group.alias("by"), "entries").mapInArrow(best, f"item_id {kind}, {_BEST}"), k, by)
+
+
+_BEST = "chunk_id string, by string, score double, matched bigint"
+
+
+def _best_ranks(best: DataFrame, k: int, by: str | None) -> DataFrame:
+    """The k best of what parts of the chunks gave, with ranks from 1."""
     w = Window.partitionBy("item_id", "by").orderBy(F.desc("score"), "chunk_id")
     out = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return out.withColumnRenamed("by", by) if by else out.drop("by")
@@ -123,44 +175,50 @@ def _best_of(mean_dl: float, k: int, config: EngineConfig):
         chunk, term = pc.index_in(hits["chunk_id"], ids), pc.index_in(hits["term"], terms)
         known = pc.and_(pc.is_valid(chunk), pc.is_valid(term))  # chunks that dl does not have are not scored
         chunk, term, tf = (pc.filter(x, known).to_numpy() for x in (chunk, term, hits["n"]))
-        norm = config.bm25_k1 * (1 - config.bm25_b + config.bm25_b * heads["n"].to_numpy() / (mean_dl or 1.0))
-        order = np.argsort(term, kind="stable")
-        chunk, term, tf = chunk[order], term[order], tf[order]
-        saturated = tf * (config.bm25_k1 + 1) / (tf + norm[chunk])
-        ends = np.searchsorted(term, np.arange(len(terms) + 1))
-        by = pc.fill_null(pc.dictionary_encode(heads["by"], null_encoding="encode").combine_chunks().indices, -1).to_numpy(zero_copy_only=False) if len(heads) else np.zeros(0, int)
-        groups = [np.flatnonzero(by == b) for b in np.unique(by)]
-        items, where = right["item_id"].combine_chunks(), pc.index_in(right["term"], terms).to_numpy()
-        times, idf = right["times"].to_numpy(), right["idf"].to_numpy()
-        number = pc.index_in(items, (names := pc.unique(items))).to_numpy()
-        rows = np.lexsort((where, number))
-        cuts = np.searchsorted(number[rows], np.arange(len(names) + 1))
-        found: list[tuple] = []
-        for item in range(len(names)):
-            mine = [r for r in rows[cuts[item] : cuts[item + 1]] if ends[where[r] + 1] > ends[where[r]]]
-            if not mine:
-                continue
-            spans = [slice(ends[where[r]], ends[where[r] + 1]) for r in mine]
-            at = np.concatenate([chunk[s] for s in spans])
-            score = np.round(np.bincount(at, np.concatenate([times[r] * idf[r] * saturated[s] for r, s in zip(mine, spans)]), len(ids)), 9)
-            matched = np.bincount(at, minlength=len(ids))
-            for group in groups:
-                good = group[score[group] > 0]
-                if len(good) > k:
-                    least = np.partition(score[good], -k)[-k]
-                    above = good[score[good] > least]
-                    good = np.concatenate([above, good[score[good] == least][: k - len(above)]])  # ids are in order
-                found.append((np.full(len(good), item), good, score[good], matched[good]))
-        item, at, score, matched = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 4
-        at = pa.array(at, pa.int64())
-        return pa.table({
-            "item_id": names.take(pa.array(item, pa.int64())), "chunk_id": ids.take(at), "by": heads["by"].combine_chunks().take(at),
-            "score": pa.array(score, pa.float64()), "matched": pa.array(matched, pa.int64()),
-        })
+        return _scored(heads.rename_columns({"n": "dl"}), chunk, term, tf, right, terms, mean_dl, k, config)
 
     return best
 
 
+def _scored(heads: pa.Table, chunk: np.ndarray, term: np.ndarray, tf: np.ndarray, right: pa.Table, terms: pa.Array, mean_dl: float, k: int, config: EngineConfig) -> pa.Table:
+    """The best chunks of each query and group. heads: (chunk_id, dl, by) in order of ids; chunk and term: places in heads and terms."""
+    ids = heads["chunk_id"].combine_chunks()
+    norm = config.bm25_k1 * (1 - config.bm25_b + config.bm25_b * heads["dl"].to_numpy() / (mean_dl or 1.0))
+    order = np.argsort(term, kind="stable")
+    chunk, term, tf = chunk[order], term[order], tf[order]
+    saturated = tf * (config.bm25_k1 + 1) / (tf + norm[chunk])
+    ends = np.searchsorted(term, np.arange(len(terms) + 1))
+    by = pc.fill_null(pc.dictionary_encode(heads["by"], null_encoding="encode").combine_chunks().indices, -1).to_numpy(zero_copy_only=False) if len(heads) else np.zeros(0, int)
+    groups = [np.flatnonzero(by == b) for b in np.unique(by)]
+    items, where = right["item_id"].combine_chunks(), pc.index_in(right["term"], terms).to_numpy()
+    times, idf = right["times"].to_numpy(), right["idf"].to_numpy()
+    number = pc.index_in(items, (names := pc.unique(items))).to_numpy()
+    rows = np.lexsort((where, number))
+    cuts = np.searchsorted(number[rows], np.arange(len(names) + 1))
+    found: list[tuple] = []
+    for item in range(len(names)):
+        mine = [r for r in rows[cuts[item] : cuts[item + 1]] if ends[where[r] + 1] > ends[where[r]]]
+        if not mine:
+            continue
+        spans = [slice(ends[where[r]], ends[where[r] + 1]) for r in mine]
+        at = np.concatenate([chunk[s] for s in spans])
+        score = np.round(np.bincount(at, np.concatenate([times[r] * idf[r] * saturated[s] for r, s in zip(mine, spans)]), len(ids)), 9)
+        matched = np.bincount(at, minlength=len(ids))
+        for group in groups:
+            good = group[score[group] > 0]
+            if len(good) > k:
+                least = np.partition(score[good], -k)[-k]
+                above = good[score[good] > least]
+                good = np.concatenate([above, good[score[good] == least][: k - len(above)]])  # ids are in order
+            found.append((np.full(len(good), item), good, score[good], matched[good]))
+    item, at, score, matched = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 4
+    at = pa.array(at, pa.int64())
+    return pa.table({
+        "item_id": names.take(pa.array(item, pa.int64())), "chunk_id": ids.take(at), "by": heads["by"].combine_chunks().take(at),
+        "score": pa.array(score, pa.float64()), "matched": pa.array(matched, pa.int64()),
+    })
+
+
 def top_lexical(scores: DataFrame, k: int, tie: str = "chunk_id") -> DataFrame:
     """The k best positive scores with ranks from 0; scores are compared to 9 places, ties go by `tie`."""
     scores = scores.where(F.col("score") > 0).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), tie).limit(k)

@@ -159,6 +159,26 @@ def test_batch_search(spark, grown, tmp_path):
     assert found() == sorted([w for w in want if w[1] != "en"] + [w for w in want if w[1] == "en" and w[2] == 1])
 
 
+def test_chunks_carry_their_terms(spark, grown, tmp_path):
+    """The terms that a chunk comes with are those of its postings; an index of an earlier version, without them, gives the same answers."""
+    (_, index, _), _ = grown
+    told = [(t.term, r.chunk_id, t.tf) for r in refresh_index.chunks(spark, index).collect() for t in r.entries]
+    assert sorted(told) == terms(spark, index) and all(r.dl == sum(t.tf for t in r.entries) for r in refresh_index.chunks(spark, index).collect())
+    spark.createDataFrame([(1, "alpha alpha words"), (2, "changed delta line")], "item_id bigint, text string").write.parquet(str(tmp_path / "asked"))
+
+    def found(at):
+        batch_search.run(spark, str(tmp_path / "asked"), at, str(tmp_path / "out"))
+        return sorted(tuple(r) for r in batch_search.results(spark, str(tmp_path / "out")).collect())
+
+    old = str(tmp_path / "old")
+    for name, schema, parts in (("manifest", refresh_index.MANIFEST, ["batch"]), ("postings", refresh_index.POSTINGS, ["batch", "bucket"]), ("chunks", refresh_index.CHUNKS, ["batch", "lang"])):
+        rows = refresh_index._table(spark, index, name, schema)
+        rows = rows.where("batch = 0").drop("dl", "entries").unionByName(rows.where("batch > 0"), allowMissingColumns=True) if name == "chunks" else rows
+        rows.write.partitionBy(*parts).parquet(f"{old}/{name}")
+    want = found(index)
+    assert found(old) == want and want
+
+
 def test_settings_and_command_lines(tmp_path):
     assert command.settings(refresh_index.Settings, str(command.HERE / "refresh_index.json")) == refresh_index.Settings()
     assert command.settings(batch_search.Settings, str(command.HERE / "batch_search.json")).top_k == 10

@@ -1,12 +1,16 @@
+from collections import Counter
 from dataclasses import replace
 
 import math
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftwell.config import DEFAULT
+from siftwell.functions import terms
 from siftwell.functions import text as X
 from siftwell.operators import index as ix
 from siftwell.operators import lookup as lk
@@ -130,3 +134,28 @@ def test_best_of_many_queries_by_blocks_and_parts(spark):
     assert none.count() == 0
     few = se.top_many(post, stats, dl.where("chunk_id = 'c9'"), asked, mean, 4)  # other chunks are not scored
     assert {r.chunk_id for r in few.collect()} <= {"c9"}
+
+
+def test_best_of_many_queries_by_counted_chunks(spark):
+    """Chunks that come with their terms are scored where they are read; only the best of each part are shuffled."""
+    words = ["alpha", "beta", "gamma", "delta", "eps"]
+    texts = [" ".join(words[(n * k) % 5] for k in range(n % 7)) for n in range(60)] + [None]
+    c = spark.createDataFrame([(f"c{n}", t, "ab"[n % 2] if n % 11 else None) for n, t in enumerate(texts)], "chunk_id string, text string, lang string")
+    counted = terms.counted(c, F.col("text")).drop("text").coalesce(2)
+    post, dl = ix.postings(c, F.col("text")), ix.lengths(c, F.col("text"), keep=(F.col("lang"),))
+    stats, mean = ix.term_stats(post, 60), dl.agg(F.avg("dl")).first()[0]
+    asked = spark.createDataFrame([(i, w, 1 + i % 2) for i in range(9) for w in words[i % 3 : i % 3 + 1 + i % 4]], "item_id bigint, term string, times bigint")
+    kept = lambda rows: sorted(tuple(r) for r in rows.select("item_id", "chunk_id", F.round("score", 6), "matched", "rank").collect())
+    for by in (None, "lang"):
+        want = kept(se.top_many(post, stats, dl, asked, mean, 4, by))
+        for config in (DEFAULT, replace(DEFAULT, postings_per_part=1), replace(DEFAULT, broadcast_rows=3)):
+            assert kept(se.top_counted(counted, stats, asked, mean, 4, by, config)) == want and want
+    plan = se.top_counted(spark.createDataFrame(counted.collect(), counted.schema), stats, asked, mean, 4, "lang")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert se.top_counted(counted, stats, asked.limit(0), mean, 4).count() == 0
+    assert se.top_counted(counted.limit(0), stats, asked, mean, 4).count() == 0
+
+
+@given(st.lists(st.sampled_from(["a", "The", "é", "\u212a", "\u0130", "_", "__", "A", "AB", "ABc", "aB", "1", "12", "9a", "a9", "9A", " ", "\n", ".", "x9Y", "²", "src1/22.txt"]), max_size=9).map("".join))
+def test_counts_of_a_text_are_those_of_its_terms(text):
+    assert dict(terms.counts_of(text)) == dict(Counter(terms.terms_of(text)))
